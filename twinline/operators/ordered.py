@@ -73,18 +73,21 @@ def number_rows(df: DataFrame, keys: list[str], order: list, chunk: list[Column]
 
 
 def nearest(targets: DataFrame, points: DataFrame, keys: list[str], target: str, point: str,
-            tie: str, span: int) -> DataFrame:
+            tie: str, span: int, fine: int | None = None) -> DataFrame:
     """Nearest point to every distinct target of the same key.
 
     Both sides are reduced to distinct integer positions first, so a chunk never
-    holds more than twice ``span`` rows. Returns keys, target and ``near``
-    (null when the key has no point). ``tie`` is "earlier" or "later".
+    holds more than twice ``span`` rows; with ``fine``, chunks that get hot
+    are cut again. Returns keys, target and ``near`` (null when the key has no
+    point). ``tie`` is "earlier" or "later".
     """
     t = targets.select(*keys, F.col(target).cast("long").alias("_pos")).distinct() \
         .select(*keys, "_pos", F.lit(1).alias("_kind"))
     p = points.select(*keys, F.col(point).cast("long").alias("_pos")).distinct() \
         .select(*keys, "_pos", F.lit(0).alias("_kind"))
-    rows = t.unionByName(p).withColumn("_chunk", chunk_index(F.col("_pos"), span))
+    both = t.unionByName(p)
+    rows = (with_chunk(both, keys, "_pos", span, fine, name="_chunk") if fine
+            else both.withColumn("_chunk", chunk_index(F.col("_pos"), span)))
     pt = F.when(F.col("_kind") == 0, F.col("_pos"))
     w = W.partitionBy(*keys, "_chunk").orderBy("_pos", "_kind")
     by_chunk = W.partitionBy(*keys).orderBy("_chunk")
@@ -106,14 +109,16 @@ def nearest(targets: DataFrame, points: DataFrame, keys: list[str], target: str,
 
 
 def last_at_or_before(targets: DataFrame, marks: DataFrame, keys: list[str], target: str, mark: str,
-                      values: list[str], span: int) -> DataFrame:
+                      values: list[str], span: int, fine: int | None = None) -> DataFrame:
     """As-of lookup: the values of the last mark at or before every distinct target."""
     payload = F.struct(F.col(mark).cast("long").alias("_m"), *[F.col(v) for v in values])
     t = targets.select(*keys, F.col(target).cast("long").alias("_pos")).distinct() \
         .select(*keys, "_pos", F.lit(1).alias("_kind"))
     m = (marks.groupBy(*keys, F.col(mark).cast("long").alias("_pos")).agg(F.max(payload).alias("_v"))
          .withColumn("_kind", F.lit(0)))
-    rows = t.unionByName(m, allowMissingColumns=True).withColumn("_chunk", chunk_index(F.col("_pos"), span))
+    both = t.unionByName(m, allowMissingColumns=True)
+    rows = (with_chunk(both, keys, "_pos", span, fine, name="_chunk") if fine
+            else both.withColumn("_chunk", chunk_index(F.col("_pos"), span)))
     w = W.partitionBy(*keys, "_chunk").orderBy("_pos", "_kind").rowsBetween(W.unboundedPreceding, 0)
     ahead = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     edges = (rows.groupBy(*keys, "_chunk").agg(F.max("_v").alias("_hi"))

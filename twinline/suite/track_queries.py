@@ -206,10 +206,10 @@ def pair_durations(spark, d):
 
 
 @query("speed_mismatch", fx.sql_with(["pairs", "fx4"], """SELECT src_file, lang_file,
-  both AND diff >= 0.001 AND NOT tele AS mismatch, both AND diff >= 0.001 AND tele AS soft_telecine,
-  CASE WHEN both AND diff >= 0.001 THEN round_even(1e9 / sd, 6) ELSE 0.0 END AS src_fps,
-  CASE WHEN both AND diff >= 0.001 THEN round_even(1e9 / ld, 6) ELSE 0.0 END AS lang_fps
-FROM (SELECT *, sd > 0 AND ld > 0 AS both, CASE WHEN ld > 0 THEN abs(CAST(sd AS DOUBLE) / ld - 1) END AS diff,
+  pos AND diff >= 0.001 AND NOT tele AS mismatch, pos AND diff >= 0.001 AND tele AS soft_telecine,
+  CASE WHEN pos AND diff >= 0.001 THEN round_even(1e9 / sd, 6) ELSE 0.0 END AS src_fps,
+  CASE WHEN pos AND diff >= 0.001 THEN round_even(1e9 / ld, 6) ELSE 0.0 END AS lang_fps
+FROM (SELECT *, sd > 0 AND ld > 0 AS pos, CASE WHEN ld > 0 THEN abs(CAST(sd AS DOUBLE) / ld - 1) END AS diff,
   sc > 0 AND lc > 0 AND abs(CAST(sc AS DOUBLE) / lc - 1) < 0.005 AS tele FROM pd)""",
                                  [("vd", VIDEO_SQL), ("pd", PAIR_DUR_SQL)]))
 def speed_mismatch(spark, d):
@@ -327,15 +327,17 @@ def result_tracks(spark, d):
 
 
 PLAN_SQL = f"""SELECT src_file, file_id, track_id, type, 0 AS target_pos, 'source' AS side,
-  CASE WHEN type = 'audio' AND {FLAC_SQL} THEN 'convert' ELSE 'keep' END AS action, 0 AS delay_ms, '' AS stretch, language,
+  CASE WHEN type = 'audio' AND {FLAC_SQL} THEN 'convert' ELSE 'keep' END AS action, CAST(0 AS BIGINT) AS delay_ms, '' AS stretch,
+  CASE WHEN type = 'audio' AND {FLAC_SQL} AND language_ietf <> '' THEN language_ietf ELSE language END AS language,
   CASE WHEN type = 'audio' AND {FLAC_SQL} THEN {FLAC_NAME_SQL} WHEN type = 'audio' THEN {NAME_SQL} ELSE '' END AS track_name FROM kept
 UNION ALL SELECT src_file, file_id, track_id, type, target_pos, 'language',
   CASE WHEN src_file % 2 = 0 AND (type <> 'audio' OR CASE WHEN {FLAC_SQL} THEN true ELSE {SPLICE_SQL} END) THEN 'splice'
        WHEN type = 'audio' AND {FLAC_SQL} THEN 'convert' ELSE 'import' END,
   CASE WHEN type = 'audio' THEN 120 + src_file % 100 ELSE src_file % 100 - 80 END,
-  CASE WHEN src_file % 2 = 0 THEN '' ELSE stretch END, language,
+  CASE WHEN src_file % 2 = 0 THEN '' ELSE stretch END,
+  CASE WHEN type = 'audio' AND ({FLAC_SQL} OR (src_file % 2 = 0 AND {SPLICE_SQL})) AND language_ietf <> '' THEN language_ietf ELSE language END,
   CASE WHEN type = 'audio' AND {FLAC_SQL} THEN {FLAC_NAME_SQL}
-       WHEN type = 'audio' AND NOT (src_file % 2 = 0 AND {SPLICE_SQL}) THEN {NAME_SQL} ELSE '' END
+       WHEN type = 'audio' THEN {NAME_SQL} ELSE '' END
 FROM imp JOIN st USING (src_file)"""
 PLAN_ARGS = [("vd", VIDEO_SQL), ("pd", PAIR_DUR_SQL), ("st", f"SELECT src_file, stretch FROM ({STRETCH_SQL})"),
              ("kept", SRC_KEPT_SQL), ("imp", LANG_IMPORT_SQL)]
@@ -350,7 +352,7 @@ def remux_plan(spark, d):
 
 
 @query("job_plan", fx.sql_with(["pairs", "fx4"], f"""SELECT side, action, type, count(*) AS n, count(DISTINCT src_file) AS files,
-  sum(CASE WHEN stretch = '' THEN 0 ELSE 1 END) AS stretched FROM ({PLAN_SQL}) GROUP BY ALL""", PLAN_ARGS))
+  CAST(sum(CASE WHEN stretch = '' THEN 0 ELSE 1 END) AS BIGINT) AS stretched FROM ({PLAN_SQL}) GROUP BY ALL""", PLAN_ARGS))
 def job_plan(spark, d):
     return remux_plan(spark, d).groupBy("side", "action", "type").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("src_file").alias("files"),
@@ -421,9 +423,9 @@ def run_stats(spark, d):
     return report.run_stats(fx.records(spark, d))
 
 
-@query("job_report", fx.sql_with(["pairs", "fx4", "fx7"], f"""SELECT 'source' AS table_name, count(*) AS row_count, sum(length(audio)) AS text_size FROM (
+@query("job_report", fx.sql_with(["pairs", "fx4", "fx7"], f"""SELECT 'source' AS table_name, count(*) AS row_count, CAST(sum(length(audio)) AS BIGINT) AS text_size FROM (
   SELECT coalesce(audio, '-') AS audio FROM pairs LEFT JOIN lg ON file_id = src_file)
-UNION ALL SELECT 'language', count(*), sum(length(audio)) FROM (SELECT coalesce(audio, '-') AS audio FROM pairs LEFT JOIN lg ON file_id = lang_file)
+UNION ALL SELECT 'language', count(*), CAST(sum(length(audio)) AS BIGINT) FROM (SELECT coalesce(audio, '-') AS audio FROM pairs LEFT JOIN lg ON file_id = lang_file)
 UNION ALL SELECT 'stats', processed + skipped + no_match + no_tracks + sync_failed + errors, 0 FROM st""", [("lg", LANGS_SQL), ("st", STATS_SQL)]))
 def job_report(spark, d):
     return jobs.report_summary(record_frame(spark, d), fx.records(spark, d))
