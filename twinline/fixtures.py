@@ -122,8 +122,9 @@ def lang_frames(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("frame_idx")
     px = F.transform("px", lambda v, i: F.greatest(F.lit(0), F.least(
         F.lit(255), v + ((i + 1) * 7 + n * 3) % 21 - 10)).cast("int"))
-    return frames(spark, d).filter(n >= 37).select(
-        "file_id", (n - 37).alias("frame_idx"), ((n - 37) * 40).alias("ts_ms"), px.alias("px"))
+    # two steps: inside a lambda a column name would bind to a new alias of the same select
+    return frames(spark, d).filter(n >= 37).withColumn("px", px).select(
+        "file_id", (n - 37).alias("frame_idx"), ((n - 37) * 40).alias("ts_ms"), "px")
 
 
 def speed_lang_frames(spark: SparkSession, d: str) -> DataFrame:
