@@ -259,6 +259,22 @@ def pick_spaced(events: DataFrame, keys: list[str], pos: str, spacing: int, span
         *keys, (F.col("_chunk") * span + F.col("_x")).alias(pos))
 
 
+def with_neighbour(df: DataFrame, keys: list[str], pos: str, cols: list[str], span: int, prefix: str,
+                   following: bool = False) -> DataFrame:
+    """Columns of the previous (or following) row per key; ``pos`` is unique per key."""
+    rows = df.withColumn("_chunk", chunk_index(F.col(pos), span))
+    payload = F.struct(*cols)
+    by_pos, by_chunk = W.partitionBy(*keys, "_chunk").orderBy(pos), W.partitionBy(*keys).orderBy("_chunk")
+    edge = F.min_by(payload, pos) if following else F.max_by(payload, pos)
+    edges = rows.groupBy(*keys, "_chunk").agg(edge.alias("_e"))
+    edges = edges.select(*keys, "_chunk", (F.lead("_e") if following else F.lag("_e")).over(by_chunk).alias("_edge"))
+    local = (F.lead(payload) if following else F.lag(payload)).over(by_pos)
+    out = rows.withColumn("_n", local).join(edges, keys + ["_chunk"]).withColumn("_n", F.coalesce("_n", "_edge"))
+    for c in cols:
+        out = out.withColumn(f"{prefix}{c}", F.col(f"_n.{c}"))
+    return out.drop("_chunk", "_n", "_edge")
+
+
 def run_groups(df: DataFrame, keys: list[str], chunk: str, order: list, low: Column, pos: str) -> DataFrame:
     """Maximal runs of consecutive low rows: one row per run with length and first position."""
     flagged = df.withColumn("_low", low)

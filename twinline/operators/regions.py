@@ -1,0 +1,422 @@
+"""Piecewise offsets: change points, regions, edit operations, kept intervals, re-timed cues."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
+
+from twinline.operators import ordered
+from twinline.params import DEFAULTS, PiecewiseSettings
+from twinline.session import settled
+
+CHUNK_MS = 7_200_000
+HALO_MS = 300_000
+
+
+@dataclass
+class Scan:
+    """Where the scan of one pair stands between two cuts."""
+
+    current: int   # offset in use, ms
+    run: int       # consecutive cuts that fit the candidate
+    candidate: int
+    run_t: int     # time of the first cut of that run
+    region_t: int  # start of the open region, -1 for the first
+
+    def as_tuple(self):
+        return (self.current, self.run, self.candidate if self.run else 0, self.run_t if self.run else 0, self.region_t)
+
+
+def scan_cuts(times, counts, lang, scan: Scan, p: PiecewiseSettings, inverse: float = 1.0,
+              drift_compensated: bool = False):
+    """Follow the offset over the cuts of one chunk.
+
+    Returns hits ``{(region_t, offset): n}``, changes ``[(region_t, offset)]``
+    and the largest distance the offset moved from where it started.
+    """
+    tol, wide, change, need = p.match_tolerance_ms, int(p.wide_probe_sec * 1000), p.min_offset_change_ms, p.min_consecutive
+    stretched = abs(inverse - 1.0) > 0.0001
+    start = scan.current
+    reach = 0
+    hits: dict = {}
+    changes: list = []
+
+    def expect(t, offset):
+        return (t - offset) * inverse if stretched else t - offset
+
+    def closest(x, limit):
+        if not len(lang):
+            return None
+        i = int(np.searchsorted(lang, x))
+        best = None
+        for j in (i - 1, i):
+            if 0 <= j < len(lang) and (best is None or abs(lang[j] - x) < abs(best - x)):
+                best = lang[j]
+        return int(best) if abs(best - x) <= limit else None
+
+    def moved(t, found):
+        return t - (found / inverse if drift_compensated and stretched else found)
+
+    def add_hits(offsets, n):
+        for o, k in zip(*_sum_by(offsets, n)):
+            key = (scan.region_t, o)
+            hits[key] = hits.get(key, 0) + k
+
+    i, n_cuts = 0, len(times)
+    calm = None  # for the current offset: nearest match and whether the cut simply fits
+    while i < n_cuts:
+        if scan.run == 0:
+            if calm is None:
+                calm = _fits(times, lang, scan.current, inverse if stretched else 1.0, tol, change, drift_compensated)
+            offsets, fits, next_odd = calm
+            j = int(next_odd[i])
+            if j > i:
+                add_hits(offsets[i:j], counts[i:j])
+                i = j
+                continue
+        t, left = int(times[i]), int(counts[i])
+        while left:
+            before = scan.as_tuple()
+            found = closest(expect(t, scan.current), tol)
+            fitted = False
+            if found is not None:
+                actual = moved(t, found)
+                if abs(actual - scan.current) > change:
+                    if scan.run == 0 or abs(actual - scan.candidate) < tol:
+                        if scan.run == 0:
+                            scan.candidate, scan.run_t = actual, t
+                        scan.run += 1
+                        fitted = scan.run >= need
+                    else:
+                        scan.run, scan.candidate, scan.run_t = 1, actual, t
+                else:
+                    key = (scan.region_t, actual)
+                    hits[key] = hits.get(key, 0) + 1
+                    scan.run = 0
+            elif scan.run > 0:
+                if closest(expect(t, scan.candidate), tol) is not None:
+                    scan.run += 1
+                    fitted = scan.run >= need
+                else:
+                    scan.run = 0
+            else:
+                probe = closest(expect(t, scan.current), wide)
+                if probe is not None and abs(moved(t, probe) - scan.current) > change:
+                    scan.candidate, scan.run, scan.run_t = moved(t, probe), 1, t
+            if scan.run:
+                reach = max(reach, abs(scan.candidate - start))
+            if fitted:
+                scan.region_t, scan.current, scan.run = scan.run_t, scan.candidate, 0
+                changes.append((scan.region_t, scan.current))
+                calm = None
+            left -= 1
+            if left and scan.as_tuple() == before:
+                # repeats of the same cut no longer change anything
+                if found is not None and abs(moved(t, found) - scan.current) <= change:
+                    hits[(scan.region_t, moved(t, found))] += left
+                left = 0
+        i += 1
+    return hits, changes, reach
+
+
+def _sum_by(offsets, n):
+    values, where = np.unique(offsets, return_inverse=True)
+    return values.tolist(), np.bincount(where, weights=n).astype(np.int64).tolist()
+
+
+def _fits(times, lang, current, inverse, tol, change, compensated):
+    """Offsets of the nearest language cuts, which cuts simply fit, and the next one that does not."""
+    n = len(times)
+    if len(lang):
+        x = (times - current) * inverse
+        i = np.searchsorted(lang, x)
+        a, b = lang[np.clip(i - 1, 0, len(lang) - 1)], lang[np.clip(i, 0, len(lang) - 1)]
+        near = np.where(np.abs(a - x) <= np.abs(b - x), a, b)
+        offsets = times - (near / inverse if compensated else near)
+        fits = (np.abs(near - x) <= tol) & (np.abs(offsets - current) <= change)
+    else:
+        offsets, fits = np.zeros(n, np.int64), np.zeros(n, bool)
+    marks = np.where(fits, n, np.arange(n))
+    next_odd = np.minimum.accumulate(marks[::-1])[::-1]
+    return offsets, fits, next_odd
+
+
+STATE = ["current", "run", "candidate", "run_t", "region_t"]
+STATE_DDL = ", ".join(f"{s} double" for s in STATE)
+EXIT_DDL = ", ".join(f"exit_{s} double" for s in STATE)
+OUT_DDL = "array<struct<kind: string, region_t: double, offset: double, n: long>>"
+
+
+def change_points(src: DataFrame, lang: DataFrame, initial: DataFrame, settings: PiecewiseSettings = DEFAULTS.piecewise,
+                  inverse: float = 1.0, drift_compensated: bool = False, span: int = CHUNK_MS,
+                  halo: int = HALO_MS) -> DataFrame:
+    """Hits and changes of every pair: rows (pair_id, kind, region_t, offset, n).
+
+    The scan depends on what it found before, so it cannot become a join. A
+    long pair is cut into chunks that are scanned in parallel under a guess
+    (the initial offset still holds). Guesses are then checked against what the
+    chunk before really ended with; only wrong ones run again, with the state
+    just found carried to all later chunks. Rounds needed: about one per offset
+    change, not one per chunk. A chunk that moves further than its halo of
+    language cuts runs again with a wider one, so results are exact.
+    """
+    points = ordered.histogram(src, ["pair_id"], "t_ms").withColumn("chunk", ordered.chunk_index(F.col("t_ms"), span))
+    marks = lang.select("pair_id", F.col("t_ms").cast("long").alias("t_ms")).distinct() \
+        .withColumn("_lc", ordered.chunk_index(F.col("t_ms"), span))
+    chunks = points.select("pair_id", "chunk").distinct()
+    start = initial.select("pair_id", F.col("offset_ms").cast("double").alias("current"),
+                           *[F.lit(v).cast("double").alias(s) for s, v in zip(STATE[1:], [0, 0, 0, -1])])
+    entries = chunks.join(start, "pair_id").withColumn("halo", F.lit(float(halo)))
+
+    def run(todo: DataFrame) -> DataFrame:
+        low = (F.col("chunk") * span - F.col("current") - F.col("halo")) * inverse
+        high = ((F.col("chunk") + 1) * span - F.col("current") + F.col("halo")) * inverse
+        reach = todo.withColumn("_lo", low).withColumn("_hi", high).withColumn(
+            "_lc", F.explode(F.sequence(F.floor(F.col("_lo") / span), F.floor(F.col("_hi") / span))))
+        near = (marks.join(reach, ["pair_id", "_lc"]).filter((F.col("t_ms") >= F.col("_lo")) & (F.col("t_ms") <= F.col("_hi")))
+                .select("pair_id", "chunk", "t_ms", F.lit(0).cast("long").alias("n"), *STATE, "halo"))
+        own = points.join(todo, ["pair_id", "chunk"]).select("pair_id", "chunk", "t_ms", "n", *STATE, "halo")
+
+        def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("t_ms")
+            cuts, others = pdf[pdf["n"] > 0], pdf[pdf["n"] == 0]
+            first = pdf.iloc[0]
+            as_int = lambda v: int(v) if float(v).is_integer() else float(v)
+            state = Scan(*(as_int(first[s]) for s in STATE))
+            hits, changes, far = scan_cuts(cuts["t_ms"].to_numpy(np.int64), cuts["n"].to_numpy(np.int64),
+                                           others["t_ms"].to_numpy(np.int64), state, settings, inverse, drift_compensated)
+            out = [{"kind": "hit", "region_t": float(r), "offset": float(o), "n": int(n)} for (r, o), n in hits.items()]
+            out += [{"kind": "change", "region_t": float(r), "offset": float(o), "n": settings.min_consecutive} for r, o in changes]
+            short = far + settings.wide_probe_sec * 1000 + settings.match_tolerance_ms > first["halo"]
+            row = {"pair_id": first["pair_id"], "chunk": int(first["chunk"]), **{s: float(first[s]) for s in STATE},
+                   "halo": float(first["halo"]), **{f"exit_{s}": float(v) for s, v in zip(STATE, state.as_tuple())},
+                   "short": bool(short), "out": out}
+            return pd.DataFrame([row]).astype({"pair_id": "int64", "chunk": "int64"})
+
+        return own.unionByName(near).groupBy("pair_id", "chunk").applyInPandas(
+            scan, f"pair_id long, chunk long, {STATE_DDL}, halo double, {EXIT_DDL}, short boolean, out {OUT_DDL}")
+
+    done = settled(run(entries))
+    while True:
+        stale = settled(_stale(done, start))
+        if stale.isEmpty():
+            break
+        again = run(stale)
+        done = settled(done.join(stale.select("pair_id", "chunk"), ["pair_id", "chunk"], "left_anti").unionByName(again))
+    return done.select("pair_id", F.explode("out").alias("o")).select("pair_id", "o.*")
+
+
+def _stale(done: DataFrame, start: DataFrame) -> DataFrame:
+    """Chunks whose entry differs from the true exit before them, with their next entry.
+
+    Works on one short row per chunk.
+    """
+    first = start.select("pair_id", *[F.col(s).alias(f"start_{s}") for s in STATE])
+    rows = done.select("pair_id", "chunk", *STATE, "halo", *[f"exit_{s}" for s in STATE], "short").join(first, "pair_id")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        expected = tuple(pdf.iloc[0][f"start_{s}"] for s in STATE)
+        trusted, out = True, []
+        for r in pdf.to_dict("records"):
+            entry = tuple(r[s] for s in STATE)
+            if entry != expected or r["short"]:
+                out.append((r["pair_id"], r["chunk"], *expected, r["halo"] * (4 if r["short"] else 1)))
+                trusted = False
+            elif trusted:
+                expected = tuple(r[f"exit_{s}"] for s in STATE)
+        return pd.DataFrame(out, columns=["pair_id", "chunk", *STATE, "halo"]).astype({"pair_id": "int64", "chunk": "int64"})
+
+    return rows.groupBy("pair_id").applyInPandas(walk, f"pair_id long, chunk long, {STATE_DDL}, halo double")
+
+
+def assemble(points: DataFrame, src: DataFrame, initial: DataFrame) -> DataFrame:
+    """Regions from hits and changes: offset = median of the hits, else the offset it opened with."""
+    keys = ["pair_id", "region_t"]
+    opened = (initial.select("pair_id", F.lit(-1.0).alias("region_t"), F.col("offset_ms").cast("double").alias("base"), F.lit(0).cast("long").alias("opening"))
+              .unionByName(points.filter("kind = 'change'").select("pair_id", "region_t", F.col("offset").alias("base"), F.col("n").alias("opening"))))
+    hits = (points.filter("kind = 'hit'").withColumn("half_us", F.bround(F.col("offset") * 1000, 0).cast("long"))
+            .groupBy(*keys, "half_us").agg(F.sum("n").alias("n")))
+    med = ordered.true_median(hits, keys, "half_us", "med", 1 << 20)
+    ends = src.groupBy("pair_id").agg(F.max("t_ms").cast("double").alias("last_ms"))
+    r = (opened.join(med, keys, "left")
+         .withColumn("offset_ms", F.coalesce(F.col("med") / 1000.0, F.col("base")))
+         .withColumn("match_count", F.col("opening") + F.coalesce("total", F.lit(0)))
+         .withColumn("start_ms", F.greatest(F.col("region_t"), F.lit(0.0)))
+         .withColumn("_pos", F.col("region_t").cast("long")))
+    r = ordered.with_neighbour(r, ["pair_id"], "_pos", ["start_ms"], CHUNK_MS, "next_", following=True)
+    return (r.join(ends, "pair_id").withColumn("end_ms", F.coalesce("next_start_ms", "last_ms"))
+            .select("pair_id", "start_ms", "end_ms", "offset_ms", "match_count"))
+
+
+def split_at_dips(regions: DataFrame, dips: DataFrame, min_region_ms: int = 20_000) -> DataFrame:
+    """Cut regions at confirmed dips.
+
+    ``dips``: pair_id, region_start, dip_ms, delta_ms (0 = probe found nothing
+    better). Every dip, confirmed or not, counts in the divisor of the match
+    count; only confirmed ones cut. Regions shorter than the minimum stay.
+    """
+    long_enough = (F.col("end_ms") - F.col("start_ms")) >= min_region_ms
+    d = dips.join(regions.filter(long_enough).select("pair_id", F.col("start_ms").alias("region_start")), ["pair_id", "region_start"], "left_semi")
+    count = d.groupBy("pair_id", "region_start").agg(F.count(F.lit(1)).alias("_dips"))
+    base = regions.withColumnRenamed("start_ms", "region_start").join(count, ["pair_id", "region_start"], "left") \
+        .withColumn("match_count", F.expr("match_count div (coalesce(_dips, 0) + 1)"))
+    heads = base.select("pair_id", "region_start", F.col("region_start").alias("start_ms"), F.lit(0).cast("long").alias("delta_ms"))
+    starts = heads.unionByName(d.filter("delta_ms <> 0").select(
+        "pair_id", "region_start", F.col("dip_ms").cast(heads.schema["start_ms"].dataType).alias("start_ms"), F.col("delta_ms").cast("long")))
+    starts = starts.withColumn("_pos", F.col("start_ms").cast("long")).withColumn("_chunk", ordered.chunk_index(F.col("_pos"), CHUNK_MS))
+    keys = ["pair_id", "region_start"]
+    shifted = ordered.running_total(starts, keys, "_chunk", ["_pos", "delta_ms"], F.col("delta_ms"), "_shift")
+    nexts = ordered.with_neighbour(shifted.drop("_chunk"), keys, "_pos", ["start_ms"], CHUNK_MS, "next_", following=True)
+    return (nexts.join(base, keys).withColumn("offset_ms", F.col("offset_ms") + F.col("_shift"))
+            .withColumn("end_ms", F.coalesce("next_start_ms", "end_ms"))
+            .select("pair_id", "start_ms", "end_ms", "offset_ms", "match_count"))
+
+
+def merge_equal(regions: DataFrame, tolerance_ms: float = 1.0) -> DataFrame:
+    """Merge neighbours whose offset is within tolerance of the *first* of their group.
+
+    A jump of twice the tolerance always starts a group, whatever came before,
+    and exact repeats never do. Both cut the series without looking back, so
+    only the rare rest (small steps) is folded, island by island.
+    """
+    rows = regions.withColumn("_pos", F.col("start_ms").cast("long"))
+    prev = ordered.with_neighbour(rows, ["pair_id"], "_pos", ["offset_ms"], CHUNK_MS, "prev_")
+    step = F.abs(F.col("offset_ms") - F.col("prev_offset_ms"))
+    flagged = (prev.withColumn("_new", F.when(F.col("prev_offset_ms").isNull() | (step > 0), 1).otherwise(0))
+               .withColumn("_hard", F.when(F.col("prev_offset_ms").isNull() | (step >= 2 * tolerance_ms), 1).otherwise(0))
+               .withColumn("_chunk", ordered.chunk_index(F.col("_pos"), CHUNK_MS)))
+    numbered = ordered.running_total(flagged, ["pair_id"], "_chunk", ["_pos"], F.col("_new"), "_run")
+    numbered = ordered.running_total(numbered, ["pair_id"], "_chunk", ["_pos"], F.col("_hard"), "_island")
+    runs = numbered.groupBy("pair_id", "_island", "_run").agg(
+        F.min("start_ms").alias("start_ms"), F.max_by("end_ms", "_pos").alias("end_ms"),
+        F.min_by("offset_ms", "_pos").alias("offset_ms"), F.sum("match_count").alias("match_count"))
+    items = F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "offset_ms", "match_count")))
+    zero = F.slice(F.col("_items"), 1, 0)
+    def join_last(acc, x):
+        last = F.element_at(acc, -1)
+        grown = F.struct(last["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), last["offset_ms"].alias("offset_ms"),
+                         (last["match_count"] + x["match_count"]).alias("match_count"))
+        same = (F.size(acc) > 0) & (F.abs(x["offset_ms"] - last["offset_ms"]) < tolerance_ms)
+        return F.when(same, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
+    folded = runs.groupBy("pair_id", "_island").agg(items.alias("_items")).withColumn(
+        "_m", F.when(F.size("_items") == 1, F.col("_items")).otherwise(
+            F.aggregate("_items", zero, lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(join_last(acc, x)))))
+    return folded.select("pair_id", F.explode("_m").alias("r")).select("pair_id", "r.*")
+
+
+def transitions(regions: DataFrame) -> DataFrame:
+    """Every region with the offset and end of the one after it, and the default crossover."""
+    rows = regions.withColumn("_pos", F.col("start_ms").cast("long"))
+    rows = ordered.with_neighbour(rows, ["pair_id"], "_pos", ["start_ms", "offset_ms", "end_ms"], CHUNK_MS, "next_", following=True)
+    rows = ordered.with_neighbour(rows, ["pair_id"], "_pos", ["start_ms"], CHUNK_MS, "prev_")
+    return rows.filter("next_offset_ms is not null").drop("_pos")
+
+
+def search_range(trans: DataFrame) -> DataFrame:
+    """Where to look for the exact crossover of each transition, ms; the middle is the fallback."""
+    low = F.col("start_ms") + F.when(F.col("prev_start_ms").isNotNull(), 10_000.0).otherwise(0.0)
+    out = trans.withColumn("search_start", F.greatest(low, F.lit(5000.0))) \
+        .withColumn("search_end", F.least(F.col("end_ms") + 10_000.0, F.col("next_end_ms")))
+    return out.withColumn("crossover_ms", (F.col("search_start") + F.col("search_end")) / 2.0)
+
+
+def edit_operations(trans: DataFrame, crossover: str, inverse: float = 1.0) -> DataFrame:
+    """Offset up: insert silence; offset down: cut a segment. Durations and times round half to even."""
+    old, new = F.col("offset_ms"), F.col("next_offset_ms")
+    lang = F.bround(F.col(crossover) - old, 0)
+    if abs(inverse - 1.0) > 0.0001:
+        lang = F.bround(lang * inverse, 0)
+    return trans.select(
+        "pair_id", F.when(new > old, "INSERT_SILENCE").otherwise("CUT_SEGMENT").alias("type"),
+        lang.cast("long").alias("lang_ts_ms"), F.abs(F.bround(new - old, 0)).cast("long").alias("duration_ms"),
+        F.bround(F.col(crossover), 0).cast("long").alias("source_ts_ms"))
+
+
+def kept_segments(ops: DataFrame, key: str = "pair_id", audio: bool = True) -> DataFrame:
+    """Kept intervals and silence gaps from ordered edit operations; the tail is open.
+
+    ``ops``: key, op_idx, type, lang_ts_ms, duration_ms. Empty intervals drop out.
+    """
+    end = F.col("lang_ts_ms") + F.when(F.col("type") == "CUT_SEGMENT", F.col("duration_ms")).otherwise(0)
+    rows = ops.withColumn("op_end", end)
+    rows = ordered.with_neighbour(rows, [key], "op_idx", ["op_end"], 4096, "prev_")
+    start = F.coalesce("prev_op_end", F.lit(0))
+    kept = rows.filter(F.col("lang_ts_ms") > start).select(
+        key, "op_idx", F.lit(0).alias("part"), F.lit("keep").alias("kind"), start.alias("start_ms"), F.col("lang_ts_ms").alias("end_ms"))
+    silence = rows.filter("type = 'INSERT_SILENCE'").select(
+        key, "op_idx", F.lit(1).alias("part"), F.lit("silence").alias("kind"), F.lit(0).cast("long").alias("start_ms"), F.col("duration_ms").alias("end_ms"))
+    tail = rows.groupBy(key).agg(F.max("op_idx").alias("_last"), F.max_by("op_end", "op_idx").alias("start_ms")).select(
+        key, (F.col("_last") + 1).alias("op_idx"), F.lit(0).alias("part"), F.lit("keep").alias("kind"), "start_ms", F.lit(None).cast("long").alias("end_ms"))
+    return kept.unionByName(tail).unionByName(silence) if audio else kept.unionByName(tail)
+
+
+def retime(cues: DataFrame, segments: DataFrame, gap_mode: str = "reference", key: str = "pair_id", span: int = CHUNK_MS) -> DataFrame:
+    """Move cues by the kept intervals; cues inside a cut go, cues across one are clipped.
+
+    ``gap_mode``: "reference" ignores inserted silence, "shift" moves what follows it.
+    Both cue edges are looked up as-of, so no interval join is needed.
+    """
+    open_end = 1 << 60
+    parts = segments if gap_mode == "shift" else segments.filter("kind = 'keep'")
+    parts = parts.withColumn("_end", F.coalesce("end_ms", F.lit(open_end))).withColumn("_pos", F.col("op_idx") * 2 + F.col("part")) \
+        .withColumn("_chunk", ordered.chunk_index(F.col("_pos"), 4096))
+    placed = ordered.running_total(parts, [key], "_chunk", ["_pos"], F.col("_end") - F.col("start_ms"), "out_start", exclusive=True)
+    kept = placed.drop("_chunk").filter("kind = 'keep'")
+    marks = ordered.with_neighbour(kept, [key], "_pos", ["out_start"], 4096, "next_", following=True).select(
+        key, F.col("start_ms").alias("seg_start"), F.col("_end").alias("seg_end"), "out_start", "next_out_start")
+    whole = cues.join(segments.select(key).distinct(), key, "left_anti") \
+        .withColumn("new_start_ms", F.col("start_ms")).withColumn("new_end_ms", F.col("end_ms"))
+    cues = cues.withColumn("_last", F.col("end_ms") - 1)  # an end on a boundary belongs to the part before it
+    edges = cues.select(key, F.explode(F.array("start_ms", "_last")).alias("t"))
+    cols = ["seg_start", "seg_end", "out_start", "next_out_start"]
+    at = ordered.last_at_or_before(edges, marks.withColumn("_m0", F.col("seg_start")), [key], "t", "_m0", cols, span)
+    def edge(name):
+        return at.select(key, F.col("t").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
+    j = cues.join(edge("start_ms"), [key, "start_ms"]).join(edge("_last"), [key, "_last"])
+    inside = F.col("start_ms_out_start") + F.col("start_ms") - F.col("start_ms_seg_start")
+    new_start = F.when(F.col("start_ms_seg_start").isNull(), F.lit(0)).when(F.col("start_ms") < F.col("start_ms_seg_end"), inside) \
+        .otherwise(F.col("start_ms_next_out_start"))
+    new_end = F.col("_last_out_start") + F.least(F.col("end_ms"), F.col("_last_seg_end")) - F.col("_last_seg_start")
+    moved = j.withColumn("new_start_ms", new_start).withColumn("_e", new_end)
+    return moved.filter(F.col("new_start_ms") < F.col("_e")).withColumn("new_end_ms", F.col("_e")) \
+        .select(*whole.columns).unionByName(whole)
+
+
+def probe_grid(dips: DataFrame, settings: PiecewiseSettings, inverse: float = 1.0) -> DataFrame:
+    """Probe positions after each dip: every margin with every offset step, from fixed lists."""
+    margins = F.posexplode(F.array(*[F.lit(int(m * 1000)) for m in settings.probe_margins_sec]))
+    deltas = F.posexplode(F.array(*[F.lit(x) for x in settings.probe_deltas_ms]))
+    g = dips.select("*", margins.alias("margin_no", "margin_ms")).select("*", deltas.alias("delta_no", "delta_ms"))
+    src = F.col("dip_ms") + F.col("margin_ms")
+    return (g.withColumn("src_start", src)
+            .withColumn("lang_start", (src - F.col("offset_ms") - F.col("delta_ms")) * inverse)
+            .withColumn("dur_ms", F.lit(int(settings.probe_duration_sec * 1000))).filter("lang_start >= 0"))
+
+
+def probe_consensus(probes: DataFrame, keys: list[str], settings: PiecewiseSettings) -> DataFrame:
+    """Best step per probe point, and the step all points agree on (0 without agreement).
+
+    Only points with at least two source frames count; a better score must be strictly better.
+    """
+    usable = probes.filter("src_frames >= 2")
+    scored = F.when((F.col("lang_frames") >= 2) & (F.col("mean_ssim") > 0), F.struct("mean_ssim", -F.col("delta_no")))
+    best = usable.groupBy(*keys, "margin_no").agg(
+        F.coalesce(F.max_by("delta_ms", scored), F.lit(0)).alias("delta_ms"), F.coalesce(F.max(scored)["mean_ssim"], F.lit(0.0)).alias("ssim"))
+    agg = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), F.min("delta_ms").alias("_lo"), F.max("delta_ms").alias("_hi"), F.min("ssim").alias("min_ssim"))
+    ok = (F.col("points") >= settings.probe_min_points) & (F.col("_lo") == F.col("_hi")) & (F.col("min_ssim") >= settings.probe_min_ssim)
+    return agg.select(*keys, "points", "min_ssim", F.when(ok, F.col("_lo")).otherwise(0).cast("long").alias("delta_ms"))
+
+
+def global_check(points: DataFrame, keys: list[str], settings: PiecewiseSettings, floor_mse: float = 100.0) -> DataFrame:
+    """Share of verify points below max(multiplier x mean, floor); pass at the minimum ratio."""
+    mean = points.groupBy(*keys).agg(F.avg("mse").alias("baseline_mse"))
+    limit = F.greatest(F.col("baseline_mse") * settings.verify_mse_multiplier, F.lit(floor_mse))
+    return (points.join(mean, keys).groupBy(*keys).agg(
+        F.any_value("baseline_mse").alias("baseline_mse"), F.count(F.lit(1)).alias("points"),
+        F.count_if(F.col("mse") < limit).alias("valid_points"))
+        .withColumn("verified", F.col("valid_points") / F.col("points") >= settings.verify_min_ratio))
