@@ -185,7 +185,10 @@ def tracks(spark: SparkSession, d: str) -> DataFrame:
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
     """FX5: two catalogues with duplicate ids and names without an id."""
-    o = table(spark, d, "orders")
+    return as_catalog(table(spark, d, "orders"))
+
+
+def as_catalog(o: DataFrame) -> DataFrame:
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     serie = F.concat(F.lit("Serie."), F.when(F.col("o_orderkey") % 2 == 0, "s").otherwise("S"),
                      two(F.col("o_custkey") % 40), F.lit("E"), two(F.col("o_orderkey") % 60), F.lit(".mkv"))

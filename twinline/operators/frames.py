@@ -104,8 +104,7 @@ def resample(rows: DataFrame, keys: list[str], ts_ms: Column, fps: float, payloa
             .select(*keys, "cell", "_p.*"))
 
 
-def segment_cuts(diffs: DataFrame, sizes: DataFrame, segments: DataFrame, start: str, duration: str,
-                 settings: FrameSettings) -> DataFrame:
+def segment_cuts(diffs: DataFrame, segments: DataFrame, start: str, duration: str, settings: FrameSettings) -> DataFrame:
     """Scene cuts found inside each segment, with margin, as file positions.
 
     ``diffs`` has one row per frame, with a null ``mse`` for the last one.

@@ -73,7 +73,7 @@ def constant_offset(src: DataFrame, lang: DataFrame, durations: DataFrame, fps:
                           F.lit(search.source_duration_sec * 1000).alias("src_dur"), F.lit(0).alias("lang_start"),
                           F.lit(search.lang_duration_sec * 1000).alias("lang_dur"))
     def cuts(time, seg, side):
-        return settled(fr.segment_cuts(time, None, seg, f"{side}_start", f"{side}_dur", settings))
+        return settled(fr.segment_cuts(time, seg, f"{side}_start", f"{side}_dur", settings))
     a, b = cuts(src_time, first, "src"), cuts(lang_time, first, "lang")
     need = settings.min_scene_cuts
     rich = [c.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need).select("file_id") for c in (a, b)]

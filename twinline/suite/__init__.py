@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-THEMES = ["catalog_queries", "track_queries", "series_queries", "frame_queries", "region_queries"]
+THEMES = ["catalog_queries", "track_queries", "series_queries", "frame_queries", "region_queries", "source_queries", "job_queries"]
 
 
 def load():
