@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 C1, C2 = 6.5025, 58.5225  # fixed values: (0.01 * 255)^2 and (0.03 * 255)^2
 
@@ -28,13 +28,16 @@ def sums(a: Column, b: Column) -> Column:
                     _total(mul(a, a)).alias("aa"), _total(mul(b, b)).alias("bb"), _total(mul(a, b)).alias("ab"))
 
 
-@F.pandas_udf("struct<n: long, a: long, b: long, aa: long, bb: long, ab: long>")
+SUMS = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "a", "b", "aa", "bb", "ab")])
+
+
+@F.pandas_udf(SUMS)
 def binary_sums(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     out = np.empty((len(a), 6), dtype=np.int64)
     for i, (p, q) in enumerate(zip(a, b)):
         x, y = np.frombuffer(p, np.uint8).astype(np.int64), np.frombuffer(q, np.uint8).astype(np.int64)
         out[i] = len(x), x.sum(), y.sum(), x @ x, y @ y, x @ y
-    return pd.DataFrame(out, columns=["n", "a", "b", "aa", "bb", "ab"])
+    return pd.DataFrame(out, columns=SUMS.names)
 
 
 def squared_error_of(s: Column) -> Column:

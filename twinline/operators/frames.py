@@ -7,10 +7,12 @@ times; pixels are joined last and only for the frames that are compared.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from twinline.functions import pixels
 from twinline.operators import ordered
 from twinline.params import FrameSettings
+from twinline.session import settled
 
 FRAME_CHUNK = 4096
 BUCKET_MS = 10_000
@@ -140,16 +142,16 @@ def timed_matches(src: DataFrame, lang: DataFrame, segments: DataFrame, keys: li
         rows = slice_segments(frames.select("file_id", "frame_idx", "ts_ms"), segments.select(*keys, start, "dur_ms"), start, "dur_ms")
         if fps > 0:
             rows = resample(rows, keys, F.col("ts_ms"), fps, ["frame_idx", "ts_ms"], F.col("ts_ms"))
-        base = rows.groupBy(*keys).agg(F.min("ts_ms").alias("_base"), F.count(F.lit(1)).alias(f"{name}_frames"))
-        rel = F.bround((F.col("ts_ms") - F.col("_base")) * 1000, 0).cast("long")
-        return rows.join(base, keys).select(*keys, F.col("frame_idx").alias(f"{name}_idx"), F.col("ts_ms").alias(f"{name}_ts"),
-                                            rel.alias("rel"), f"{name}_frames")
+        w = W.partitionBy(*keys)  # a segment is bounded by its duration
+        rel = F.bround((F.col("ts_ms") - F.min("ts_ms").over(w)) * 1000, 0).cast("long")
+        return settled(rows.select(*keys, F.col("frame_idx").alias(f"{name}_idx"), F.col("ts_ms").alias(f"{name}_ts"),
+                                   rel.alias("rel"), F.count(F.lit(1)).over(w).alias(f"{name}_frames")))
     a, b = side(src, "src_start", "src"), side(lang, "lang_start", "lang")
     near = ordered.nearest(a, b, keys, "rel", "rel", "later", 60_000_000)
     near = near.withColumn("near", F.when(F.abs(F.col("near") - F.col("rel")) <= tolerance_ms * 1000, F.col("near")))
-    return (a.join(near, keys + ["rel"])
-            .join(b.select(*keys, F.col("rel").alias("near"), "lang_idx", "lang_frames"), keys + ["near"], "left")
-            .drop("near"))
+    return settled(a.join(near, keys + ["rel"])
+                   .join(b.select(*keys, F.col("rel").alias("near"), "lang_idx", "lang_frames"), keys + ["near"], "left")
+                   .drop("near"))
 
 
 def scored_matches(matches: DataFrame, src: DataFrame, lang: DataFrame, keys: list[str]) -> DataFrame:

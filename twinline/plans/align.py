@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from twinline.functions import pixels
@@ -176,8 +178,10 @@ def _segment_scores(src: DataFrame, lang: DataFrame, seg: DataFrame, keys: list[
 def confirm_dips(src: DataFrame, lang: DataFrame, rg: DataFrame, settings: PiecewiseSettings, inverse: float = 1.0) -> DataFrame:
     """Hidden offset changes inside regions: dips of a dense scan, confirmed by probing.
 
-    The dips of a region are probed one after the other, because each starts
-    from the offset the one before it left; all regions move in step.
+    A dip is probed from the offset the dips before it left. All open dips of a
+    region are probed at once as if none of them changed it; results count up to
+    the first that does, the dips after that are probed again. So there are as
+    many rounds as changes in a region, not as dips.
     """
     keys = ["file_id", "region_start"]
     seg = rg.filter(F.col("end_ms") - F.col("start_ms") >= settings.min_region_sec * 1000).select(
@@ -189,26 +193,25 @@ def confirm_dips(src: DataFrame, lang: DataFrame, rg: DataFrame, settings: Piece
         *keys, F.bround("src_ts", 0).cast("long").alias("pos"), F.coalesce("ssim", F.lit(0.0)).alias("ssim"))
     runs = series.low_runs(s.withColumn("tie", F.lit(0)), keys, "pos", "tie", "ssim", settings.dip_ssim, 3_600_000, 1000)
     dips = series.dip_runs(runs, settings.dense_scan_min_dip).select(*keys, F.col("run_start").alias("dip_ms"))
-    dips = settled(ordered.number_rows(dips, keys, ["dip_ms"], [ordered.chunk_index(F.col("dip_ms"), 3_600_000)], "no")
-                   .join(seg.select(*keys, "offset_ms"), keys).withColumn("delta_ms", F.lit(0).cast("long")))
-    rounds = dips.agg(F.max("no")).first()[0] or 0
-    gone = dips.filter("no < 0")
-    shift = dips.select(*keys).distinct().withColumn("shift", F.lit(0).cast("long"))
-    for k in range(1, rounds + 1):
-        now = dips.filter(F.col("no") == k).join(shift, keys).withColumn("offset_ms", F.col("offset_ms") + F.col("shift"))
-        grid = regions.probe_grid(now.select(*keys, "dip_ms", "offset_ms"), settings, inverse)
-        cols = keys + ["margin_no", "delta_no"]
+    pending = settled(dips.join(seg.select(*keys, "offset_ms"), keys))
+    cols = keys + ["dip_ms", "margin_no", "delta_no"]
+    parts = []
+    while not pending.isEmpty():
+        grid = regions.probe_grid(pending, settings, inverse)
         here = grid.filter("margin_no = 0 and delta_no = 0").withColumn("lang_start", (F.col("src_start") - F.col("offset_ms")) * inverse) \
             .withColumn("delta_ms", F.lit(0)).filter("lang_start >= 0")
         still = score_probes(src, lang, here, cols).filter((F.col("src_frames") >= 2) & (F.col("lang_frames") >= 2)
-                                                           & (F.col("mean_ssim") >= settings.probe_min_ssim)).select(*keys)
-        verdict = regions.probe_consensus(score_probes(src, lang, grid.join(still, keys, "left_anti"), cols), keys, settings)
-        part = settled(now.drop("delta_ms", "shift").join(verdict.select(*keys, "delta_ms"), keys, "left").withColumn("delta_ms", F.coalesce("delta_ms", F.lit(0).cast("long"))))
-        gone = gone.select(*keys, "dip_ms", "delta_ms") if k == 1 else gone
-        gone = gone.unionByName(part.select(*keys, "dip_ms", "delta_ms"))
-        shift = settled(shift.join(part.select(*keys, F.col("delta_ms").alias("_d")), keys, "left")
-                        .select(*keys, (F.col("shift") + F.coalesce("_d", F.lit(0))).alias("shift")))
-    return gone.select(F.col("file_id").alias("pair_id"), "region_start", "dip_ms", "delta_ms")
+                                                           & (F.col("mean_ssim") >= settings.probe_min_ssim)).select(*keys, "dip_ms")
+        open_grid = settled(grid.join(still, keys + ["dip_ms"], "left_anti"))
+        verdict = regions.probe_consensus(score_probes(src, lang, open_grid, cols), keys + ["dip_ms"], settings)
+        probed = settled(pending.join(verdict.select(*keys, "dip_ms", "delta_ms"), keys + ["dip_ms"], "left")
+                         .withColumn("delta_ms", F.coalesce("delta_ms", F.lit(0).cast("long"))))
+        change = probed.filter("delta_ms <> 0").groupBy(*keys).agg(F.min("dip_ms").alias("_at"), F.min_by("delta_ms", "dip_ms").alias("_by"))
+        judged = probed.join(change, keys, "left")
+        parts.append(judged.filter("_at is null or dip_ms <= _at").select(F.col("file_id").alias("pair_id"), "region_start", "dip_ms", "delta_ms"))
+        pending = settled(judged.filter("dip_ms > _at").select(*keys, "dip_ms", (F.col("offset_ms") + F.col("_by")).alias("offset_ms")))
+    empty = pending.select(F.col("file_id").alias("pair_id"), "region_start", "dip_ms", F.lit(0).cast("long").alias("delta_ms"))
+    return reduce(DataFrame.unionByName, parts, empty)
 
 
 def refine_crossovers(src: DataFrame, lang: DataFrame, trans: DataFrame, settings: PiecewiseSettings, inverse: float = 1.0) -> DataFrame:

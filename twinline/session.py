@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,13 +22,21 @@ def local_session(cpus: str | None = None, name: str = "twinline") -> SparkSessi
             .getOrCreate())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a temporary one only where it names none, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = getattr(spark, "_twinline_folder", None) or tempfile.mkdtemp(prefix="twinline-")
+        spark._twinline_folder = base
+    return base.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
+    """Write an intermediate table to the shared folder and go on from there.
 
-    The folder is set here only when the session has none, as in tests.
+    Cuts the lineage, survives the loss of executors, and gives the plans after
+    it real sizes to choose joins by.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="twinline-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,6 @@ available input into a folder and reads it back.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from twinline.operators import catalog
+from twinline.session import shared_folder
 
 
 def source(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 200) -> DataFrame:
@@ -24,9 +24,7 @@ def source(spark: SparkSession, folder: str, table: str, files_per_trigger: int
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder next to the checkpoints the cluster names; a temporary one only without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="twinline-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame) -> DataFrame:

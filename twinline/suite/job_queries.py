@@ -35,17 +35,26 @@ def job_deep(spark, d):
     return align.piecewise_job(c.filter("side = 'src'").drop("side"), c.filter("side = 'lang'").drop("side"))
 
 
-def piecewise_lang_frames(spark, d):
-    """The language frames with two more seconds missing from source second 10 on."""
+def slow(frames):
+    """The same frames at 2.5 per second, so that scenes last seconds."""
+    return frames.withColumn("ts_ms", F.col("frame_idx") * 400)
+
+
+def piecewise_inputs(spark, d):
+    """Slow frames; the language side also lacks source frames 250 to 259.
+
+    Known truth: offset 14 800 ms, and 18 800 ms from source second 104 on.
+    """
     n = F.col("frame_idx")
-    kept = fx.lang_frames(spark, d).filter((n < 213) | (n >= 263))
-    return kept.withColumn("frame_idx", F.when(n >= 263, n - 50).otherwise(n)).withColumn("ts_ms", F.col("frame_idx") * 40)
+    lang = fx.lang_frames(spark, d).filter((n < 213) | (n >= 223))
+    src = settled(slow(fx.frames(spark, d)))
+    durations = fr.frame_counts(src).select("file_id", (F.col("frame_count") * 400).alias("duration_ms"))
+    return src, settled(slow(lang.withColumn("frame_idx", F.when(n >= 223, n - 10).otherwise(n)))), durations
 
 
 @query("job_deep_frames")
 def job_deep_frames(spark, d):
-    src, lang, durations = frame_inputs(spark, d, piecewise_lang_frames)
-    summary, ops = align.piecewise_frames_job(src, lang, durations, VECTOR_FRAMES)
+    summary, ops = align.piecewise_frames_job(*piecewise_inputs(spark, d), VECTOR_FRAMES)
     return summary.select("pair_id", "op_count", "matched_cuts", "initial_delay_ms", F.bround("baseline_mse", 6).alias("baseline_mse")).join(
         ops.select("pair_id", "type", "lang_ts_ms", "duration_ms", "source_ts_ms"), "pair_id", "left")
 
