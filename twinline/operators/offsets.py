@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from twinline.operators import ordered
-from twinline.params import FrameSettings, PiecewiseSettings
+from twinline.params import PiecewiseSettings
+from twinline.session import spread
 
 BLOCK = 2_000_000
 
@@ -41,7 +42,7 @@ def candidates(src: DataFrame, lang: DataFrame, key: str, pos: str, inverse_rati
         return pd.DataFrame({key: pdf[key].iloc[0], "offset": total.index.astype("int64"), "n": total.to_numpy().astype("int64")})
 
     kind = src.schema[key].dataType.simpleString()
-    return both.groupBy(key).applyInPandas(correlate, f"{key} {kind}, offset long, n long")
+    return spread(both, [key]).groupBy(key).applyInPandas(correlate, f"{key} {kind}, offset long, n long")
 
 
 def densest_cluster(hist: DataFrame, keys: list[str], width: int, span: int = 1 << 16) -> DataFrame:

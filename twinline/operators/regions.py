@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from twinline.operators import ordered
 from twinline.params import DEFAULTS, PiecewiseSettings
-from twinline.session import settled
+from twinline.session import settled, spread
 
 CHUNK_MS = 7_200_000
 HALO_MS = 300_000
@@ -164,13 +164,13 @@ def change_points(src: DataFrame, lang: DataFrame, initial: DataFrame, settings:
     change, not one per chunk. A chunk that moves further than its halo of
     language cuts runs again with a wider one, so results are exact.
     """
-    points = ordered.histogram(src, ["pair_id"], "t_ms").withColumn("chunk", ordered.chunk_index(F.col("t_ms"), span))
-    marks = lang.select("pair_id", F.col("t_ms").cast("long").alias("t_ms")).distinct() \
-        .withColumn("_lc", ordered.chunk_index(F.col("t_ms"), span))
+    points = settled(ordered.histogram(src, ["pair_id"], "t_ms").withColumn("chunk", ordered.chunk_index(F.col("t_ms"), span)))
+    marks = settled(lang.select("pair_id", F.col("t_ms").cast("long").alias("t_ms")).distinct()
+                    .withColumn("_lc", ordered.chunk_index(F.col("t_ms"), span)))
     chunks = points.select("pair_id", "chunk").distinct()
     start = initial.select("pair_id", F.col("offset_ms").cast("double").alias("current"),
                            *[F.lit(v).cast("double").alias(s) for s, v in zip(STATE[1:], [0, 0, 0, -1])])
-    entries = chunks.join(start, "pair_id").withColumn("halo", F.lit(float(halo)))
+    entries = settled(chunks.join(start, "pair_id").withColumn("halo", F.lit(float(halo))))
 
     def run(todo: DataFrame) -> DataFrame:
         low = (F.col("chunk") * span - F.col("current") - F.col("halo")) * inverse
@@ -197,7 +197,7 @@ def change_points(src: DataFrame, lang: DataFrame, initial: DataFrame, settings:
                    "short": bool(short), "out": out}
             return pd.DataFrame([row]).astype({"pair_id": "int64", "chunk": "int64"})
 
-        return own.unionByName(near).groupBy("pair_id", "chunk").applyInPandas(
+        return spread(own.unionByName(near), ["pair_id", "chunk"]).groupBy("pair_id", "chunk").applyInPandas(
             scan, f"pair_id long, chunk long, {STATE_DDL}, halo double, {EXIT_DDL}, short boolean, out {OUT_DDL}")
 
     done = settled(run(entries))
@@ -217,6 +217,9 @@ def _stale(done: DataFrame, start: DataFrame) -> DataFrame:
     """
     first = start.select("pair_id", *[F.col(s).alias(f"start_{s}") for s in STATE])
     rows = done.select("pair_id", "chunk", *STATE, "halo", *[f"exit_{s}" for s in STATE], "short").join(first, "pair_id")
+    # a pair of one chunk was entered with the true state; only its halo can be at fault
+    doubtful = rows.groupBy("pair_id").agg(F.count(F.lit(1)).alias("_c"), F.max("short").alias("_s")).filter("_c > 1 or _s").select("pair_id")
+    rows = rows.join(doubtful, "pair_id", "left_semi")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
@@ -231,7 +234,7 @@ def _stale(done: DataFrame, start: DataFrame) -> DataFrame:
                 expected = tuple(r[f"exit_{s}"] for s in STATE)
         return pd.DataFrame(out, columns=["pair_id", "chunk", *STATE, "halo"]).astype({"pair_id": "int64", "chunk": "int64"})
 
-    return rows.groupBy("pair_id").applyInPandas(walk, f"pair_id long, chunk long, {STATE_DDL}, halo double")
+    return spread(rows, ["pair_id"]).groupBy("pair_id").applyInPandas(walk, f"pair_id long, chunk long, {STATE_DDL}, halo double")
 
 
 def assemble(points: DataFrame, src: DataFrame, initial: DataFrame) -> DataFrame:
@@ -374,7 +377,7 @@ def retime(cues: DataFrame, segments: DataFrame, gap_mode: str = "reference", ke
     cues = cues.withColumn("_last", F.col("end_ms") - 1)  # an end on a boundary belongs to the part before it
     edges = cues.select(key, F.explode(F.array("start_ms", "_last")).alias("t"))
     cols = ["seg_start", "seg_end", "out_start", "next_out_start"]
-    at = ordered.last_at_or_before(edges, marks.withColumn("_m0", F.col("seg_start")), [key], "t", "_m0", cols, span)
+    at = settled(ordered.last_at_or_before(edges, marks.withColumn("_m0", F.col("seg_start")), [key], "t", "_m0", cols, span))
     def edge(name):
         return at.select(key, F.col("t").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
     j = cues.join(edge("start_ms"), [key, "start_ms"]).join(edge("_last"), [key, "_last"])

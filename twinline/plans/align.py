@@ -139,7 +139,9 @@ def offset_regions(src: DataFrame, lang: DataFrame, settings: PiecewiseSettings
     """Regions of constant offset of every pair with enough cuts and a clear initial vote."""
     def rich(c):
         return c.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_cuts).select("pair_id")
-    src = src.join(rich(src), "pair_id", "left_semi").join(rich(lang), "pair_id", "left_semi")
+    rich_pairs = settled(rich(src).join(rich(lang), "pair_id", "left_semi"))
+    src = settled(src.select("pair_id", "t_ms").join(rich_pairs, "pair_id", "left_semi"))
+    lang = settled(lang.select("pair_id", "t_ms").join(rich_pairs, "pair_id", "left_semi"))
     initial = settled(offsets.initial_offset(offsets.grid_votes(src, lang, settings, inverse)))
     points = regions.change_points(src, lang, initial, settings, inverse, drift_compensated, span)
     return regions.assemble(points, src.join(initial.select("pair_id"), "pair_id", "left_semi"), initial)

@@ -31,6 +31,18 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Partition by key for grouped Python work.
+
+    Such work is bound by CPU, not bytes; without this, small inputs would be
+    merged into one partition and run in a single Python process. The grouping
+    that follows has the same keys, so there is still one shuffle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and go on from there.
 
