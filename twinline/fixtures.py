@@ -117,13 +117,18 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     return held.select("file_id", "frame_idx", (F.col("frame_idx") * 40).alias("ts_ms"), px.alias("px"))
 
 
+def noisy_frames(spark: SparkSession, d: str) -> DataFrame:
+    """FX1 with +-10 noise."""
+    px = F.transform("px", lambda v, i: F.greatest(F.lit(0), F.least(
+        F.lit(255), v + ((i + 1) * 7 + F.col("frame_idx") * 3) % 21 - 10)).cast("int"))
+    return frames(spark, d).withColumn("px", px)
+
+
 def lang_frames(spark: SparkSession, d: str) -> DataFrame:
-    """FX2: the same frames, first 37 removed, +-10 noise."""
+    """FX2: the noisy frames with the first 37 removed."""
+    # numbered in a step of its own: inside a lambda a column name would bind to a new alias of the same select
     n = F.col("frame_idx")
-    px = F.transform("px", lambda v, i: F.greatest(F.lit(0), F.least(
-        F.lit(255), v + ((i + 1) * 7 + n * 3) % 21 - 10)).cast("int"))
-    # two steps: inside a lambda a column name would bind to a new alias of the same select
-    return frames(spark, d).filter(n >= 37).withColumn("px", px).select(
+    return noisy_frames(spark, d).filter(n >= 37).select(
         "file_id", (n - 37).alias("frame_idx"), ((n - 37) * 40).alias("ts_ms"), "px")
 
 

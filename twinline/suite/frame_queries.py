@@ -7,6 +7,7 @@ from twinline.functions import pixels
 from twinline.operators import frames as fr
 from twinline.operators import ordered, series
 from twinline.params import VECTOR_FRAMES as VF
+from twinline.session import settled
 from twinline.suite.registry import query
 
 SHIFT_MS = -1480
@@ -59,11 +60,11 @@ def valid_cuts(frames):
 
 
 def cut_pairs(spark, d, src, lang):
-    a = valid_cuts(src).select("file_id", F.col("frame_idx").alias("src_cut"), (F.col("frame_idx") * 40 + SHIFT_MS).alias("target_ms"))
-    b = valid_cuts(lang).select("file_id", F.col("frame_idx").alias("lang_cut"), (F.col("frame_idx") * 40).alias("ts_ms"))
+    a = settled(valid_cuts(src)).select("file_id", F.col("frame_idx").alias("src_cut"), (F.col("frame_idx") * 40 + SHIFT_MS).alias("target_ms"))
+    b = settled(valid_cuts(lang)).select("file_id", F.col("frame_idx").alias("lang_cut"), (F.col("frame_idx") * 40).alias("ts_ms"))
     near = ordered.nearest(a, b, ["file_id"], "target_ms", "ts_ms", "earlier", 1 << 20)
     near = near.filter(F.abs(F.col("near") - F.col("target_ms")) <= 120)
-    return a.join(near, ["file_id", "target_ms"]).join(b.withColumnRenamed("ts_ms", "near"), ["file_id", "near"]).select("file_id", "src_cut", "lang_cut")
+    return settled(a.join(near, ["file_id", "target_ms"]).join(b.withColumnRenamed("ts_ms", "near"), ["file_id", "near"]).select("file_id", "src_cut", "lang_cut"))
 
 
 @query("frame_align", fx.sql_with(["fx1", "fx2"], "SELECT a.file_id, a.frame_idx, a.ts_ms, CAST(list_sum(b.px) AS BIGINT) AS px_sum FROM fx1 a JOIN fx2 b USING (file_id, frame_idx)"))
