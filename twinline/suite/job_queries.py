@@ -41,15 +41,16 @@ def slow(frames):
 
 
 def piecewise_inputs(spark, d):
-    """Slow frames; the language side is noisy and lacks source frames 250 to 259.
+    """Slow frames; the language side is noisy and lacks source frames 330 to 339.
 
-    Known truth: offset 0, and 4000 ms from source second 104 on.
+    Known truth: offset 0, and 4000 ms after the gap at source second 132. The gap lies past
+    the middle, so that the initial vote falls on the first offset.
     """
     n = F.col("frame_idx")
-    lang = fx.noisy_frames(spark, d).filter((n < 250) | (n >= 260))
+    lang = fx.noisy_frames(spark, d).filter((n < 330) | (n >= 340))
     src = settled(slow(fx.frames(spark, d)))
     durations = fr.frame_counts(src).select("file_id", (F.col("frame_count") * 400).alias("duration_ms"))
-    return src, settled(slow(lang.withColumn("frame_idx", F.when(n >= 260, n - 10).otherwise(n)))), durations
+    return src, settled(slow(lang.withColumn("frame_idx", F.when(n >= 340, n - 10).otherwise(n)))), durations
 
 
 @query("job_deep_frames")
