@@ -75,25 +75,25 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(used) == 0, F.lit(1.0)).otherwise(F.aggregate(used, F.lit(0), lambda s, v: s + v) / F.size(used))
 
 
-def with_next(rows: DataFrame, carried: list[str], per_bucket: int = 2000) -> DataFrame:
-    """``rows(doc_id, text, ...)`` with ``next``: a struct of the ``carried`` columns of the next row.
+def with_next(docs: DataFrame, dress=lambda rows: rows, per_bucket: int = 2000) -> DataFrame:
+    """The rows ``dress(docs(doc_id, text))`` with ``next``: a struct of the next row's columns.
 
     Rows are ordered by (doc_id, text); after the last comes the first. Ids are cut
     into ranges of about ``per_bucket`` rows at quantiles; the window runs inside a
-    range, and each range's last row takes the first row of the next range.
+    range, and each range's last row takes the first row of the next range. ``dress``
+    adds columns to rows; it is applied to all rows and to the first rows of the ranges.
     """
-    n = rows.count()
+    n = docs.count()
     count = max(1, -(-n // per_bucket))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 10 * count).alias("c")).first().c if count > 1 else None
-    rows = rows.withColumn("_bucket", F.expr(_search(sorted(set(cuts or [])))).cast("long"))
-    w = Window.partitionBy("_bucket").orderBy("doc_id", "text")
-    inside = rows.withColumn("_next", F.lead(F.struct(*carried)).over(w))
-    heads = rows.groupBy("_bucket").agg(F.min_by(F.struct(*carried), F.struct("doc_id", "text")).alias("_head"))
-    order = [r[0] for r in rows.select("_bucket").distinct().orderBy("_bucket").collect()]  # one number for each range
-    if not order:
-        return inside.withColumnRenamed("_next", "next").drop("_bucket")
-    pairs = rows.sparkSession.createDataFrame(list(zip(order[1:] + order[:1], order)), "_bucket long, _ends long")
-    heads = heads.join(pairs, "_bucket").select(F.col("_ends").alias("_bucket"), "_head")
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 10 * count).alias("c")).first().c if count > 1 else None
+    bucket = F.expr(_search(sorted(set(cuts or [])))).cast("long").alias("_bucket")
+    heads = docs.groupBy(bucket).agg(F.min(F.struct("doc_id", "text")).alias("h")).select("_bucket", "h.*")
+    order = [r[0] for r in docs.select(bucket).distinct().orderBy("_bucket").collect()]  # one number for each range
+    rows = dress(docs)
+    columns = rows.columns
+    inside = rows.select("*", bucket).withColumn("_next", F.lead(F.struct(*columns)).over(Window.partitionBy("_bucket").orderBy("doc_id", "text")))
+    pairs = docs.sparkSession.createDataFrame(list(zip(order, order[-1:] + order[:-1])), "_bucket long, _ends long")
+    heads = dress(heads.join(pairs, "_bucket")).select(F.col("_ends").alias("_bucket"), F.struct(*columns).alias("_head"))
     return inside.join(heads, "_bucket", "left").withColumn("next", F.coalesce("_next", "_head")).drop("_bucket", "_next", "_head")
 
 
@@ -115,7 +115,7 @@ def imatch(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     words = sorted(r[0] for r in lexicon(docs, least, most).select("term").collect())  # bounded, see lexicon()
-    rows = with_next(with_fingerprint(docs, "text", "f", words), ["text", "f"], per_bucket)
+    rows = with_next(docs, lambda rows: with_fingerprint(rows, "text", "f", words), per_bucket)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("text").substr(F.lit(1), F.length("text") - half), F.col("next.text").substr(F.lit(1), half))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "f", F.col("next.f").alias("x"), edited.alias("edited"))
