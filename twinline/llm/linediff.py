@@ -109,9 +109,10 @@ def line_cuts(docs: DataFrame, rare_share: float = RARE_SHARE, block_chars: int
         F.transform(lines, lambda x: F.length(x)).alias("sizes"),
         F.array_distinct(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x))).alias("keys")).dropDuplicates(["doc"]))
     keys = rows.select("place", F.explode("keys").alias("key"))
-    sources = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("source"))
-               .where((F.col("n") > 1) & (F.col("n") <= max(8, int(rare_share * n_docs)))))
-    pairs = (keys.join(sources.select("key", "source"), "key").where("place > source")
+    # written before the join, which can then split a hot line over tasks
+    sources = settled(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("source"))
+                      .where((F.col("n") > 1) & (F.col("n") <= max(8, int(rare_share * n_docs)))).select("key", "source"))
+    pairs = (keys.join(sources, "key").where("place > source")
              .select(F.col("place.doc").alias("doc"), F.col("source.doc").alias("source")).distinct())
     later = pairs.join(rows.select("doc", "lines", "sizes"), "doc")
     both = later.join(rows.select(F.col("doc").alias("source"), F.col("lines").alias("source_lines")), "source")
