@@ -182,7 +182,8 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX) -> Da
     docs = docs.select("doc_id", "doc", "text")
     place = F.struct("doc_id", "doc")
     rows = settled(docs.mapInArrow(_suffix_rows(passage, prefix), _SUFFIX))
-    shared = rows.groupBy("suffix").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("suffix")
+    # reduced tables are written before a join, which can then split a hot suffix or passage over tasks
+    shared = settled(rows.groupBy("suffix").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("suffix"))
     kept = settled(rows.join(shared, "suffix").select("suffix", "run", place.alias("place")))
     classes = kept.groupBy("suffix", "run").agg(F.min("place").alias("first"))
     several = classes.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("suffix", F.lit(True).alias("several"))
@@ -194,7 +195,7 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX) -> Da
     found = settled(docs.join(plan, "doc").select("doc_id", "doc", "text", "known", "todo").mapInArrow(_passage_rows(passage, prefix), _FOUND))
     spot = ["doc_id", "doc", "at", "to", "first_byte", "end_byte"]
     loose = found.where("looked_up").select(*spot, "passage", place.alias("place"))
-    firsts = loose.groupBy("passage").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("passage", "first")
+    firsts = settled(loose.groupBy("passage").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("passage", "first"))
     looked = loose.join(firsts, "passage").where("place > first").select(*spot)
 
     @F.arrow_udf(_SPANS)
