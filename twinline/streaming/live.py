@@ -8,19 +8,21 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from twinline.operators import catalog
+from twinline.operators import catalog, ordered
 from twinline.session import shared_folder
 
 
 def source(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 200) -> DataFrame:
-    """Table files as a stream; the trigger size bounds what one micro-batch holds."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    """A table, one file or a folder of part files, as a stream; the trigger size bounds what one micro-batch holds."""
+    path = f"{folder}/{table}.parquet"
+    rows = spark.read.parquet(path)
+    first = rows.select(F.col("_metadata.file_name").alias("f")).first()
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_trigger)
+    if first is not None and first.f == f"{table}.parquet":  # a single file: read it out of the folder that holds it
+        return stream.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    return stream.parquet(path)
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -35,18 +37,12 @@ def drain(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def status_counts(updates: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Updates per status and window; a window comes out once the watermark has passed it."""
-    return (updates.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "status")
-            .agg(F.count(F.lit(1)).alias("updates"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "status", "updates"))
-
+def _newest(state: DataFrame, keys: list[str]) -> DataFrame:
+    """Run a stream of changing aggregates to the end of its input; the last row of every key.
 
-def latest_states(updates: DataFrame) -> DataFrame:
-    """Latest status per key. Every epoch overwrites its own folder, so a repeated epoch does no harm."""
-    spark, folder = updates.sparkSession, work_folder(updates.sparkSession)
-    last = F.max_by(F.struct("ts", "record_id", "status"), F.struct("ts", "record_id"))
-    state = updates.groupBy("episode_id").agg(last.alias("s"))
+    Every epoch overwrites its own folder, so a repeated epoch does no harm.
+    """
+    spark, folder = state.sparkSession, work_folder(state.sparkSession)
 
     def write(epoch_df, epoch):
         epoch_df.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
@@ -54,29 +50,40 @@ def latest_states(updates: DataFrame) -> DataFrame:
     q = (state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    rows = spark.read.parquet(f"{folder}/out")
-    return (rows.groupBy("episode_id").agg(F.max_by("s", "epoch").alias("s"))
-            .select("episode_id", F.col("s.record_id").alias("record_id"), F.col("s.status").alias("status")))
+    rest = [c for c in state.columns if c not in keys]
+    kind = T.StructType([*state.schema, T.StructField("epoch", T.LongType())])
+    rows = spark.read.schema(kind).parquet(f"{folder}/out")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*keys, "_r.*")
+
+
+def status_counts(updates: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Updates per status and window, of the windows that closed ``late`` before the newest update.
+
+    The state is one row per window and status and drops nothing, so an update counts
+    in whatever order, and however many files at a time, the input arrives.
+    """
+    counts = (updates.groupBy(F.window("ts", window).alias("w"), "status").agg(F.count(F.lit(1)).alias("updates"), F.max("ts").alias("last"))
+              .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "status", "updates", "last"))
+    rows = _newest(counts, ["window_start", "window_end", "status"])
+    newest = rows.agg(F.max("last")).first()[0]
+    return rows.filter(F.col("window_end") <= F.lit(newest) - F.expr(f"INTERVAL {late}")).drop("last")
+
+
+def latest_states(updates: DataFrame) -> DataFrame:
+    """Latest status per key. The state is one row per key and does not expire: any key may change again."""
+    last = F.max_by(F.struct("ts", "record_id", "status"), F.struct("ts", "record_id"))
+    rows = _newest(updates.groupBy("episode_id").agg(last.alias("s")), ["episode_id"])
+    return rows.select("episode_id", F.col("s.record_id").alias("record_id"), F.col("s.status").alias("status"))
 
 
 def spaced_pick(events: DataFrame, key: str, pos: str, spacing: int) -> DataFrame:
-    """Greedy pick on a stream; the state per key is the last taken position."""
-    kind = events.schema[key].dataType.simpleString()
-
-    def step(k, batches, state):
-        allowed = state.get[0] if state.exists else None
-        seen = [b[pos] for b in batches]
-        taken = []
-        for p in pd.unique(pd.concat(seen).sort_values()) if seen else []:
-            if allowed is None or p >= allowed:
-                taken.append(p)
-                allowed = int(p) + spacing
-        if allowed is not None:
-            state.update((allowed,))
-        yield pd.DataFrame({key: [k[0]] * len(taken), pos: taken}).astype({pos: "int64"})
-
-    return events.select(key, pos).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, {pos} long", "allowed long", "append", GroupStateTimeout.NoTimeout)
+    """Greedy pick over all events that a stream has landed.
+
+    The pick depends on the order of the positions, the stream brings them in any order;
+    so micro-batches only land their rows, and the pick runs over what has landed, chunk
+    by chunk and without a task for a whole key. The rows do not depend on the trigger.
+    """
+    return ordered.pick_spaced(drain(events.select(key, pos)), [key], pos, spacing)
 
 
 def arrivals(files: DataFrame, lang_index: DataFrame) -> DataFrame:

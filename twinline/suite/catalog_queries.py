@@ -1,11 +1,10 @@
-"""Catalogue scan, id matching, output routing."""
+"""Id matching and output routing."""
 
 from pyspark.sql import functions as F
 
 from twinline import fixtures as fx
 from twinline.functions import text
 from twinline.operators import catalog
-from twinline.sources import files
 from twinline.suite.registry import query
 
 MATCH_SQL = """SELECT s.scan_pos AS src_file, s.episode_id, s.file_name, s.size_bytes, l.lang_file, l.lang_name, l.lang_size,
@@ -14,11 +13,6 @@ MATCH_SQL = """SELECT s.scan_pos AS src_file, s.episode_id, s.file_name, s.size_
 FROM eps s LEFT JOIN lang_idx l ON s.episode_id = l.episode_id AND s.episode_id <> '' WHERE s.side = 'source'"""
 
 
-@query("catalog_scan")
-def catalog_scan(spark, d):
-    return files.catalog_scan(spark, d, ["parquet", "mkv"], recursive=False).select("file_name", "size_bytes")
-
-
 @query("episode_id", fx.sql_with(["eps"], "SELECT scan_pos, file_name, episode_id FROM eps"))
 def episode_id(spark, d):
     return catalog.with_episode(fx.catalog(spark, d)).select("scan_pos", "file_name", "episode_id")

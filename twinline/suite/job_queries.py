@@ -95,7 +95,7 @@ def updates(spark, d):
 @query("stream_status", fx.sql_with(["fx7"], """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, status, count(*) AS updates FROM (SELECT date_trunc('hour', ts) AS w, status FROM fx7)
 WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM fx7) GROUP BY w, status"""))
 def stream_status(spark, d):
-    out = live.drain(live.status_counts(updates(spark, d).select("ts", "status")))
+    out = live.status_counts(updates(spark, d).select("ts", "status"))
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "status", "updates")
 
 
@@ -116,7 +116,7 @@ def loud_minutes(events):
 
 @query("stream_cuts", fx.sql_with([], "SELECT user_id, pos FROM pk", PICK_ARGS))
 def stream_cuts(spark, d):
-    return live.drain(live.spaced_pick(loud_minutes(live.source(spark, d, "events")), "user_id", "pos", SPACING_MIN))
+    return live.spaced_pick(loud_minutes(live.source(spark, d, "events")), "user_id", "pos", SPACING_MIN)
 
 
 @query("batch_cuts", fx.sql_with([], "SELECT user_id, pos FROM pk", PICK_ARGS))
