@@ -136,7 +136,8 @@ def timed_matches(src: DataFrame, lang: DataFrame, segments: DataFrame, keys: li
 
     ``segments``: keys (with file_id), src_start, lang_start, dur_ms. Returns
     keys, src_idx, src_ts, lang_idx for source frames with a match in
-    tolerance, and null lang_idx for those without one.
+    tolerance, and null lang_idx for those without one. ``src_frames`` and
+    ``lang_frames`` count the frames of either side in the segment, matched or not.
     """
     def side(frames, start, name):
         rows = slice_segments(frames.select("file_id", "frame_idx", "ts_ms"), segments.select(*keys, start, "dur_ms"), start, "dur_ms")
@@ -149,8 +150,10 @@ def timed_matches(src: DataFrame, lang: DataFrame, segments: DataFrame, keys: li
     a, b = side(src, "src_start", "src"), side(lang, "lang_start", "lang")
     near = ordered.nearest(a, b, keys, "rel", "rel", "later", 60_000_000)
     near = near.withColumn("near", F.when(F.abs(F.col("near") - F.col("rel")) <= tolerance_ms * 1000, F.col("near")))
+    counts = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("lang_frames"))
     return settled(a.join(near, keys + ["rel"])
-                   .join(b.select(*keys, F.col("rel").alias("near"), "lang_idx", "lang_frames"), keys + ["near"], "left")
+                   .join(b.select(*keys, F.col("rel").alias("near"), "lang_idx"), keys + ["near"], "left")
+                   .join(counts, keys, "left").withColumn("lang_frames", F.coalesce("lang_frames", F.lit(0).cast("long")))
                    .drop("near"))
 
 

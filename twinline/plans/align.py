@@ -191,7 +191,7 @@ def confirm_dips(src: DataFrame, lang: DataFrame, rg: DataFrame, settings: Piece
         F.greatest(F.floor((F.col("start_ms") - F.col("offset_ms")) * inverse), F.lit(0)).alias("lang_start"),
         F.ceil(F.col("end_ms") - F.col("start_ms")).alias("dur_ms"), "offset_ms")
     scored = _segment_scores(src, lang, seg.drop("offset_ms"), keys, 2000.0 / settings.dense_scan_fps, settings.dense_scan_fps)
-    s = scored.filter((F.col("src_frames") >= 4) & (F.coalesce("lang_frames", F.lit(4)) >= 4)).select(
+    s = scored.filter((F.col("src_frames") >= 4) & (F.col("lang_frames") >= 4)).select(
         *keys, F.bround("src_ts", 0).cast("long").alias("pos"), F.coalesce("ssim", F.lit(0.0)).alias("ssim"))
     runs = series.low_runs(s.withColumn("tie", F.lit(0)), keys, "pos", "tie", "ssim", settings.dip_ssim, 3_600_000, 1000)
     dips = series.dip_runs(runs, settings.dense_scan_min_dip).select(*keys, F.col("run_start").alias("dip_ms"))
@@ -226,7 +226,7 @@ def refine_crossovers(src: DataFrame, lang: DataFrame, trans: DataFrame, setting
     t2 = t
     dense = _segment_scores(src, lang, segment(F.col("search_start"), F.ceil(F.col("search_end") - F.col("search_start"))), keys,
                             2000.0 / settings.dense_scan_fps, settings.dense_scan_fps)
-    s = dense.filter((F.col("src_frames") >= 4) & (F.coalesce("lang_frames", F.lit(4)) >= 4)).select(
+    s = dense.filter((F.col("src_frames") >= 4) & (F.col("lang_frames") >= 4)).select(
         *keys, F.bround("src_ts", 0).cast("long").alias("pos"), F.coalesce("ssim", F.lit(0.0)).alias("ssim"), F.lit(0).alias("tie"))
     runs = series.low_runs(s, keys, "pos", "tie", "ssim", settings.dense_scan_ssim, 3_600_000, 1000)
     dip = series.first_dip(s, runs, keys, "pos", "tie", "ssim", settings.dense_scan_min_dip)
