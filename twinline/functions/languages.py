@@ -1,7 +1,7 @@
 """Language codes: validity, matching and suggestions.
 
 The common names below are fixed values. The list of valid codes (ISO 639-2) is
-a parameter: any one-column table, see ``read_codes`` and ``runtime_codes``;
+a parameter: any one-column table, see ``read_codes``;
 without one, the codes of the common names are used.
 """
 
@@ -45,13 +45,6 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(code.alias("code")).filter(F.length("code") == 3).distinct()
 
 
-def runtime_codes(spark: SparkSession) -> DataFrame:
-    """Three-letter codes the Java runtime knows, with those of the common names."""
-    locale = spark._jvm.java.util.Locale
-    known = {locale.forLanguageTag(tag).getISO3Language() for tag in locale.getISOLanguages()}
-    return spark.createDataFrame([(c,) for c in sorted(known | set(COMMON_NAMES.values()))], "code string")
-
-
 def common_codes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c,) for c in sorted(set(COMMON_NAMES.values()))], "code string")
 

@@ -21,28 +21,20 @@ def with_chunk(df: DataFrame, keys: list[str], pos: str, span: int, fine: int,
                hot_rows: int = HOT_ROWS, name: str = "chunk") -> DataFrame:
     """Add a chunk column; chunks above ``hot_rows`` rows are cut again into ``fine`` ones.
 
-    The list of hot chunks has at most rows / hot_rows entries, which is why it
-    may be broadcast.
+    The limit changes how rows are laid out, never which rows come out.
     """
     coarse = chunk_index(F.col(pos), span)
     hot = (df.groupBy(*keys, coarse.alias("_coarse")).agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") > hot_rows)
            .select(*keys, "_coarse", F.lit(True).alias("_hot")))
     return (df.withColumn("_coarse", coarse)
-            .join(F.broadcast(hot), keys + ["_coarse"], "left")
+            .join(hot, keys + ["_coarse"], "left")
             .withColumn(name, F.struct(
                 F.col("_coarse").alias("c"),
                 F.when(F.col("_hot"), chunk_index(F.col(pos), fine)).otherwise(F.lit(-1)).alias("f")))
             .drop("_coarse", "_hot"))
 
 
-def _same(a: str, b: str, names: list[str]) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & (F.col(f"{a}.{n}") == F.col(f"{b}.{n}"))
-    return cond
-
-
 def running_total(df: DataFrame, keys: list[str], chunk: str, order: list, value: Column, out: str,
                   exclusive: bool = False) -> DataFrame:
     """Running sum per key in ``order``, inclusive of the row unless ``exclusive``."""
@@ -56,20 +48,13 @@ def running_total(df: DataFrame, keys: list[str], chunk: str, order: list, value
             .withColumn(out, F.col("_before") + F.col("_local")).drop("_before", "_local"))
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list, chunk: list[Column], out: str,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``row_number`` per key; keys above ``hot_rows`` are numbered chunk by chunk.
+def number_rows(df: DataFrame, keys: list[str], order: list, chunk: list[Column], out: str) -> DataFrame:
+    """``row_number`` per key, chunk by chunk.
 
     ``chunk`` lists expressions that grow with ``order``.
     """
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-           .select(*keys))
-    cold_rows = (df.join(F.broadcast(hot), keys, "left_anti")
-                 .withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order))))
-    hot_part = (df.join(F.broadcast(hot), keys, "left_semi")
-                .withColumn("_chunk", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(chunk)])))
-    hot_numbered = running_total(hot_part, keys, "_chunk", order, F.lit(1), out).drop("_chunk")
-    return cold_rows.unionByName(hot_numbered.withColumn(out, F.col(out).cast("int")))
+    rows = df.withColumn("_chunk", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(chunk)]))
+    return running_total(rows, keys, "_chunk", order, F.lit(1), out).drop("_chunk").withColumn(out, F.col(out).cast("int"))
 
 
 def nearest(targets: DataFrame, points: DataFrame, keys: list[str], target: str, point: str,

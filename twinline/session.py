@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -23,9 +24,11 @@ def local_session(cpus: str | None = None, name: str = "twinline") -> SparkSessi
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where it names none, as in tests."""
+    """The shared folder the cluster names; a temporary one only on a local master that names none, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(spark, "_twinline_folder", None) or tempfile.mkdtemp(prefix="twinline-")
         spark._twinline_folder = base
     return base.rstrip("/")

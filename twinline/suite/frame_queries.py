@@ -153,8 +153,6 @@ def frame_ssim_binary(spark, d):
     return s.select("file_id", "src_idx", F.bround(pixels.ssim_of(F.col("s")), 6).alias("ssim"))
 
 
-SEQ_SQL = f"""SELECT cp.file_id, src_cut, lang_cut, count(*) AS frames, avg(CASE WHEN true THEN {SSIM_SQL} END) AS ssim, CAST(sum(saa + sbb - 2 * sab) AS BIGINT) AS sse FROM cp, range(10) k(k)
-JOIN LATERAL (SELECT {sums_sql('a.px', 'b.px')} FROM fx1 a JOIN fx2 b ON b.file_id = a.file_id WHERE a.file_id = cp.file_id AND a.frame_idx = src_cut - 5 + k.k AND b.frame_idx = lang_cut - 5 + k.k) s ON true GROUP BY ALL"""
 SEQ_SQL = f"""SELECT file_id, src_cut, lang_cut, count(*) AS frames, avg({SSIM_SQL}) AS ssim, CAST(sum(saa + sbb - 2 * sab) AS BIGINT) AS sse FROM (
   SELECT cp.file_id, src_cut, lang_cut, {sums_sql('a.px', 'b.px')} FROM cp JOIN range(10) k(k) ON true
   JOIN fx1 a ON a.file_id = cp.file_id AND a.frame_idx = src_cut - 5 + k.k JOIN fx2 b ON b.file_id = cp.file_id AND b.frame_idx = lang_cut - 5 + k.k) GROUP BY ALL"""
