@@ -55,3 +55,12 @@ def test_report_sink(spark, tmp_path):
     df = spark.range(3)
     files.write_report({"source": df, "result": df.withColumn("x", F.lit(1))}, str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r/table=result")).count() == 3
+
+
+def test_track_text_goes_by_position(spark):
+    """Two tracks with far ids share a row; a long list is cut by position, in order."""
+    from twinline.operators import tracks as tr
+    rows = [(1, 5), (1, 2000)] + [(2, i) for i in range(0, 4200, 2)]
+    t = spark.createDataFrame([(f, i, "eng", "FLAC", "n", 2) for f, i in rows], "file_id long, track_id long, language string, codec string, name string, channels int")
+    got = {(r["file_id"], r["part"]): r["tracks"].count(" | ") + 1 for r in tr.track_texts(t, "").collect()}
+    assert got == {(1, 0): 2, (2, 0): 1024, (2, 1): 1024, (2, 2): 52}

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from twinline.functions import codecs, languages, text
+from twinline.operators import ordered
 
-TEXT_PART = 1024  # tracks per text row; only a file with more tracks gets a second row
+TEXT_PART = 1024  # tracks per text row, by position
 
 
 def of_type(tracks: DataFrame, kind: str) -> DataFrame:
@@ -95,28 +96,27 @@ def video_duration(tracks: DataFrame) -> DataFrame:
         (F.count(F.lit(1)) * F.lit(60000000000)).alias("container_duration_ns"))
 
 
-def text_lists(rows: DataFrame, keys: list[str], order: list[str], item: Column, out: str) -> DataFrame:
-    """Joined texts in order, in rows of at most ``TEXT_PART`` tracks (``part`` counts them)."""
-    parts = rows.withColumn("part", F.floor(F.col("track_id") / TEXT_PART)).withColumn("_t", item)
-    items = F.sort_array(F.collect_list(F.struct(*order, "_t")))
-    return parts.groupBy(*keys, "part").agg(F.array_join(F.transform(items, lambda x: x["_t"]), " | ").alias(out))
+def text_lists(rows: DataFrame, keys: list[str], order: list[str], items: dict[str, Column]) -> DataFrame:
+    """Joined texts of every key, in rows of ``TEXT_PART`` tracks by their position in ``order``.
 
+    ``part`` counts the rows of a key, so the texts of its parts follow each other in
+    order; a key with up to ``TEXT_PART`` tracks has one row, whatever their ids. The
+    last column of ``order`` is a number that grows with it.
+    """
+    chunk = [*[F.col(c) for c in order[:-1]], ordered.chunk_index(F.col(order[-1]), 4096)]
+    placed = ordered.number_rows(rows, keys, order, chunk, "_at").withColumn("part", F.floor((F.col("_at") - 1) / TEXT_PART))
+    for name, item in items.items():
+        placed = placed.withColumn(name, item)
 
-def track_texts(tracks: DataFrame, convert: str) -> DataFrame:
-    compact = text.track_text(F.col("track_id"), F.col("language"), F.col("codec"), F.col("channels"))
-    both = tracks.withColumn("_c", compact).withColumn(
-        "_m", text.with_conversion(compact, F.col("codec"), F.col("name"), convert))
-    parts = both.withColumn("part", F.floor(F.col("track_id") / TEXT_PART))
     def joined(c):
-        return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("track_id", c))), lambda x: x[c]), " | ")
-    return parts.groupBy("file_id", "part").agg(joined("_c").alias("tracks"), joined("_m").alias("tracks_converted"))
+        return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", c))), lambda x: x[c]), " | ").alias(c)
+    return placed.groupBy(*keys, "part").agg(*[joined(c) for c in items])
 
 
-def for_pairs(pairs: DataFrame, tracks: DataFrame, file_col: str) -> DataFrame:
-    """Tracks of one side of every pair, keyed by ``src_file``."""
-    side = pairs.select("src_file", F.col(file_col).alias("file_id")) if file_col != "src_file" \
-        else pairs.select("src_file", F.col("src_file").alias("file_id"))
-    return side.join(tracks, "file_id")
+def track_texts(tracks: DataFrame, convert: str) -> DataFrame:
+    compact = text.track_text(F.col("track_id"), F.col("language"), F.col("codec"), F.col("channels"))
+    return text_lists(tracks, ["file_id"], ["track_id"], {
+        "tracks": compact, "tracks_converted": text.with_conversion(compact, F.col("codec"), F.col("name"), convert)})
 
 
 def plan(kept_audio: DataFrame, kept_subs: DataFrame, imports: DataFrame, convert: str, delay_audio: Column,

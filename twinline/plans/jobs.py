@@ -70,7 +70,7 @@ def result_tracks(pairs: DataFrame, kept: DataFrame, imports: DataFrame, convert
             .unionByName(_imports_of(pairs, imports).withColumn("side", F.lit(1))))
     item = text.with_conversion(text.track_text(F.col("track_id"), F.col("language"), F.col("codec"), F.col("channels")),
                                 F.col("codec"), F.col("name"), convert)
-    return tr.text_lists(rows, ["src_file"], ["side", "target_pos", "track_id"], item, "tracks")
+    return tr.text_lists(rows, ["src_file"], ["side", "target_pos", "track_id"], {"tracks": item})
 
 
 def plan_job(pairs: DataFrame, tracks: DataFrame, kept_audio: DataFrame, kept_subs: DataFrame, imports: DataFrame,

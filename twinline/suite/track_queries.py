@@ -288,8 +288,9 @@ def converted_name(spark, d):
                                       text.converted_name(*args, "opus").alias("opus_name"))
 
 
-@query("track_text", fx.sql_with(["fx4"], f"""SELECT file_id, track_id // 1024 AS part, string_agg({COMPACT_SQL}, ' | ' ORDER BY track_id) AS tracks,
-  string_agg({COMPACT_SQL} || CASE WHEN {FLAC_SQL} THEN ' -> FLAC' ELSE '' END, ' | ' ORDER BY track_id) AS tracks_converted FROM fx4 GROUP BY ALL"""))
+@query("track_text", fx.sql_with(["fx4"], f"""SELECT file_id, (place - 1) // 1024 AS part, string_agg({COMPACT_SQL}, ' | ' ORDER BY track_id) AS tracks,
+  string_agg({COMPACT_SQL} || CASE WHEN {FLAC_SQL} THEN ' -> FLAC' ELSE '' END, ' | ' ORDER BY track_id) AS tracks_converted
+FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY track_id) AS place FROM fx4) GROUP BY ALL"""))
 def track_text(spark, d):
     return tr.track_texts(fx.tracks(spark, d), "flac")
 
@@ -318,7 +319,8 @@ def result_langs(spark, d):
 
 
 @query("result_tracks", fx.sql_with(["pairs", "fx4"], f"""SELECT src_file, part, string_agg({COMPACT_SQL} || CASE WHEN {FLAC_SQL} THEN ' -> FLAC' ELSE '' END, ' | ' ORDER BY side, target_pos, track_id) AS tracks
-FROM (SELECT *, 0 AS side, 0 AS target_pos, track_id // 1024 AS part FROM kept UNION ALL SELECT * EXCLUDE (target_pos), 1 AS side, target_pos, track_id // 1024 AS part FROM imp) GROUP BY src_file, part""",
+FROM (SELECT *, (row_number() OVER (PARTITION BY src_file ORDER BY side, target_pos, track_id) - 1) // 1024 AS part
+ FROM (SELECT *, 0 AS side, 0 AS target_pos FROM kept UNION ALL SELECT * EXCLUDE (target_pos), 1 AS side, target_pos FROM imp)) GROUP BY src_file, part""",
                                 [("kept", SRC_KEPT_SQL), ("imp", LANG_IMPORT_SQL)]))
 def result_tracks(spark, d):
     pairs, t = inputs(spark, d)
