@@ -97,6 +97,47 @@ def op10_line_alignment(spark, sf_dir):
     return docs.select("doc_id", "removed", lines.alias("kept_lines"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def _sublexicons(name: str, digests: str) -> str:
+    """The array of sublexicon hashes of a list of digests."""
+    held = [f"array_to_string(list_filter({digests}, lambda d: substr(d, {at}, {digits}) < '{values:0{digits}x}'), ',')" for at, digits, values in imatch.SUBLEXICONS]
+    return f"list_transform([{', '.join(held)}], lambda h: CASE WHEN h = '' THEN '' ELSE substr(md5(h), 1, 16) END) AS {name}"
+
+
+def _likeness(a: str, b: str) -> str:
+    used = f"list_filter(range(1, {len(imatch.SUBLEXICONS) + 1}), lambda i: {a}[i] <> '' OR {b}[i] <> '')"
+    return f"CASE WHEN len({used}) = 0 THEN 1.0::DOUBLE ELSE len(list_filter({used}, lambda i: {a}[i] = {b}[i]))::DOUBLE / len({used}) END"
+
+
+_TERMS = (f"list_distinct(list_filter(string_split_regex(translate({{}}, '{imatch.UPPER}', '{imatch.LOWER}'), "
+          r"'[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> ''))")
+_CHOSEN = f"""list_transform(list_sort(CASE WHEN len(list_filter({{0}}, lambda t: list_contains(words, t))) >= {imatch.FEW}
+  THEN list_filter({{0}}, lambda t: list_contains(words, t)) ELSE {{0}} END), lambda t: md5(t))"""
+OP3_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id, text) AS place, count(*) OVER () AS n FROM documents),
+lexicon AS (SELECT coalesce(list(term), []) AS words FROM (SELECT term FROM (SELECT unnest({_TERMS.format('text')}) AS term FROM docs) GROUP BY term
+  HAVING count(*) >= greatest(1, {imatch.LEAST_SHARE} * (SELECT count(*) FROM docs)) AND count(*) <= {imatch.MOST_SHARE} * (SELECT count(*) FROM docs))),
+joined AS (SELECT a.*, b.text AS next_text, left(a.text, length(a.text) - length(a.text) // 2) || left(b.text, length(a.text) // 2) AS edited
+  FROM docs a JOIN docs b ON b.place = a.place % a.n + 1),
+listed AS (SELECT *, {_TERMS.format('text')} AS t, {_TERMS.format('edited')} AS u, {_TERMS.format('next_text')} AS v FROM joined, lexicon),
+digests AS (SELECT * EXCLUDE (t, u, v), {_CHOSEN.format('t')} AS t, {_CHOSEN.format('u')} AS u, {_CHOSEN.format('v')} AS v FROM listed),
+prints AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_sublexicons('f', 't')}, {_sublexicons('e', 'u')}, {_sublexicons('x', 'v')} FROM digests)
+SELECT doc_id, n_chars, edited_sha256, array_to_string(f, '-') AS fingerprint, array_to_string(e, '-') AS edited_fingerprint,
+  {_likeness('f', 'e')} AS near_edited, {_likeness('f', 'x')} AS near_next FROM prints
+"""
+
+OP5_SQL = r"""
+WITH docs AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(text, '[\x20\x09-\x0D]+') AS g,
+  regexp_matches(text, '^[\x20\x09-\x0D]') AS led FROM documents),
+places AS (SELECT doc_id, i, sum(strlen(w[i + 1]) + strlen(coalesce(g[i + 1], ''))) OVER (PARTITION BY doc_id ORDER BY i)
+   - CASE WHEN led THEN 0 ELSE strlen(coalesce(g[i + 1], '')) END AS end_byte, strlen(w[i + 1]) AS size FROM (SELECT *, unnest(range(len(w))) AS i FROM docs)),
+passages AS (SELECT doc_id, x.p AS p, x.h AS h FROM (SELECT doc_id, unnest(list_transform(range(len(w) - 49), lambda p: {'p': p, 'h': hash(w[p + 1 : p + 50])})) AS x FROM docs WHERE len(w) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS first FROM passages GROUP BY h),
+later AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM passages JOIN firsts USING (h) WHERE first < doc_id),
+spans AS (SELECT doc_id, min(p) AS first_word, max(p) + 50 - min(p) AS n_words FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM later) GROUP BY doc_id, island)
+SELECT s.doc_id, first_word, n_words, CAST(a.end_byte - a.size AS BIGINT) AS first_byte, CAST(b.end_byte AS BIGINT) AS end_byte
+FROM spans s JOIN places a ON a.doc_id = s.doc_id AND a.i = first_word JOIN places b ON b.doc_id = s.doc_id AND b.i = first_word + n_words - 1
+"""
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_tool_calls, op3_imatch, op4_retrieval_packing, op5_suffix_repeats,
                                       op6_quality, op7_byte_bpe, op8_multi_index, op9_simhash, op10_line_alignment)}
-ORACLES: dict[str, str] = {"op2_tool_calls": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_tool_calls": OP2_SQL, "op3_imatch": OP3_SQL, "op5_suffix_repeats": OP5_SQL}
