@@ -38,7 +38,7 @@ def test_number_rows_with_hot_keys(spark):
     rng = random.Random(3)
     rows = [(0 if rng.random() < .7 else rng.randrange(4), rng.randrange(5), i) for i in range(400)]
     df = spark.createDataFrame(rows, "k int, a int, b int")
-    got = ordered.number_rows(df, ["k"], ["a", "b"], [F.col("a"), F.floor(F.col("b") / 16)], "n", hot_rows=50).collect()
+    got = ordered.number_rows(df, ["k"], ["a", "b"], [F.col("a"), F.floor(F.col("b") / 16)], "n").collect()
     assert len(got) == len(rows)
     for k in range(4):
         mine = [(r["a"], r["b"]) for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["n"])]
@@ -47,7 +47,7 @@ def test_number_rows_with_hot_keys(spark):
 
 def test_hot_chunks_are_cut_again(spark):
     df = spark.createDataFrame([(1, i) for i in range(100)] + [(2, i) for i in range(5)], "k int, x long")
-    got = ordered.with_chunk(df, ["k"], "x", 50, 10, hot_rows=20).groupBy("k").agg(F.countDistinct("chunk").alias("n")).collect()
+    got = ordered.with_chunk(df, ["k"], "x", 50, 10).groupBy("k").agg(F.countDistinct("chunk").alias("n")).collect()
     assert {r["k"]: r["n"] for r in got} == {1: 10, 2: 1}
 
 
