@@ -64,3 +64,19 @@ def test_track_text_goes_by_position(spark):
     t = spark.createDataFrame([(f, i, "eng", "FLAC", "n", 2) for f, i in rows], "file_id long, track_id long, language string, codec string, name string, channels int")
     got = {(r["file_id"], r["part"]): r["tracks"].count(" | ") + 1 for r in tr.track_texts(t, "").collect()}
     assert got == {(1, 0): 2, (2, 0): 1024, (2, 1): 1024, (2, 2): 52}
+
+
+def test_too_few_language_frames_are_no_dip(spark):
+    """A region whose language side has under four frames keeps its frames unjudged, matched or not."""
+    from twinline.operators import frames as fr
+    from twinline.params import PiecewiseSettings
+    from twinline.plans import align
+    kind = "file_id long, frame_idx long, ts_ms double, px array<int>"
+    px = [[(7 * i + 3 * j) % 200 for j in range(64)] for i in range(200)]
+    src = spark.createDataFrame([(f, i, i * 500.0, px[i]) for f in (1, 2, 3) for i in range(120)], kind)
+    lang = spark.createDataFrame([(2, i, i * 500.0, px[i]) for i in range(2)] + [(3, i, i * 500.0, px[199 - i]) for i in range(60)], kind)
+    seg = spark.createDataFrame([(f, 0, 0, 60000) for f in (1, 2, 3)], "file_id long, src_start long, lang_start long, dur_ms long")
+    got = fr.timed_matches(src, lang, seg, ["file_id"], 400.0).groupBy("file_id").agg(F.min("lang_frames").alias("lo"), F.max("lang_frames").alias("hi"), F.count("lang_idx").alias("m")).collect()
+    assert {r["file_id"]: (r["lo"], r["hi"], r["m"]) for r in got} == {1: (0, 0, 0), 2: (2, 2, 2), 3: (60, 60, 60)}
+    regions = spark.createDataFrame([(1, 0.0, 60000.0, 0.0), (2, 0.0, 60000.0, 0.0)], "pair_id long, start_ms double, end_ms double, offset_ms double")
+    assert align.confirm_dips(src, lang, regions, PiecewiseSettings()).count() == 0
