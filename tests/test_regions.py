@@ -113,7 +113,7 @@ def test_retime_with_long_series(spark):
     c = spark.createDataFrame(cues + [(2, 0, 5, 9)], "pair_id long, cue_id long, start_ms long, end_ms long")
     seg = regions.kept_segments(o)
     for mode in ("reference", "shift"):
-        got = {(r["pair_id"], r["cue_id"]): (r["new_start_ms"], r["new_end_ms"]) for r in regions.retime(c, seg, mode, span=2000).collect()}
+        got = {(r["pair_id"], r["cue_id"]): (r["new_start_ms"], r["new_end_ms"]) for r in regions.retime(c, seg, (mode,), span=2000).collect()}
         kept, at, out = [], 0, 0
         for _, _, kind, lt, dur in ops:
             if lt > at:

@@ -69,8 +69,8 @@ def suggestions(words: DataFrame, word: str, k: int, codes: DataFrame | None = N
     "code is part of the word" on the three-letter pieces of the word.
     """
     spark = words.sparkSession
-    w = (words.select(F.lower(F.trim(F.col(word))).alias("word"))
-         .filter(F.col("word").isNotNull()).distinct())
+    w = settled(words.select(F.lower(F.trim(F.col(word))).alias("word"))
+                .filter(F.col("word").isNotNull()).distinct())  # read by each of the four rules
     codes = (common_codes(spark) if codes is None else codes).distinct()
     named = name_table(spark).select(F.col("name").alias("word"), "code")
     t1 = w.join(named, "word").select("word", "code", F.lit(1).alias("tier"))

@@ -35,17 +35,21 @@ def with_chunk(df: DataFrame, keys: list[str], pos: str, span: int, fine: int,
             .drop("_coarse", "_hot"))
 
 
-def running_total(df: DataFrame, keys: list[str], chunk: str, order: list, value: Column, out: str,
-                  exclusive: bool = False) -> DataFrame:
-    """Running sum per key in ``order``, inclusive of the row unless ``exclusive``."""
+def running_totals(df: DataFrame, keys: list[str], chunk: str, order: list, values: dict[str, Column],
+                   exclusive: bool = False) -> DataFrame:
+    """Running sums ``{name: value}`` per key in ``order``, inclusive of the row unless ``exclusive``."""
     rows = W.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     ahead = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
-    before = (df.groupBy(*keys, chunk).agg(F.sum(value).alias("_s"))
-              .withColumn("_before", F.coalesce(F.sum("_s").over(ahead), F.lit(0)))
-              .drop("_s"))
-    local = F.sum(value).over(rows) - (value if exclusive else F.lit(0))
-    return (df.withColumn("_local", local).join(before, keys + [chunk])
-            .withColumn(out, F.col("_before") + F.col("_local")).drop("_before", "_local"))
+    before = (df.groupBy(*keys, chunk).agg(*[F.sum(v).alias(f"_s_{n}") for n, v in values.items()])
+              .select(*keys, chunk, *[F.coalesce(F.sum(f"_s_{n}").over(ahead), F.lit(0)).alias(f"_b_{n}") for n in values]))
+    local = df.withColumns({f"_l_{n}": F.sum(v).over(rows) - (v if exclusive else F.lit(0)) for n, v in values.items()})
+    return (local.join(before, keys + [chunk]).withColumns({n: F.col(f"_b_{n}") + F.col(f"_l_{n}") for n in values})
+            .drop(*[f"{p}{n}" for n in values for p in ("_l_", "_b_")]))
+
+
+def running_total(df: DataFrame, keys: list[str], chunk: str, order: list, value: Column, out: str,
+                  exclusive: bool = False) -> DataFrame:
+    return running_totals(df, keys, chunk, order, {out: value}, exclusive)
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list, chunk: list[Column], out: str) -> DataFrame:

@@ -346,48 +346,56 @@ def kept_segments(ops: DataFrame, key: str = "pair_id", audio: bool = True) -> D
     ``ops``: key, op_idx, type, lang_ts_ms, duration_ms. Empty intervals drop out.
     """
     end = F.col("lang_ts_ms") + F.when(F.col("type") == "CUT_SEGMENT", F.col("duration_ms")).otherwise(0)
-    rows = ops.withColumn("op_end", end)
-    rows = ordered.with_neighbour(rows, [key], "op_idx", ["op_end"], 4096, "prev_")
+    ended = ops.withColumn("op_end", end)
+    rows = ordered.with_neighbour(ended, [key], "op_idx", ["op_end"], 4096, "prev_")
     start = F.coalesce("prev_op_end", F.lit(0))
-    kept = rows.filter(F.col("lang_ts_ms") > start).select(
-        key, "op_idx", F.lit(0).alias("part"), F.lit("keep").alias("kind"), start.alias("start_ms"), F.col("lang_ts_ms").alias("end_ms"))
-    silence = rows.filter("type = 'INSERT_SILENCE'").select(
-        key, "op_idx", F.lit(1).alias("part"), F.lit("silence").alias("kind"), F.lit(0).cast("long").alias("start_ms"), F.col("duration_ms").alias("end_ms"))
-    tail = rows.groupBy(key).agg(F.max("op_idx").alias("_last"), F.max_by("op_end", "op_idx").alias("start_ms")).select(
+    def part(number, kind, begin, stop):
+        return F.struct(F.lit(number).alias("part"), F.lit(kind).alias("kind"), begin.cast("long").alias("start_ms"), stop.cast("long").alias("end_ms"))
+    parts = [F.when(F.col("lang_ts_ms") > start, part(0, "keep", start, F.col("lang_ts_ms")))]
+    if audio:
+        parts.append(F.when(F.col("type") == "INSERT_SILENCE", part(1, "silence", F.lit(0), F.col("duration_ms"))))
+    inner = rows.select(key, "op_idx", F.explode(F.array_compact(F.array(*parts))).alias("_p")).select(key, "op_idx", "_p.*")
+    tail = ended.groupBy(key).agg(F.max("op_idx").alias("_last"), F.max_by("op_end", "op_idx").alias("start_ms")).select(
         key, (F.col("_last") + 1).alias("op_idx"), F.lit(0).alias("part"), F.lit("keep").alias("kind"), "start_ms", F.lit(None).cast("long").alias("end_ms"))
-    return kept.unionByName(tail).unionByName(silence) if audio else kept.unionByName(tail)
+    return inner.unionByName(tail)
 
 
-def retime(cues: DataFrame, segments: DataFrame, gap_mode: str = "reference", key: str = "pair_id", span: int = CHUNK_MS) -> DataFrame:
+def retime(cues: DataFrame, segments: DataFrame, gap_modes: tuple[str, ...] = ("reference",), key: str = "pair_id", span: int = CHUNK_MS) -> DataFrame:
     """Move cues by the kept intervals; cues inside a cut go, cues across one are clipped.
 
-    ``gap_mode``: "reference" ignores inserted silence, "shift" moves what follows it.
-    Both cue edges are looked up as-of, so no interval join is needed.
+    ``gap_modes``: "reference" ignores inserted silence, "shift" moves what follows it;
+    all modes come from one pass, with a column ``gap_mode``. Both cue edges are looked
+    up as-of, so no interval join is needed.
     """
-    open_end = 1 << 60
-    parts = segments if gap_mode == "shift" else segments.filter("kind = 'keep'")
-    parts = parts.withColumn("_end", F.coalesce("end_ms", F.lit(open_end))).withColumn("_pos", F.col("op_idx") * 2 + F.col("part")) \
-        .withColumn("_chunk", ordered.chunk_index(F.col("_pos"), 4096))
-    placed = ordered.running_total(parts, [key], "_chunk", ["_pos"], F.col("_end") - F.col("start_ms"), "out_start", exclusive=True)
+    segments = settled(segments)
+    length = F.coalesce("end_ms", F.lit(1 << 60)) - F.col("start_ms")
+    clocks = {"reference": F.when(F.col("kind") == "keep", length).otherwise(0), "shift": length}
+    outs = [f"out_{m}" for m in gap_modes]
+    parts = segments.withColumn("_pos", F.col("op_idx") * 2 + F.col("part")).withColumn("_chunk", ordered.chunk_index(F.col("_pos"), 4096))
+    placed = ordered.running_totals(parts, [key], "_chunk", ["_pos"], {f"out_{m}": clocks[m] for m in gap_modes}, exclusive=True)
     kept = placed.drop("_chunk").filter("kind = 'keep'")
-    marks = ordered.with_neighbour(kept, [key], "_pos", ["out_start"], 4096, "next_", following=True).select(
-        key, F.col("start_ms").alias("seg_start"), F.col("_end").alias("seg_end"), "out_start", "next_out_start")
-    whole = cues.join(segments.select(key).distinct(), key, "left_anti") \
-        .withColumn("new_start_ms", F.col("start_ms")).withColumn("new_end_ms", F.col("end_ms"))
+    nexts = [f"next_{o}" for o in outs]
+    marks = settled(ordered.with_neighbour(kept, [key], "_pos", outs, 4096, "next_", following=True).select(
+        key, F.col("start_ms").alias("seg_start"), (F.col("start_ms") + length).alias("seg_end"), *outs, *nexts))
+    def shown(rows, starts, ends):
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("gap_mode"), starts(m).alias("new_start_ms"), ends(m).alias("new_end_ms")) for m in gap_modes]))
+        return rows.withColumn("_m", each).select(*names, "_m.*")
+    names = cues.columns
+    whole = shown(cues.join(segments.select(key).distinct(), key, "left_anti"), lambda m: F.col("start_ms"), lambda m: F.col("end_ms"))
     cues = cues.withColumn("_last", F.col("end_ms") - 1)  # an end on a boundary belongs to the part before it
     edges = cues.select(key, F.explode(F.array("start_ms", "_last")).alias("t"))
-    cols = ["seg_start", "seg_end", "out_start", "next_out_start"]
+    cols = ["seg_start", "seg_end", *outs, *nexts]
     at = settled(ordered.last_at_or_before(edges, marks.withColumn("_m0", F.col("seg_start")), [key], "t", "_m0", cols, span))
     def edge(name):
         return at.select(key, F.col("t").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
     j = cues.join(edge("start_ms"), [key, "start_ms"]).join(edge("_last"), [key, "_last"])
-    inside = F.col("start_ms_out_start") + F.col("start_ms") - F.col("start_ms_seg_start")
-    new_start = F.when(F.col("start_ms_seg_start").isNull(), F.lit(0)).when(F.col("start_ms") < F.col("start_ms_seg_end"), inside) \
-        .otherwise(F.col("start_ms_next_out_start"))
-    new_end = F.col("_last_out_start") + F.least(F.col("end_ms"), F.col("_last_seg_end")) - F.col("_last_seg_start")
-    moved = j.withColumn("new_start_ms", new_start).withColumn("_e", new_end)
-    return moved.filter(F.col("new_start_ms") < F.col("_e")).withColumn("new_end_ms", F.col("_e")) \
-        .select(*whole.columns).unionByName(whole)
+    def new_start(m):
+        inside = F.col(f"start_ms_out_{m}") + F.col("start_ms") - F.col("start_ms_seg_start")
+        return F.when(F.col("start_ms_seg_start").isNull(), F.lit(0)).when(F.col("start_ms") < F.col("start_ms_seg_end"), inside) \
+            .otherwise(F.col(f"start_ms_next_out_{m}"))
+    def new_end(m):
+        return F.col(f"_last_out_{m}") + F.least(F.col("end_ms"), F.col("_last_seg_end")) - F.col("_last_seg_start")
+    return shown(j, new_start, new_end).filter("new_start_ms < new_end_ms").unionByName(whole)
 
 
 def probe_grid(dips: DataFrame, settings: PiecewiseSettings, inverse: float = 1.0) -> DataFrame:

@@ -120,32 +120,32 @@ def track_texts(tracks: DataFrame, convert: str) -> DataFrame:
 
 
 def plan(kept_audio: DataFrame, kept_subs: DataFrame, imports: DataFrame, convert: str, delay_audio: Column,
-         delay_sub: Column, stretch: Column, has_edits: Column) -> DataFrame:
+         delay_sub: Column, stretch: Column, has_edits: Column, rename_all: bool = True) -> DataFrame:
     """One row per selected track with its action.
 
     Converted and spliced tracks leave the pass-through set; a splice already
     contains the stretch, so it is cleared for all imports of a spliced pair.
+    Converted tracks are always named anew, other audio tracks only with ``rename_all``.
     """
     codec, name = F.col("codec"), F.col("name")
     audio = F.lower("type") == "audio"
     to_convert = audio & codecs.is_convertible(codec, name, convert) if convert else F.lit(False)
     spliced_codec = F.when(to_convert, F.lit(convert)).otherwise(codec) if convert else codec
     tag = F.when(F.col("language_ietf") != "", F.col("language_ietf")).otherwise(F.col("language"))
+    spec = F.col("channels"), F.col("bits_per_sample"), F.col("sampling_frequency")
+    track_name = (F.when(audio & to_convert, text.converted_name(*spec, convert))
+                  .when(audio & F.lit(rename_all), text.track_name(codec, *spec)).otherwise("").alias("track_name"))
     can_splice = has_edits & (~audio | codecs.is_spliceable(spliced_codec))
     src = kept_audio.unionByName(kept_subs).select(
         "src_file", "file_id", "track_id", "type", F.lit(0).alias("target_pos"), F.lit("source").alias("side"),
         F.when(to_convert, "convert").otherwise("keep").alias("action"), F.lit(0).cast("bigint").alias("delay_ms"),
         F.lit("").alias("stretch"), F.when(to_convert, tag).otherwise(F.col("language")).alias("language"),
-        F.when(audio & to_convert, text.converted_name(F.col("channels"), F.col("bits_per_sample"), F.col("sampling_frequency"), convert))
-         .when(audio, text.track_name(codec, F.col("channels"), F.col("bits_per_sample"), F.col("sampling_frequency")))
-         .otherwise("").alias("track_name"))
+        track_name)
     lang = imports.select(
         "src_file", "file_id", "track_id", "type", "target_pos", F.lit("language").alias("side"),
         F.when(can_splice, "splice").when(to_convert, "convert").otherwise("import").alias("action"),
         F.when(audio, delay_audio).otherwise(delay_sub).cast("bigint").alias("delay_ms"),
         F.when(has_edits, "").otherwise(stretch).alias("stretch"),
         F.when(audio & (to_convert | can_splice), tag).otherwise(F.col("language")).alias("language"),
-        F.when(audio & to_convert, text.converted_name(F.col("channels"), F.col("bits_per_sample"), F.col("sampling_frequency"), convert))
-         .when(audio, text.track_name(codec, F.col("channels"), F.col("bits_per_sample"), F.col("sampling_frequency")))
-         .otherwise("").alias("track_name"))
+        track_name)
     return src.unionByName(lang)

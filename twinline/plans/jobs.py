@@ -74,12 +74,24 @@ def result_tracks(pairs: DataFrame, kept: DataFrame, imports: DataFrame, convert
 
 
 def plan_job(pairs: DataFrame, tracks: DataFrame, kept_audio: DataFrame, kept_subs: DataFrame, imports: DataFrame,
-             convert: str, audio_delay: Column, sub_delay: Column, has_edits: Column) -> DataFrame:
-    """Selection, conversion and splicing of all pairs as one plan table."""
+             convert: str, audio_delay: Column, sub_delay: Column, has_edits: Column, rename_all: bool = True) -> DataFrame:
+    """Selection, conversion and splicing of all pairs as one plan table; pairs with nothing to import have no plan."""
     stretch = with_stretch(pair_durations(pairs.select("src_file", "lang_file"), tr.video_duration(tracks)))
     imp = _imports_of(pairs, imports).join(stretch.select("src_file", "stretch"), "src_file")
-    return tr.plan(_kept_of(pairs, kept_audio), _kept_of(pairs, kept_subs), imp, convert, audio_delay, sub_delay,
-                   F.col("stretch"), has_edits)
+    working = with_imports(pairs, imports)
+    return tr.plan(_kept_of(working, kept_audio), _kept_of(working, kept_subs), imp, convert, audio_delay, sub_delay,
+                   F.col("stretch"), has_edits, rename_all)
+
+
+def with_imports(pairs: DataFrame, imports: DataFrame) -> DataFrame:
+    """Pairs whose language file has a track to import."""
+    return pairs.join(imports.select(F.col("file_id").alias("lang_file")), "lang_file", "left_semi")
+
+
+def plan_skips(pairs: DataFrame, imports: DataFrame) -> DataFrame:
+    """Pairs left out of the plan, with the reason."""
+    rest = pairs.join(imports.select(F.col("file_id").alias("lang_file")), "lang_file", "left_anti")
+    return rest.select("src_file", "lang_file", F.lit("No matching tracks").alias("skip_reason"))
 
 
 def conversion_plan(pairs: DataFrame, source_audio: DataFrame, imported_audio: DataFrame, target: str) -> DataFrame:
@@ -99,12 +111,13 @@ def record_frame(pairs: DataFrame, langs: DataFrame, results: DataFrame) -> Data
     return pairs.join(src, "src_file", "left").join(lng, "lang_file", "left").join(results, "src_file", "left")
 
 
-def report_summary(record: DataFrame, runs: DataFrame) -> DataFrame:
-    tables = report.report_tables(record, True)
-    def size(name):
-        return tables[name].agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"),
-                                F.sum(F.length("audio")).alias("text_size"))
+def report_summary(record: DataFrame, runs: DataFrame, dry_run: bool = True) -> DataFrame:
+    """Rows and text sizes of the three report tables from one scan of the records, and the counted runs."""
+    listed = {"source": "src_audio_langs", "language": "lang_audio_langs", "result": "result_audio_langs"}
+    sizes = report.eligible(record, dry_run).agg(F.count(F.lit(1)).alias("row_count"),
+                                                 *[F.sum(F.length(text.list_text(F.col(c)))).alias(t) for t, c in listed.items()])
+    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("table_name"), F.col("row_count"), F.col(t).alias("text_size")) for t in listed]))
     stats = report.run_stats(runs)
     total = sum((F.col(c) for c in stats.columns[1:]), F.col(stats.columns[0]))
-    return size("source").unionByName(size("language")).unionByName(
+    return sizes.select(tables.alias("t")).select("t.*").unionByName(
         stats.select(F.lit("stats").alias("table_name"), total.alias("row_count"), F.lit(0).cast("bigint").alias("text_size")))

@@ -133,9 +133,7 @@ UNION ALL SELECT m, pair_id, cue_id, start_ms, end_ms FROM fx6, (VALUES ('refere
     ("g2", "SELECT *, coalesce(sum(end_ms - start_ms) OVER (PARTITION BY pair_id ORDER BY op_idx, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS os FROM (SELECT * REPLACE (coalesce(end_ms, 1000000000000) AS end_ms) FROM seg)")]))
 def retime_cues(spark, d):
     cues, seg = fx.cues(spark, d), regions.kept_segments(cue_ops(spark, d))
-    def of(mode):
-        return regions.retime(cues, seg, mode).select(F.lit(mode).alias("gap_mode"), "pair_id", "cue_id", "new_start_ms", "new_end_ms")
-    return of("reference").unionByName(of("shift"))
+    return regions.retime(cues, seg, ("reference", "shift")).select("gap_mode", "pair_id", "cue_id", "new_start_ms", "new_end_ms")
 
 
 SHORT_PROBES = PiecewiseSettings(probe_margins_sec=(1.0, 2.0, 3.0), probe_duration_sec=1.0)

@@ -6,6 +6,7 @@ from twinline import fixtures as fx
 from twinline.functions import codecs, languages, text
 from twinline.operators import catalog, regions, report, tracks as tr
 from twinline.plans import jobs
+from twinline.session import settled
 from twinline.suite.registry import query
 
 AUDIO_PATTERNS = ["AC-3", "DTS"]
@@ -298,8 +299,8 @@ def track_text(spark, d):
 # --- pair level: plans and reports ------------------------------------------------------------
 
 def inputs(spark, d):
-    pairs = catalog.matched(catalog.match_job(fx.catalog(spark, d)))
-    return pairs, fx.tracks(spark, d)
+    """Pairs and numbered tracks, written once: the branches of a plan read them instead of the tables they come from."""
+    return settled(catalog.matched(catalog.match_job(fx.catalog(spark, d)))), settled(fx.tracks(spark, d))
 
 
 SRC_KEPT_SQL = f"""SELECT p.src_file, k.* FROM pairs p JOIN (SELECT * FROM fx4 WHERE {KEEP_AUDIO} OR {KEEP_SUBS}) k ON k.file_id = p.src_file"""
@@ -331,7 +332,7 @@ def result_tracks(spark, d):
 PLAN_SQL = f"""SELECT src_file, file_id, track_id, type, 0 AS target_pos, 'source' AS side,
   CASE WHEN type = 'audio' AND {FLAC_SQL} THEN 'convert' ELSE 'keep' END AS action, CAST(0 AS BIGINT) AS delay_ms, '' AS stretch,
   CASE WHEN type = 'audio' AND {FLAC_SQL} AND language_ietf <> '' THEN language_ietf ELSE language END AS language,
-  CASE WHEN type = 'audio' AND {FLAC_SQL} THEN {FLAC_NAME_SQL} WHEN type = 'audio' THEN {NAME_SQL} ELSE '' END AS track_name FROM kept
+  CASE WHEN type = 'audio' AND {FLAC_SQL} THEN {FLAC_NAME_SQL} WHEN type = 'audio' THEN {NAME_SQL} ELSE '' END AS track_name FROM kept WHERE src_file IN (SELECT src_file FROM imp)
 UNION ALL SELECT src_file, file_id, track_id, type, target_pos, 'language',
   CASE WHEN src_file % 2 = 0 AND (type <> 'audio' OR CASE WHEN {FLAC_SQL} THEN true ELSE {SPLICE_SQL} END) THEN 'splice'
        WHEN type = 'audio' AND {FLAC_SQL} THEN 'convert' ELSE 'import' END,
@@ -346,11 +347,23 @@ PLAN_ARGS = [("vd", VIDEO_SQL), ("pd", PAIR_DUR_SQL), ("st", f"SELECT src_file,
 
 
 @query("remux_plan", fx.sql_with(["pairs", "fx4"], PLAN_SQL, PLAN_ARGS))
-def remux_plan(spark, d):
+def remux_plan(spark, d, rename_all=True):
     pairs, t = inputs(spark, d)
     return jobs.plan_job(pairs, t, keep_audio(t), tr.kept(t, "subtitles", [], None), tr.imported(t, TARGETS, None), "flac",
-                         F.lit(120) + F.col("src_file") % 100, F.col("src_file") % 100 - 80, F.col("src_file") % 2 == 0).withColumn(
-        "delay_ms", F.col("delay_ms"))
+                         F.lit(120) + F.col("src_file") % 100, F.col("src_file") % 100 - 80, F.col("src_file") % 2 == 0, rename_all)
+
+
+@query("remux_plan_names_kept", fx.sql_with(["pairs", "fx4"], f"""SELECT p.* REPLACE (CASE WHEN t.type = 'audio' AND t.flac THEN track_name ELSE '' END AS track_name)
+FROM ({PLAN_SQL}) p JOIN (SELECT file_id, track_id, type, {FLAC_SQL} AS flac FROM fx4) t ON t.file_id = p.file_id AND t.track_id = p.track_id""", PLAN_ARGS))
+def remux_plan_names_kept(spark, d):
+    return remux_plan(spark, d, rename_all=False)
+
+
+@query("plan_skips", fx.sql_with(["pairs", "fx4"], """SELECT src_file, lang_file, 'No matching tracks' AS skip_reason FROM pairs
+WHERE NOT EXISTS (SELECT 1 FROM imp WHERE imp.src_file = pairs.src_file)""", [("imp", LANG_IMPORT_SQL)]))
+def plan_skips(spark, d):
+    pairs, t = inputs(spark, d)
+    return jobs.plan_skips(pairs, tr.imported(t, TARGETS, None))
 
 
 @query("job_plan", fx.sql_with(["pairs", "fx4"], f"""SELECT side, action, type, count(*) AS n, count(DISTINCT src_file) AS files,
@@ -386,7 +399,8 @@ def record_frame(spark, d):
     pairs, t = inputs(spark, d)
     langs = tr.file_languages(t)
     results = jobs.result_languages(pairs, t, keep_audio(t), ["eng", "und"], tr.imported(t, TARGETS, None))
-    return jobs.record_frame(pairs, langs, results).withColumn("success", F.lit(False)) \
+    return jobs.record_frame(pairs, langs, results).withColumn("success", F.col("src_file") % 3 == 0) \
+        .withColumn("result_size", F.col("size_bytes") + F.col("lang_size")) \
         .withColumn("audio_delay_ms", (F.col("src_file") % 100 - 50).cast("bigint")) \
         .withColumn("frame_sync_ms", F.col("src_file") % 7).withColumn("speed_ms", F.col("src_file") % 3) \
         .withColumn("merge_ms", F.col("src_file") % 2).withColumn("edit_ops", F.when(F.col("src_file") % 5 == 0, F.col("src_file") % 4))
@@ -404,16 +418,25 @@ def report_lang(spark, d):
     return report.report_tables(record_frame(spark, d), True)["language"]
 
 
-@query("report_result", fx.sql_with(["pairs", "fx4"], """SELECT src_file, episode_id, coalesce(audio, '-') AS audio, coalesce(subtitles, '-') AS subtitles, 'N/A' AS size,
+RESULT_ARGS = [("kept", SRC_KEPT_SQL.replace(f"OR {KEEP_SUBS}", "OR (type = 'subtitles' AND lower(CASE WHEN language = '' THEN 'und' ELSE language END) IN ('eng', 'und'))")),
+               ("imp", LANG_IMPORT_SQL), ("rl", RESULT_LANG_SQL)]
+RESULT_SQL = """SELECT src_file, episode_id, coalesce(audio, '-') AS audio, coalesce(subtitles, '-') AS subtitles, {size} AS size,
   CASE WHEN src_file % 100 > 50 THEN '+' || (src_file % 100 - 50) || 'ms' WHEN src_file % 100 < 50 THEN (src_file % 100 - 50) || 'ms' ELSE '0ms' END AS delay,
   CASE WHEN src_file % 7 > 0 THEN src_file % 7 || 'ms' ELSE '-' END AS frame_sync, CASE WHEN src_file % 5 = 0 THEN src_file % 4 || ' ops' ELSE '-' END AS deep,
-  CASE WHEN src_file % 3 > 0 THEN src_file % 3 || 'ms' ELSE '-' END AS speed, CASE WHEN src_file % 2 > 0 THEN src_file % 2 || 'ms' ELSE 'N/A' END AS merge
-FROM pairs LEFT JOIN rl USING (src_file)""",
-                                [("kept", SRC_KEPT_SQL.replace(f"OR {KEEP_SUBS}", "OR (type = 'subtitles' AND lower(CASE WHEN language = '' THEN 'und' ELSE language END) IN ('eng', 'und'))")), ("imp", LANG_IMPORT_SQL), ("rl", RESULT_LANG_SQL)]))
+  CASE WHEN src_file % 3 > 0 THEN src_file % 3 || 'ms' ELSE '-' END AS speed, CASE WHEN src_file % 2 > 0 THEN src_file % 2 || 'ms' ELSE '{merge}' END AS merge
+FROM pairs LEFT JOIN rl USING (src_file) WHERE {where}"""
+
+
+@query("report_result", fx.sql_with(["pairs", "fx4"], RESULT_SQL.format(size="'N/A'", merge="N/A", where="true"), RESULT_ARGS))
 def report_result(spark, d):
     return report.report_tables(record_frame(spark, d), True)["result"]
 
 
+@query("report_result_run", fx.sql_with(["pairs", "fx4"], RESULT_SQL.format(size=SIZE_SQL.format(b="(size_bytes + lang_size)"), merge="-", where="src_file % 3 = 0"), RESULT_ARGS))
+def report_result_run(spark, d):
+    return report.report_tables(record_frame(spark, d), False)["result"]
+
+
 STATS_SQL = """SELECT CAST(count(*) FILTER (o = 1) AS BIGINT) AS processed, count(*) FILTER (o = 2) AS skipped, count(*) FILTER (o = 3) AS no_match, count(*) FILTER (o = 4) AS no_tracks,
   count(*) FILTER (o = 5) AS sync_failed, count(*) FILTER (o = 6) AS errors FROM (
   SELECT CASE WHEN success THEN 1 WHEN skip_reason = 'No episode ID' THEN 2 WHEN skip_reason = 'No match' THEN 3 WHEN skip_reason = 'No matching tracks' THEN 4
@@ -425,9 +448,19 @@ def run_stats(spark, d):
     return report.run_stats(fx.records(spark, d))
 
 
-@query("job_report", fx.sql_with(["pairs", "fx4", "fx7"], f"""SELECT 'source' AS table_name, count(*) AS row_count, CAST(sum(length(audio)) AS BIGINT) AS text_size FROM (
-  SELECT coalesce(audio, '-') AS audio FROM pairs LEFT JOIN lg ON file_id = src_file)
-UNION ALL SELECT 'language', count(*), CAST(sum(length(audio)) AS BIGINT) FROM (SELECT coalesce(audio, '-') AS audio FROM pairs LEFT JOIN lg ON file_id = lang_file)
-UNION ALL SELECT 'stats', processed + skipped + no_match + no_tracks + sync_failed + errors, 0 FROM st""", [("lg", LANGS_SQL), ("st", STATS_SQL)]))
+REPORT_SQL = """SELECT 'source' AS table_name, count(*) AS row_count, CAST(sum(length(audio)) AS BIGINT) AS text_size FROM (
+  SELECT coalesce(audio, '-') AS audio FROM pairs LEFT JOIN lg ON file_id = src_file WHERE {where})
+UNION ALL SELECT 'language', count(*), CAST(sum(length(audio)) AS BIGINT) FROM (SELECT coalesce(audio, '-') AS audio FROM pairs LEFT JOIN lg ON file_id = lang_file WHERE {where})
+UNION ALL SELECT 'result', count(*), CAST(sum(length(audio)) AS BIGINT) FROM (SELECT coalesce(audio, '-') AS audio FROM pairs LEFT JOIN rl USING (src_file) WHERE {where})
+UNION ALL SELECT 'stats', processed + skipped + no_match + no_tracks + sync_failed + errors, 0 FROM st"""
+REPORT_ARGS = [*RESULT_ARGS, ("lg", LANGS_SQL), ("st", STATS_SQL)]
+
+
+@query("job_report", fx.sql_with(["pairs", "fx4", "fx7"], REPORT_SQL.format(where="true"), REPORT_ARGS))
 def job_report(spark, d):
     return jobs.report_summary(record_frame(spark, d), fx.records(spark, d))
+
+
+@query("job_report_run", fx.sql_with(["pairs", "fx4", "fx7"], REPORT_SQL.format(where="src_file % 3 = 0"), REPORT_ARGS))
+def job_report_run(spark, d):
+    return jobs.report_summary(record_frame(spark, d), fx.records(spark, d), False)
