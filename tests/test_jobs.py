@@ -26,6 +26,16 @@ def test_constant_offset(spark):
     assert {(r["sync_ms"], r["initial_delay_ms"], r["valid_points"]) for r in rows} == {(1480, -1480, 9)}
 
 
+def test_speed_of_mixed_rates(spark):
+    """37 source frames of each file's own length; files of equal speeds drop out."""
+    rows = {r["file_id"]: r for r in entry.queries()["job_speed_mixed"](spark, D).collect()}
+    assert sorted(rows) == [0, 1, 2, 4, 5, 6, 8, 9]
+    for n, r in rows.items():
+        src, lang = map(int, r["stretch"].split("/"))
+        assert src == (40000000 if n % 2 == 0 else 33366667) and lang != src and r["verified"] and r["valid_points"] == 9
+        assert abs(r["sync_ms"] - 37 * src / 1e6) <= 1 and abs(r["initial_delay_ms"] + 37 * lang / 1e6) <= 1
+
+
 def test_offset_regions_hit_the_truth(spark):
     got = {}
     for r in entry.queries()["offset_regions"](spark, D).orderBy("pair_id", "start_ms").collect():

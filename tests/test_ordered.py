@@ -111,6 +111,19 @@ def test_next_row(spark):
     assert len(got) == 100 and all(r["next_v"] == (None if r["i"] == 49 else r["v"] + 2) for r in got)
 
 
+def test_windows_of_a_width_per_key(spark):
+    rng = random.Random(9)
+    widths = {0: 41708, 1: 1, 2: 40000, 3: 33367, 4: 7}
+    rows = [(k, w, rng.randrange(-w * 9, w * 9) // 2 * 2 + b) for k, w in widths.items() for _ in range(60) for b in (0, w)]
+    df = spark.createDataFrame(rows, "k int, w long, offset long").withColumn("at", F.col("offset"))
+    hist = ordered.histogram(df, ["k", "w"], "offset")
+    for k, w in widths.items():
+        cluster = offsets.densest_cluster(hist.filter(f"k = {k}"), ["k", "w"], w).collect()
+        agreed = offsets.consensus(df.filter(f"k = {k}"), ["k", "w"], "offset", F.col("at"), w, 1).collect()
+        assert cluster == [r for r in offsets.densest_cluster(hist, ["k", "w"], F.col("w")).collect() if r["k"] == k]
+        assert agreed == [r for r in offsets.consensus(df, ["k", "w"], "offset", F.col("at"), F.col("w"), 1).collect() if r["k"] == k]
+
+
 def test_densest_cluster_is_the_two_pointer_result(spark):
     rng = random.Random(8)
     rows = [(k, rng.randrange(400)) for k in range(20) for _ in range(rng.randrange(1, 60))]

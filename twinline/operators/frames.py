@@ -19,9 +19,9 @@ BUCKET_MS = 10_000
 
 
 def interframe(frames: DataFrame) -> DataFrame:
-    """Squared error of every frame and the next one."""
-    pairs = ordered.with_next(frames, ["file_id"], "frame_idx", ["px"], FRAME_CHUNK)
-    return (pairs.filter("next_px is not null")
+    """Squared error of every frame and the next one, where the table holds it."""
+    pairs = ordered.with_next(frames.withColumn("_i", F.col("frame_idx")), ["file_id"], "frame_idx", ["px", "_i"], FRAME_CHUNK)
+    return (pairs.filter("next__i = frame_idx + 1").drop("_i", "next__i")
             .withColumn("sse", pixels.squared_error(F.col("px"), F.col("next_px")))
             .withColumn("mse", F.col("sse") / F.size("px")).drop("px", "next_px"))
 
@@ -99,6 +99,17 @@ def slice_segments(rows: DataFrame, segments: DataFrame, start: str, duration: s
             .filter((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(start) + F.col(duration))).drop("_bucket"))
 
 
+def in_windows(frames: DataFrame, segments: DataFrame, start: str, duration: str) -> DataFrame:
+    """Frames of the time buckets that a segment of their file touches.
+
+    The wanted buckets are a small table without pixels; all other frames go before
+    any pixel is shuffled, and work that follows reads the written rest.
+    """
+    touched = F.explode(F.sequence(F.floor(F.col(start) / BUCKET_MS), F.floor((F.col(start) + F.col(duration)) / BUCKET_MS)))
+    wanted = settled(segments.select("file_id", touched.alias("_bucket")).distinct())
+    return settled(frames.withColumn("_bucket", F.floor(F.col("ts_ms") / BUCKET_MS)).join(wanted, ["file_id", "_bucket"], "left_semi").drop("_bucket"))
+
+
 def resample(rows: DataFrame, keys: list[str], ts_ms: Column, fps: float, payload: list[str], order: Column) -> DataFrame:
     """First sample of each cell of a regular grid."""
     cell = F.floor(ts_ms * F.lit(fps) / F.lit(1000.0))

@@ -14,15 +14,16 @@ from twinline.session import spread
 BLOCK = 2_000_000
 
 
-def candidates(src: DataFrame, lang: DataFrame, key: str, pos: str, inverse_ratio: float = 1.0) -> DataFrame:
+def candidates(src: DataFrame, lang: DataFrame, key: str, pos: str, inverse_ratio: Column | float = 1.0) -> DataFrame:
     """How often each offset (lang - src, less the drift) occurs per pair.
 
     Both sides must already be cut to the search windows: a pair then has at
     most as many different positions as the windows have ticks, whatever its
     row count. The cross-correlation of the two sides is summed block by block
-    into a histogram; the single differences are never rows.
+    into a histogram; the single differences are never rows. ``inverse_ratio`` may be a
+    column of ``src``.
     """
-    if inverse_ratio != 1.0:
+    if isinstance(inverse_ratio, Column) or inverse_ratio != 1.0:
         src = src.withColumn(pos, F.bround(F.col(pos) * inverse_ratio, 0).cast("long"))
     both = ordered.histogram(src.withColumn("side", F.lit(0)), [key, "side"], pos).unionByName(
         ordered.histogram(lang.withColumn("side", F.lit(1)), [key, "side"], pos))
@@ -45,9 +46,26 @@ def candidates(src: DataFrame, lang: DataFrame, key: str, pos: str, inverse_rati
     return spread(both, [key]).groupBy(key).applyInPandas(correlate, f"{key} {kind}, offset long, n long")
 
 
-def densest_cluster(hist: DataFrame, keys: list[str], width: int, span: int = 1 << 16) -> DataFrame:
-    """Fullest value window of each key (first on ties) and its middle element ``n / 2``."""
-    seen = ordered.value_window(hist, keys, "offset", width, 0, {"votes": F.sum("n")}, max(span, width))
+#: A window of any width is this long after scaling.
+UNIT = 1_000_000_000
+
+
+def _windows(hist: DataFrame, keys: list[str], value: str, width: Column | int, both_sides: bool, aggs: dict[str, Column], span: int = 1 << 16) -> DataFrame:
+    """``value_window`` whose width may differ from key to key.
+
+    Values are scaled so that every width becomes ``UNIT``. Scaling errs by less than
+    two units, the next value beyond a window lies ``UNIT / width`` further, so windows
+    stay exact for widths up to 10^8.
+    """
+    if isinstance(width, int):
+        return ordered.value_window(hist, keys, value, width, width if both_sides else 0, aggs, max(span, width))
+    scaled = hist.withColumn("_width", width.cast("long")).withColumn("_x", F.expr(f"(cast({value} as decimal(38,0)) * {UNIT}) div _width"))
+    return ordered.value_window(scaled, keys, "_x", UNIT + 2, UNIT + 2 if both_sides else 0, aggs, 16 * UNIT).drop("_x", "_width")
+
+
+def densest_cluster(hist: DataFrame, keys: list[str], width: Column | int, span: int = 1 << 16) -> DataFrame:
+    """Fullest value window of each key (first on ties) and its middle element ``n / 2``; ``width`` may be a column that follows from the key."""
+    seen = _windows(hist, keys, "offset", width, False, {"votes": F.sum("n")}, span)
     best = seen.groupBy(*keys).agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.col("offset"))).alias("_b")) \
         .select(*keys, F.col("_b.offset").alias("_top"), F.col("_b.votes").alias("votes"))
     members = hist.join(best, keys).filter((F.col("offset") <= F.col("_top")) & (F.col("offset") >= F.col("_top") - width))
@@ -95,7 +113,7 @@ def initial_offset(votes: DataFrame, min_share: float = 0.3) -> DataFrame:
             .filter(F.col("votes") >= F.col("tested") * min_share))
 
 
-def consistency(delays: DataFrame, keys: list[str], value: str, tolerance: int, need: int) -> DataFrame:
+def consistency(delays: DataFrame, keys: list[str], value: str, tolerance: Column | int, need: int) -> DataFrame:
     """Upper median per key and how many delays lie within tolerance of it."""
     hist = ordered.histogram(delays, keys, value)
     med = ordered.upper_median(hist, keys, value, "median")
@@ -106,15 +124,14 @@ def consistency(delays: DataFrame, keys: list[str], value: str, tolerance: int,
     return out.filter((F.col("total") >= need) & (F.col("consistent") >= need))
 
 
-def consensus(points: DataFrame, keys: list[str], value: str, order: Column, tolerance: int, need: int) -> DataFrame:
+def consensus(points: DataFrame, keys: list[str], value: str, order: Column, tolerance: Column | int, need: int) -> DataFrame:
     """Largest group of values near one of them; first such value on ties.
 
     Members are near the centre, not near each other. The result is the mean of
     the group, cut toward zero.
     """
     hist = ordered.histogram(points, keys, value, extra=[F.min(order).alias("_first")])
-    near = ordered.value_window(hist, keys, value, tolerance, tolerance,
-                                {"members": F.sum("n"), "_sum": F.sum(F.col("n") * F.col(value))}, max(4096, tolerance))
+    near = _windows(hist, keys, value, tolerance, True, {"members": F.sum("n"), "_sum": F.sum(F.col("n") * F.col(value))})
     best = F.min_by(F.struct("members", "_sum"), F.struct(-F.col("members"), F.col("_first")))
     return (near.groupBy(*keys).agg(best.alias("_b"), F.sum("n").alias("total"))
             .select(*keys, F.col("_b.members").alias("members"), "total",

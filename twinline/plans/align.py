@@ -10,6 +10,7 @@ from twinline.functions import pixels
 from twinline.operators import frames as fr
 from twinline.operators import offsets, ordered, regions, series
 from twinline.params import DEFAULTS, ConstantOffsetSettings, FrameSettings, PiecewiseSettings
+from twinline.plans import jobs
 from twinline.session import settled
 
 US = 1000
@@ -17,11 +18,11 @@ NEAR_SPAN_US = 60_000_000
 
 
 def verified_delays(src_cuts: DataFrame, lang_cuts: DataFrame, src: DataFrame, lang: DataFrame, src_time: DataFrame,
-                    lang_time: DataFrame, tolerance_ms: float, settings: FrameSettings, need: int) -> DataFrame:
+                    lang_time: DataFrame, settings: FrameSettings, need: int) -> DataFrame:
     """Delay (us) of every source cut whose nearest expected language cut looks the same.
 
     ``src_cuts``: file_id, seg, cut, ts_ms, expected_ms (where the cut should be
-    on the language side). Similarity of the frames around both cuts decides; where
+    on the language side, up to three frames) and frame_ms. Similarity of the frames around both cuts decides; where
     it verifies fewer than ``need`` cuts of a segment, the fingerprints of the
     frame steps do. The fallback is computed for those segments only.
     """
@@ -29,8 +30,7 @@ def verified_delays(src_cuts: DataFrame, lang_cuts: DataFrame, src: DataFrame, l
     a = src_cuts.withColumn("target_us", F.bround(F.col("expected_ms") * US, 0).cast("long"))
     b = lang_cuts.withColumn("lang_us", F.bround(F.col("ts_ms") * US, 0).cast("long"))
     near = ordered.nearest(a, b, keys, "target_us", "lang_us", "earlier", NEAR_SPAN_US)
-    near = near.filter(F.abs(F.col("near") - F.col("target_us")) <= tolerance_ms * US)
-    pairs = settled(a.join(near, keys + ["target_us"]).join(b.select(*keys, F.col("lang_us").alias("near"), F.col("cut").alias("lang_cut")), keys + ["near"])
+    pairs = settled(a.join(near, keys + ["target_us"]).filter(F.abs(F.col("near") - F.col("target_us")) <= F.col("frame_ms") * (3 * US)).join(b.select(*keys, F.col("lang_us").alias("near"), F.col("cut").alias("lang_cut")), keys + ["near"])
                     .select(*keys, F.col("cut").alias("src_cut"), "lang_cut",
                             (F.col("near") - F.bround(F.col("ts_ms") * US, 0).cast("long")).alias("delay_us"), "ts_ms"))
     seq = fr.cut_sequences(pairs.select(*keys, "src_cut", "lang_cut"), src, lang, settings, keys).filter(fr.in_band(settings))
@@ -53,85 +53,104 @@ def _point_results(delays: DataFrame, corrected: Column, points: DataFrame) -> D
     med = ordered.upper_median(ordered.histogram(d, keys, "_us"), keys, "_us", "_med", 1 << 20)
     best = series.checkpoint_scores(d, keys)
     return (points.join(med, keys, "left").join(best, keys, "left")
-            .select("file_id", F.col("seg").alias("point"), F.bround(F.col("_med") / US, 0).cast("long").alias("offset"), "score", "method"))
+            .select(*[c for c in points.columns if c != "seg"], F.col("seg").alias("point"), F.bround(F.col("_med") / US, 0).cast("long").alias("offset"), "score", "method"))
 
 
-def constant_offset(src: DataFrame, lang: DataFrame, durations: DataFrame, fps: float, settings: FrameSettings = DEFAULTS.frames,
-                    search: ConstantOffsetSettings = DEFAULTS.constant, inverse_ratio: float = 1.0,
-                    cluster_frames: int = 1) -> DataFrame:
+def constant_offset(src: DataFrame, lang: DataFrame, pairs: DataFrame, settings: FrameSettings = DEFAULTS.frames,
+                    search: ConstantOffsetSettings = DEFAULTS.constant, cluster_frames: int = 1) -> DataFrame:
     """Offset of every file pair from scene cuts, verified at checkpoints.
 
-    With ``inverse_ratio`` the language side runs at another speed: the drift is
-    taken out of every difference and checkpoints must also agree with the
-    expected drift. Returns file_id, initial_delay_ms, offset_ms (mean of the
-    largest agreeing group, null when too few agree), valid_points, summary.
+    ``pairs``: file_id, duration_ms, fps and inverse_ratio, each pair with its own rates.
+    With an inverse ratio other than 1 the language side runs at another speed: the
+    drift is taken out of every difference and checkpoints must also agree with the
+    expected drift. Returns file_id, initial_delay_ms, offset_ms (mean of the largest
+    agreeing group, null when too few agree), valid_points, summary.
     """
-    drift = inverse_ratio - 1.0
-    frame_ms = 1000.0 / fps
-    src_time, lang_time = settled(fr.cut_timeline(src)), settled(fr.cut_timeline(lang))
-    usable = durations.filter(F.col("duration_ms") >= search.min_duration_ms)
+    need = settings.min_scene_cuts
+    rates = ["frame_ms", "frame_us", "inverse_ratio"]
+    usable = settled(pairs.filter((F.col("duration_ms") >= search.min_duration_ms) & (F.col("fps") > 0)).select(
+        "file_id", "duration_ms", (1000.0 / F.col("fps")).alias("frame_ms"), F.bround(F.lit(1e6) / F.col("fps"), 0).cast("long").alias("frame_us"), "inverse_ratio"))
+    rate = usable.select("file_id", *rates)
+    drift = F.col("inverse_ratio") - 1.0
+
+    def cuts(time, seg, side):
+        return settled(fr.segment_cuts(time, seg, f"{side}_start", f"{side}_dur", settings))
+
+    def windows(seg):
+        """Pixels inside the windows of both sides, and the frame steps there."""
+        near = [fr.in_windows(frames, seg, f"{side}_start", f"{side}_dur") for frames, side in ((src, "src"), (lang, "lang"))]
+        return near, [settled(fr.cut_timeline(n)) for n in near]
 
     first = usable.select("file_id", F.lit(0).alias("seg"), F.lit(search.source_start_sec * 1000).alias("src_start"),
                           F.lit(search.source_duration_sec * 1000).alias("src_dur"), F.lit(0).alias("lang_start"),
                           F.lit(search.lang_duration_sec * 1000).alias("lang_dur"))
-    def cuts(time, seg, side):
-        return settled(fr.segment_cuts(time, seg, f"{side}_start", f"{side}_dur", settings))
-    a, b = cuts(src_time, first, "src"), cuts(lang_time, first, "lang")
-    need = settings.min_scene_cuts
+    near, times = windows(first)
+    a, b = cuts(times[0], first, "src"), cuts(times[1], first, "lang")
     rich = [c.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need).select("file_id") for c in (a, b)]
-    a = a.join(rich[0], "file_id", "left_semi").join(rich[1], "file_id", "left_semi")
+    a = a.join(rich[0], "file_id", "left_semi").join(rich[1], "file_id", "left_semi").join(rate, "file_id")
     us = F.bround(F.col("ts_ms") * US, 0).cast("long").alias("us")
-    hist = offsets.candidates(a.select("file_id", us), b.select("file_id", us), "file_id", "us", inverse_ratio)
-    winner = offsets.densest_cluster(hist, ["file_id"], round(frame_ms * cluster_frames * US))
-    expected = a.join(winner, "file_id").withColumn("expected_ms", F.col("ts_ms") * inverse_ratio + F.col("offset") / US)
-    delays = verified_delays(expected, b, src, lang, src_time, lang_time, 3 * frame_ms, settings, need) \
+    hist = offsets.candidates(a.select("file_id", us, "inverse_ratio"), b.select("file_id", us), "file_id", "us", F.col("inverse_ratio"))
+    # the rates follow from the file, so they ride along as keys
+    winner = offsets.densest_cluster(hist.join(rate, "file_id"), ["file_id", "frame_us"], F.col("frame_us") * cluster_frames)
+    expected = a.join(winner.drop("frame_us"), "file_id").withColumn("expected_ms", F.col("ts_ms") * F.col("inverse_ratio") + F.col("offset") / US)
+    delays = verified_delays(expected, b, *near, *times, settings, need).join(rate, "file_id") \
         .withColumn("delay_us", F.col("delay_us") - F.bround(F.col("ts_ms") * (drift * US), 0).cast("long"))
-    initial = settled(offsets.consistency(delays, ["file_id"], "delay_us", round(frame_ms * US), need)
+    initial = settled(offsets.consistency(delays, ["file_id", "frame_us"], "delay_us", F.col("frame_us"), need)
                       .select("file_id", F.bround(F.col("median") / US, 0).cast("long").alias("initial_delay_ms")))
 
-    marks = settled(series.checkpoints(usable.join(initial, "file_id"), ["file_id", "initial_delay_ms"], "duration_ms", settings.num_check_points)
-                    .withColumn("expected_offset", series.expected_offset(F.col("initial_delay_ms"), F.col("point_ms"), inverse_ratio))
+    marks = settled(series.checkpoints(usable.join(initial, "file_id"), ["file_id", *rates, "initial_delay_ms"], "duration_ms", settings.num_check_points)
+                    .withColumn("expected_offset", series.expected_offset(F.col("initial_delay_ms"), F.col("point_ms"), F.col("inverse_ratio")))
                     .withColumnRenamed("point", "seg"))
 
     def check(points: DataFrame, src_sec: int, lang_sec: int) -> DataFrame:
         seg = points.select("file_id", "seg", F.greatest(F.lit(0), F.col("point_ms") - src_sec * 500).alias("src_start"), F.lit(src_sec * 1000).alias("src_dur"),
                             F.greatest(F.lit(0), F.col("point_ms") + F.col("expected_offset") - lang_sec * 500).alias("lang_start"), F.lit(lang_sec * 1000).alias("lang_dur"))
-        sc, lc = cuts(src_time, seg, "src"), cuts(lang_time, seg, "lang")
+        near, times = windows(seg)
+        sc, lc = cuts(times[0], seg, "src"), cuts(times[1], seg, "lang")
         want = sc.join(points, ["file_id", "seg"]).withColumn("expected_ms", F.col("ts_ms") + F.col("expected_offset"))
-        found = verified_delays(want.select(*sc.columns, "expected_ms"), lc, src, lang, src_time, lang_time, 3 * frame_ms, settings, 1) \
-            .join(points.select("file_id", "seg", "point_ms"), ["file_id", "seg"])
+        found = verified_delays(want.select(*sc.columns, "frame_ms", "expected_ms"), lc, *near, *times, settings, 1) \
+            .join(points.select("file_id", "seg", "point_ms", "inverse_ratio"), ["file_id", "seg"])
         corrected = F.col("delay_us") - F.bround((F.col("ts_ms") - F.col("point_ms")) * (drift * US), 0).cast("long")
-        r = _point_results(found, corrected, points.select("file_id", "seg", "expected_offset"))
-        ok = F.col("offset").isNotNull()
-        if inverse_ratio != 1.0:
-            want_ms = points.select("file_id", F.col("seg").alias("point"), "expected_offset")
-            r, ok = r.join(want_ms, ["file_id", "point"]), ok & (F.abs(F.col("offset") - F.col("expected_offset")) <= frame_ms)
-        return r.withColumn("valid", F.coalesce(ok, F.lit(False))).select("file_id", "point", "offset", "score", "method", "valid")
+        r = _point_results(found, corrected, points.select("file_id", "seg", "expected_offset", "frame_ms", "inverse_ratio"))
+        agrees = (F.col("inverse_ratio") == 1.0) | (F.abs(F.col("offset") - F.col("expected_offset")) <= F.col("frame_ms"))
+        return r.withColumn("valid", F.coalesce(F.col("offset").isNotNull() & agrees, F.lit(False))).select("file_id", "point", "offset", "score", "method", "valid")
 
     one = settled(check(marks, settings.verify_source_sec, settings.verify_lang_sec))
-    failed = marks.join(one.filter("not valid").select("file_id", F.col("point").alias("seg")), ["file_id", "seg"], "left_semi")
+    failed = settled(marks.join(one.filter("not valid").select("file_id", F.col("point").alias("seg")), ["file_id", "seg"], "left_semi"))
     two = check(failed, settings.retry_source_sec, settings.retry_lang_sec)
     points = settled(series.with_retry(one, two, ["file_id"]))
-    tolerance = max(1, round(frame_ms)) * search.grouping_tolerance_frames
-    agreed = offsets.consensus(points.filter("valid"), ["file_id"], "offset", F.col("point"), tolerance, search.min_valid_points)
+    tolerance = F.greatest(F.lit(1), F.bround(F.col("frame_us") / US, 0).cast("long")) * search.grouping_tolerance_frames
+    agreed = offsets.consensus(points.filter("valid").join(rate, "file_id"), ["file_id", "frame_us"], "offset", F.col("point"), tolerance, search.min_valid_points)
     return (initial.join(series.validity(points, ["file_id"], settings.min_valid_points), "file_id", "left")
             .join(agreed.select("file_id", F.col("offset").alias("offset_ms")), "file_id", "left")
             .join(series.detail_summary(points, ["file_id"]), "file_id", "left")
             .select("file_id", "initial_delay_ms", "offset_ms", "valid_points", "verified", "summary"))
 
 
-def frame_sync_job(src: DataFrame, lang: DataFrame, durations: DataFrame, fps: float, settings: FrameSettings) -> DataFrame:
-    """Constant offset; the sign turns because a late language track must be moved earlier."""
-    r = constant_offset(src, lang, durations, fps, settings)
+def frame_sync_job(src: DataFrame, lang: DataFrame, pairs: DataFrame, settings: FrameSettings) -> DataFrame:
+    """Constant offset of ``pairs(file_id, duration_ms, src_video_ns)``; the sign turns because a late language track must be moved earlier.
+
+    Pairs without a frame duration have no rate to work with and no row.
+    """
+    rated = pairs.withColumn("fps", F.try_divide(F.lit(1e9), F.col("src_video_ns"))).withColumn("inverse_ratio", F.lit(1.0))
+    r = constant_offset(src, lang, rated, settings)
     return r.select("file_id", (-F.col("offset_ms")).alias("sync_ms"), "initial_delay_ms", "valid_points", "summary")
 
 
-def speed_job(src: DataFrame, lang: DataFrame, durations: DataFrame, src_ns: int, lang_ns: int, settings: FrameSettings) -> DataFrame:
-    """Offset under a speed difference: stretch factor, delay on the stretched clock, verdict."""
-    ratio = src_ns / lang_ns
-    r = constant_offset(src, lang, durations, 1e9 / src_ns, settings, inverse_ratio=1.0 / ratio, cluster_frames=3)
-    return r.select("file_id", F.lit(f"{src_ns}/{lang_ns}").alias("stretch"), "initial_delay_ms",
-                    F.bround(-F.col("initial_delay_ms") * ratio, 0).cast("long").alias("sync_ms"), "valid_points", "verified", "summary")
+def speed_job(src: DataFrame, lang: DataFrame, pairs: DataFrame, settings: FrameSettings) -> DataFrame:
+    """Offset under a speed difference: stretch factor, delay on the stretched clock, verdict.
+
+    ``pairs``: file_id, duration_ms and the frame and container durations of both sides
+    (src_video_ns, lang_video_ns, src_container_ns, lang_container_ns), each pair with
+    its own. Only pairs whose speeds differ, soft telecine aside, have a row.
+    """
+    s, l = F.col("src_video_ns"), F.col("lang_video_ns")
+    odd = settled(jobs.with_speed_mismatch(pairs).filter("mismatch").select(
+        "file_id", "duration_ms", F.col("src_fps").alias("fps"), (l / s).alias("inverse_ratio"), (s / l).alias("ratio"),
+        F.concat_ws("/", s.cast("string"), l.cast("string")).alias("stretch")))
+    r = constant_offset(src, lang, odd, settings, cluster_frames=3).join(odd.select("file_id", "ratio", "stretch"), "file_id")
+    return r.select("file_id", "stretch", "initial_delay_ms", F.bround(-F.col("initial_delay_ms") * F.col("ratio"), 0).cast("long").alias("sync_ms"),
+                    "valid_points", "verified", "summary")
 
 
 def offset_regions(src: DataFrame, lang: DataFrame, settings: PiecewiseSettings = DEFAULTS.piecewise, inverse: float = 1.0,

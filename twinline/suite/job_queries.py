@@ -10,6 +10,7 @@ from twinline.params import DEFAULTS, VECTOR_FRAMES
 from twinline.plans import align, ladder
 from twinline.session import settled
 from twinline.streaming import live
+from twinline.suite.region_queries import REGION_ARGS
 from twinline.suite.registry import query
 
 
@@ -19,17 +20,44 @@ def frame_inputs(spark, d, lang):
     return src, settled(lang(spark, d)), durations
 
 
+def with_rates(durations, src_ns, lang_ns):
+    """Frame durations of both sides, and containers far enough apart to be no soft telecine."""
+    return (durations.withColumn("src_video_ns", src_ns.cast("long")).withColumn("lang_video_ns", lang_ns.cast("long"))
+            .withColumn("src_container_ns", F.col("duration_ms") * 1_000_000)
+            .withColumn("lang_container_ns", (F.col("src_container_ns") * F.col("lang_video_ns") / F.col("src_video_ns")).cast("long")))
+
+
 @query("job_frame_sync")
 def job_frame_sync(spark, d):
-    return align.frame_sync_job(*frame_inputs(spark, d, fx.lang_frames), 25.0, VECTOR_FRAMES)
+    src, lang, durations = frame_inputs(spark, d, fx.lang_frames)
+    return align.frame_sync_job(src, lang, durations.withColumn("src_video_ns", F.lit(40000000)), VECTOR_FRAMES)
 
 
 @query("job_speed")
 def job_speed(spark, d):
-    return align.speed_job(*frame_inputs(spark, d, fx.speed_lang_frames), 40000000, 41708000, VECTOR_FRAMES)
+    src, lang, durations = frame_inputs(spark, d, fx.speed_lang_frames)
+    return align.speed_job(src, lang, with_rates(durations, F.lit(40000000), F.lit(41708000)), VECTOR_FRAMES)
+
+
+def mixed_rates(n):
+    """Frame durations of the files: two on the source side, three ratios and no difference on the other."""
+    src = F.when(n % 2 == 0, 40000000).otherwise(33366667)
+    return src, F.when(n % 4 == 3, src).when(n % 4 == 2, 41708000).when(n % 4 == 1, 34800000).otherwise(38500000)
+
+
+@query("job_speed_mixed")
+def job_speed_mixed(spark, d):
+    """One run over files of different rates and ratios; files of equal speeds have no row."""
+    src_ns, lang_ns = mixed_rates(F.col("file_id").cast("long"))
+    src = settled(fx.frames(spark, d).withColumn("ts_ms", F.col("frame_idx") * src_ns / F.lit(1e6)))
+    lang = settled(fx.lang_frames(spark, d).withColumn("ts_ms", F.col("frame_idx") * lang_ns / F.lit(1e6)))
+    durations = fr.frame_counts(src).select("file_id", (F.col("frame_count") * src_ns / F.lit(1e6)).cast("long").alias("duration_ms"))
+    return align.speed_job(src, lang, with_rates(durations, src_ns, lang_ns), VECTOR_FRAMES)
 
 
-@query("job_deep")
+@query("job_deep", fx.sql_with(["cuts"], """SELECT pair_id, n AS op_count, src AS source_cuts, lang AS lang_cuts, matched AS matched_cuts, CAST(round_even(first_off, 0) AS BIGINT) AS initial_delay_ms, CAST(0 AS DOUBLE) AS baseline_mse
+FROM (SELECT pair_id, count(*) - 1 AS n, CAST(sum(match_count) AS BIGINT) AS matched, arg_min(offset_ms, start_ms) AS first_off FROM regs GROUP BY pair_id)
+JOIN (SELECT pair_id, count(*) FILTER (side = 'src') AS src, count(*) FILTER (side = 'lang') AS lang FROM cuts GROUP BY pair_id) USING (pair_id)""", REGION_ARGS))
 def job_deep(spark, d):
     c = settled(fx.cuts(spark, d))
     return align.piecewise_job(c.filter("side = 'src'").drop("side"), c.filter("side = 'lang'").drop("side"))

@@ -8,6 +8,7 @@ from twinline.operators import offsets, ordered, regions, series
 from twinline.params import DEFAULTS, PiecewiseSettings
 from twinline.suite.frame_queries import SSIM_SQL, sums_sql
 from twinline.suite.registry import query
+from twinline.suite.series_queries import VOTES_ARGS, VOTES_SQL
 
 RG_SQL = """SELECT pair_id, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY pair_id ORDER BY start_ms), last_ms) AS end_ms, offset_ms, match_count,
   row_number() OVER (PARTITION BY pair_id ORDER BY start_ms) AS idx FROM (
@@ -34,7 +35,36 @@ def shown(df):
     return df.select("pair_id", "start_ms", "end_ms", F.bround("offset_ms", 6).alias("offset_ms"), "match_count")
 
 
-@query("offset_regions")
+def closest_sql(x, limit):
+    return f"list_sort(list_transform(list_filter(lg.l, lambda v: abs(v - ({x})) <= {limit}), lambda v: {{'d': abs(v - ({x})), 'v': v}}))[1].v"
+
+
+# one step per source cut: f, c, w are the language cuts near the current offset, near the candidate, and in the wide search
+SCAN_SQL = f"""/*RECURSIVE*/SELECT pair_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS hit, CAST(-1 AS BIGINT) AS hit_region, false AS changed, CAST(offset_ms AS BIGINT) AS cur,
+  CAST(0 AS BIGINT) AS run, CAST(0 AS BIGINT) AS cand, CAST(0 AS BIGINT) AS run_t, CAST(-1 AS BIGINT) AS region_t FROM init
+UNION ALL SELECT pair_id, i, CASE WHEN f IS NOT NULL AND NOT jump THEN t - f END, region_t, run2 >= 5, CASE WHEN run2 >= 5 THEN cand2 ELSE cur END,
+  CASE WHEN run2 >= 5 THEN 0 ELSE run2 END, cand2, run_t2, CASE WHEN run2 >= 5 THEN run_t2 ELSE region_t END FROM (
+  SELECT *, CASE WHEN jump AND (run = 0 OR abs(t - f - cand) < 250) THEN run + 1 WHEN jump THEN 1 WHEN f IS NOT NULL THEN 0 WHEN run > 0 AND c IS NOT NULL THEN run + 1
+      WHEN run > 0 THEN 0 WHEN wide THEN 1 ELSE 0 END AS run2,
+    CASE WHEN jump AND (run = 0 OR abs(t - f - cand) >= 250) THEN t - f WHEN f IS NULL AND run = 0 AND wide THEN t - w ELSE cand END AS cand2,
+    CASE WHEN (jump AND (run = 0 OR abs(t - f - cand) >= 250)) OR (f IS NULL AND run = 0 AND wide) THEN t ELSE run_t END AS run_t2 FROM (
+    SELECT *, f IS NOT NULL AND abs(t - f - cur) > 500 AS jump, w IS NOT NULL AND abs(t - w - cur) > 500 AS wide FROM (
+      SELECT scan.pair_id, s.i, s.t, cur, run, cand, run_t, region_t, {closest_sql('s.t - cur', 250)} AS f, {closest_sql('s.t - cand', 250)} AS c, {closest_sql('s.t - cur', 15000)} AS w
+      FROM scan JOIN s ON s.pair_id = scan.pair_id AND s.i = scan.i + 1 JOIN lg ON lg.pair_id = scan.pair_id)))"""
+REGION_ARGS = [*VOTES_ARGS,
+               ("s", "SELECT pair_id, t_ms AS t, row_number() OVER (PARTITION BY pair_id ORDER BY t_ms) AS i, count(*) OVER (PARTITION BY pair_id) AS n, max(t_ms) OVER (PARTITION BY pair_id) AS last_ms FROM cuts WHERE side = 'src'"),
+               ("lg", "SELECT pair_id, list(DISTINCT t_ms) AS l FROM cuts WHERE side = 'lang' GROUP BY pair_id HAVING count(*) >= 3"),
+               ("init", f"""SELECT pair_id, offset_ms FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY votes DESC, offset_ms) AS k FROM ({VOTES_SQL}))
+                  WHERE k = 1 AND votes >= tested * 0.3 AND pair_id IN (SELECT pair_id FROM lg) AND pair_id IN (SELECT pair_id FROM s WHERE n >= 3)"""),
+               ("scan", SCAN_SQL),
+               ("regs", """SELECT pair_id, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY pair_id ORDER BY region_t), last_ms) AS end_ms, offset_ms, match_count FROM (
+                  SELECT o.pair_id, region_t, CAST(greatest(region_t, 0) AS DOUBLE) AS start_ms, CAST(coalesce(med, base) AS DOUBLE) AS offset_ms, CAST(opening + coalesce(n, 0) AS BIGINT) AS match_count FROM (
+                    SELECT pair_id, CAST(-1 AS BIGINT) AS region_t, offset_ms AS base, 0 AS opening FROM init UNION ALL SELECT pair_id, region_t, cur, 5 FROM scan WHERE changed) o
+                  LEFT JOIN (SELECT pair_id, hit_region AS region_t, median(hit) AS med, count(*) AS n FROM scan WHERE hit IS NOT NULL GROUP BY ALL) h USING (pair_id, region_t))
+                  JOIN (SELECT pair_id, CAST(max(last_ms) AS DOUBLE) AS last_ms FROM s GROUP BY pair_id) USING (pair_id)""")]
+
+
+@query("offset_regions", fx.sql_with(["cuts"], f"SELECT {OUT} FROM regs", REGION_ARGS))
 def offset_regions(spark, d):
     from twinline.plans import align
     c = fx.cuts(spark, d)
