@@ -138,6 +138,17 @@ SELECT s.doc_id, first_word, n_words, CAST(a.end_byte - a.size AS BIGINT) AS fir
 FROM spans s JOIN places a ON a.doc_id = s.doc_id AND a.i = first_word JOIN places b ON b.doc_id = s.doc_id AND b.i = first_word + n_words - 1
 """
 
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= 0.9 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))),
+reach AS (SELECT DISTINCT a AS n, a AS m FROM links UNION SELECT reach.n, links.b FROM reach JOIN links ON links.a = reach.m),
+lowest AS (SELECT n, min(m) AS m FROM reach GROUP BY n), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(counts.n, 0) AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts ON a = vec_id LEFT JOIN lowest ON lowest.n = vec_id
+"""
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_tool_calls, op3_imatch, op4_retrieval_packing, op5_suffix_repeats,
                                       op6_quality, op7_byte_bpe, op8_multi_index, op9_simhash, op10_line_alignment)}
-ORACLES: dict[str, str] = {"op2_tool_calls": OP2_SQL, "op3_imatch": OP3_SQL, "op5_suffix_repeats": OP5_SQL}
+ORACLES: dict[str, str] = {"op2_tool_calls": OP2_SQL, "op3_imatch": OP3_SQL, "op5_suffix_repeats": OP5_SQL, "op8_multi_index": OP8_SQL}
