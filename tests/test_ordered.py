@@ -111,6 +111,19 @@ def test_next_row(spark):
     assert len(got) == 100 and all(r["next_v"] == (None if r["i"] == 49 else r["v"] + 2) for r in got)
 
 
+def test_candidates_in_blocks(spark):
+    rng = random.Random(5)
+    a, b = ([(k, rng.randrange(1000)) for k in (1, 2) for _ in range(80)] for _ in range(2))
+    want = {}
+    for k, s in a:
+        for kk, l in b:
+            if k == kk:
+                want[k, l - s] = want.get((k, l - s), 0) + 1
+    a, b = (spark.createDataFrame(x, "k int, t long") for x in (a + [(3, 1)], b + [(4, 1)]))
+    for block in (1 << 25, 64):
+        assert {(r["k"], r["offset"]): r["n"] for r in offsets.candidates(a, b, "k", "t", block=block).collect()} == want
+
+
 def test_windows_of_a_width_per_key(spark):
     rng = random.Random(9)
     widths = {0: 41708, 1: 1, 2: 40000, 3: 33367, 4: 7}

@@ -14,19 +14,23 @@ from twinline.session import spread
 BLOCK = 2_000_000
 
 
-def candidates(src: DataFrame, lang: DataFrame, key: str, pos: str, inverse_ratio: Column | float = 1.0) -> DataFrame:
+def candidates(src: DataFrame, lang: DataFrame, key: str, pos: str, inverse_ratio: Column | float = 1.0,
+               block: int = 1 << 25) -> DataFrame:
     """How often each offset (lang - src, less the drift) occurs per pair.
 
     Both sides must already be cut to the search windows: a pair then has at
     most as many different positions as the windows have ticks, whatever its
-    row count. The cross-correlation of the two sides is summed block by block
-    into a histogram; the single differences are never rows. ``inverse_ratio`` may be a
-    column of ``src``.
+    row count. The cross-correlation of the two sides is summed
+    into a histogram; the single differences are never rows. Blocks of ``block`` ticks of
+    either side meet in groups of their own, so a pair is spread over many tasks.
+    ``inverse_ratio`` may be a column of ``src``.
     """
     if isinstance(inverse_ratio, Column) or inverse_ratio != 1.0:
         src = src.withColumn(pos, F.bround(F.col(pos) * inverse_ratio, 0).cast("long"))
-    both = ordered.histogram(src.withColumn("side", F.lit(0)), [key, "side"], pos).unionByName(
-        ordered.histogram(lang.withColumn("side", F.lit(1)), [key, "side"], pos))
+    def blocks(df, side, name):
+        return ordered.histogram(df, [key], pos).withColumn("side", F.lit(side)).withColumn(name, F.floor(F.col(pos) / block))
+    s, l = blocks(src, 0, "_s"), blocks(lang, 1, "_l")
+    both = s.join(l.select(key, "_l").distinct(), key).unionByName(l.join(s.select(key, "_s").distinct(), key))
 
     def correlate(pdf: pd.DataFrame) -> pd.DataFrame:
         s, l = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
@@ -36,14 +40,15 @@ def candidates(src: DataFrame, lang: DataFrame, key: str, pos: str, inverse_rati
         for i in range(0, len(sp) if len(lp) else 0, step):
             diff = np.subtract.outer(lp, sp[i:i + step]).ravel()
             count = np.multiply.outer(ln, sn[i:i + step]).ravel()
-            block = pd.Series(count).groupby(diff).sum()
-            total = block if total is None else total.add(block, fill_value=0)
+            part = pd.Series(count).groupby(diff).sum()
+            total = part if total is None else total.add(part, fill_value=0)
         if total is None:
             return pd.DataFrame({key: [], "offset": [], "n": []}).astype("int64")
         return pd.DataFrame({key: pdf[key].iloc[0], "offset": total.index.astype("int64"), "n": total.to_numpy().astype("int64")})
 
-    kind = src.schema[key].dataType.simpleString()
-    return spread(both, [key]).groupBy(key).applyInPandas(correlate, f"{key} {kind}, offset long, n long")
+    kind, group = src.schema[key].dataType.simpleString(), [key, "_s", "_l"]
+    parts = spread(both, group).groupBy(*group).applyInPandas(correlate, f"{key} {kind}, offset long, n long")
+    return parts.groupBy(key, "offset").agg(F.sum("n").alias("n"))
 
 
 #: A window of any width is this long after scaling.
