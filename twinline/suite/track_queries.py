@@ -299,8 +299,8 @@ def track_text(spark, d):
 # --- pair level: plans and reports ------------------------------------------------------------
 
 def inputs(spark, d):
-    """Pairs and numbered tracks, written once: the branches of a plan read them instead of the tables they come from."""
-    return settled(catalog.matched(catalog.match_job(fx.catalog(spark, d)))), settled(fx.tracks(spark, d))
+    """Pairs, and numbered tracks written once: the branches of a plan read them instead of numbering lineitem again."""
+    return catalog.matched(catalog.match_job(fx.catalog(spark, d))), settled(fx.tracks(spark, d))
 
 
 SRC_KEPT_SQL = f"""SELECT p.src_file, k.* FROM pairs p JOIN (SELECT * FROM fx4 WHERE {KEEP_AUDIO} OR {KEEP_SUBS}) k ON k.file_id = p.src_file"""
