@@ -117,7 +117,8 @@ def constant_offset(src: DataFrame, lang: DataFrame, pairs: DataFrame, settings:
 
     one = settled(check(marks, settings.verify_source_sec, settings.verify_lang_sec))
     failed = settled(marks.join(one.filter("not valid").select("file_id", F.col("point").alias("seg")), ["file_id", "seg"], "left_semi"))
-    two = check(failed, settings.retry_source_sec, settings.retry_lang_sec)
+    # without a failed point the second check has no rows; its jobs are not started then
+    two = one.filter("false") if failed.isEmpty() else check(failed, settings.retry_source_sec, settings.retry_lang_sec)
     points = settled(series.with_retry(one, two, ["file_id"]))
     tolerance = F.greatest(F.lit(1), F.bround(F.col("frame_us") / US, 0).cast("long")) * search.grouping_tolerance_frames
     agreed = offsets.consensus(points.filter("valid").join(rate, "file_id"), ["file_id", "frame_us"], "offset", F.col("point"), tolerance, search.min_valid_points)
