@@ -259,6 +259,18 @@ def test_simhash(spark):
     assert [got[i].component_id for i, _ in docs] == [docs[k][0] for k in label]
 
 
+def test_near_copies_of_one_id(spark):
+    """Texts under one id, or none, all stay unless they are copies; the choice does not depend on the order of rows."""
+    clean = [(i, " ".join(f"w{k}x{n}" for n in range(60)), "a") for k, i in enumerate([None, None, None, 7, 7, 7, 8])]
+    made = [*clean, (9, clean[0][1], "b"), (7, clean[3][1], "c"), (8, None, "d"), (None, None, "e")]
+    kept = set()
+    for n, order in ((1, made), (3, made[::-1])):
+        got = simhash.drop_near_copies(spark.createDataFrame(order, "doc_id long, text string, row string").repartition(n)).collect()
+        assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t, _ in [*clean, made[-1]])
+        kept.add(tuple(sorted(map(str, got))))
+    assert len(kept) == 1
+
+
 @pytest.mark.parametrize("node_rows", [4096, 3])
 def test_fingerprint_links(spark, node_rows):
     rnd = random.Random(4)
