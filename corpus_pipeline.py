@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinline.llm import langid, linediff, packing, simhash, suffixes
+from twinline.llm import langid, linediff, nearcopies, packing, suffixes
 from twinline.session import shared_folder
 
 
@@ -21,8 +21,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.drop_near_copies(docs)
+    """One document of each group of near copies: five-word shingles, an exact similarity of 0.8 and more."""
+    return nearcopies.drop_near_copies(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from twinline.llm import components, duckbpe, imatch, langid, linediff, multiindex, packing, quality, queries, simhash, suffixes, toolcalls
+from twinline.llm import components, duckbpe, imatch, langid, linediff, multiindex, nearcopies, packing, quality, queries, simhash, suffixes, toolcalls
 
 P = pytest.importorskip("public_tokenizers")
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -259,13 +259,36 @@ def test_simhash(spark):
     assert [got[i].component_id for i, _ in docs] == [docs[k][0] for k in label]
 
 
+def test_planted_near_copies(spark):
+    """The pipeline's stage keeps what brute force over all pairs keeps; copies are planted on both sides of 0.8."""
+    import corpus_pipeline
+    rnd = random.Random(8)
+    made = []
+    for _ in range(40):
+        base = [f"v{rnd.randrange(5000)}" for _ in range(rnd.choice([40, 150, 600]))]
+        made.append(" ".join(base))
+        for _ in range(5):
+            copy = list(base)
+            for at in rnd.sample(range(len(copy)), max(1, int(len(copy) * rnd.uniform(0.002, 0.03)))):
+                copy[at] = f"u{rnd.randrange(10**6)}"
+            made.append(" ".join(copy))
+    rnd.shuffle(made)
+    made += ["one two", "One two", "", None]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))} for w in ((t or "").lower().split() for t in made)]
+    like = [len(a & b) / max(1, len(a | b)) if a or b else 1.0 for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(0.8 <= s < 0.95 for s in like) > 50 and sum(0.7 <= s < 0.8 for s in like) > 20
+    label = groups_of(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in enumerate(made)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SMALL).collect()) == sorted(set(label))
+
+
 def test_near_copies_of_one_id(spark):
     """Texts under one id, or none, all stay unless they are copies; the choice does not depend on the order of rows."""
     clean = [(i, " ".join(f"w{k}x{n}" for n in range(60)), "a") for k, i in enumerate([None, None, None, 7, 7, 7, 8])]
     made = [*clean, (9, clean[0][1], "b"), (7, clean[3][1], "c"), (8, None, "d"), (None, None, "e")]
     kept = set()
     for n, order in ((1, made), (3, made[::-1])):
-        got = simhash.drop_near_copies(spark.createDataFrame(order, "doc_id long, text string, row string").repartition(n)).collect()
+        got = nearcopies.drop_near_copies(spark.createDataFrame(order, "doc_id long, text string, row string").repartition(n)).collect()
         assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t, _ in [*clean, made[-1]])
         kept.add(tuple(sorted(map(str, got))))
     assert len(kept) == 1

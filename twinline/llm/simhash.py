@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinline.llm.common import as_bytes, map_batches, parts, settled
@@ -27,27 +27,42 @@ NODES = [(a, b, *[c for c in range(4) if c not in (a, b)]) for a in range(4) for
 NODE_ROWS = 4096
 
 
-def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
-    """Majority bits of the XXH64 of the word shingles; 0 without words."""
+def shingles(text: bytes | None, words: int = 3) -> list[bytes]:
+    """The word shingles of a text in their order; a shorter text is one shingle, one without words has none."""
     w = (text or b"").lower().split()
-    if not w:
-        return 0
     n = min(words, len(w))
-    shingles = w if n == 1 else [b" ".join(s) for s in zip(*(w[i:] for i in range(n)))]
-    h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles))
+    return w if n < 2 else [b" ".join(s) for s in zip(*(w[i:] for i in range(n)))]
+
+
+def shingle_hashes(text: bytes | None, words: int = 3, seed: int = 42) -> np.ndarray:
+    found = shingles(text, words)
+    return np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in found), np.uint64, len(found))
+
+
+def majority(h: np.ndarray) -> int:
+    """Majority bits of the hashes; 0 without any."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         total += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_type: str = "long") -> DataFrame:
+def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
+    """Majority bits of the XXH64 of the word shingles; 0 without words."""
+    return majority(shingle_hashes(text, words, seed))
+
+
+def text_hash() -> Column:
+    return F.xxhash64("text", F.col("text").isNull())
+
+
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, bits long)``, one row per row."""
     def rows(batch: pa.RecordBatch) -> dict:
         bits = np.array([fingerprint(t, words, seed) for t in as_bytes(batch["text"])], np.uint64)
         return {"doc_id": batch["doc_id"], "bits": bits.view(np.int64)}
 
-    return map_batches(docs.select("doc_id", "text"), rows, f"doc_id {id_type}, bits long")
+    return map_batches(docs.select("doc_id", "text"), rows, "doc_id long, bits long")
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -199,26 +214,11 @@ def simhash_groups(docs: DataFrame, words: int = 3, seed: int = 42, allowed: int
             .select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-def drop_near_copies(docs: DataFrame, words: int = 3, seed: int = 42, allowed: int = 2, node_rows: int = NODE_ROWS) -> DataFrame:
-    """``docs`` with one row of each component: the one of the smallest (doc_id, hash of the text); null ids come first.
-
-    Components are those of the texts, whatever their ids: rows that share an id, or have
-    none, all stay if their texts are in different components. Of rows alike in id and
-    text one stays, chosen by the hash of the other columns.
-    """
-    keyed = docs.withColumn("_text", F.xxhash64("text", F.col("text").isNull()))
-    prints = settled(fingerprints(keyed.select(F.struct("doc_id", "_text").alias("doc_id"), "text"), words, seed, "struct<doc_id:long,_text:long>"))
-    distinct = settled(prints.groupBy("bits").agg(F.min("doc_id").alias("low")))
-    linked = components(fingerprint_links(distinct.select("bits"), allowed, node_rows)).withColumnRenamed("node", "bits")
-    named = distinct.join(linked, "bits", "left").withColumn("component", F.coalesce("component", "bits"))
-    return representatives(docs, named.groupBy("component").agg(F.min("low").alias("low")).select("low.*"))
-
-
 def representatives(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose (doc_id, hash of the text) is in ``kept(doc_id, _text)``, once each."""
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_kept"))
     others = F.xxhash64(F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), others.alias("_others"), F.col("doc_id").alias("_doc"),
-                       F.xxhash64("text", F.col("text").isNull()).alias("_text"))
+                       text_hash().alias("_text"))
     same = rows.join(kept, (F.col("_text") == F.col("_kept")) & F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
     return same.groupBy("_doc", "_text").agg(F.min_by("_row", "_others").alias("_row")).select("_row.*")
