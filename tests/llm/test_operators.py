@@ -345,6 +345,26 @@ def test_line_dedup(spark):
         assert got[i] == ("\n".join(x for k, x in enumerate(lines[i]) if k not in cut), len(cut))
 
 
+def test_line_blocks_of_scattered_lines(spark):
+    """A block is found although each of its lines has an earlier holder of its own; against all earlier documents."""
+    rnd = random.Random(6)
+    one = ["".join(rnd.choice("abcdefgh ") for _ in range(59)) + "." for _ in range(5)]
+    made = [(k + 1, x) for k, x in enumerate(one)] + [(6, "\n".join(one)), (7, "\n".join(one)), (8, "z\n" + "\n".join(one[1:4]) + "\n \ny")]
+    pool = ["".join(rnd.choice("klmnop") for _ in range(rnd.choice([5, 30, 60]))) for _ in range(60)]
+    for i in range(9, 60):
+        at = rnd.randrange(50)
+        made.append((i, "\n".join([f"own {i}", *pool[at : at + rnd.randrange(1, 6)], f"end {i}"])))
+    got = {r.doc_id: (r.text, r.removed) for r in linediff.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got[7] == ("", 5)
+    for k, (i, t) in enumerate(made):
+        lines = t.split("\n")
+        cut = set()
+        for _, u in made[:k]:
+            number = {x: n for n, x in enumerate(dict.fromkeys([*lines, *u.split("\n")]))}
+            cut |= set(linediff.common_blocks([number[x] for x in u.split("\n")], [number[x] for x in lines], [len(x) for x in lines], linediff.BLOCK_CHARS))
+        assert got[i] == ("\n".join(x for n, x in enumerate(lines) if n not in cut), len(cut))
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_copies", "passages", "packing"]

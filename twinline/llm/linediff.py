@@ -1,9 +1,10 @@
 """Line deduplication by pairwise alignment of overlapping documents.
 
-A document overlaps another if they share a rare line. For every rare line the
-earliest document that holds it is its source; a later document is aligned with the
-sources of its rare lines by patience diff, and common blocks are deleted from it.
-So each shared line gives one pair for each later document, never all pairs.
+A document overlaps another if they share a rare line, or a run of adjacent lines
+that is long enough to be deleted. For every such line and run the earliest document
+that holds it is its source; a later document is aligned with the sources of its lines
+and runs by patience diff, and common blocks are deleted from it. So each shared line or
+run gives one pair for each later document, never all pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinline.llm.common import parts, settled
+from twinline.llm.common import map_batches, parts, settled
+from twinline.llm.suffixes import _ranges
 
 #: A line is rare if at most this share of all documents (and 8 at least) hold it.
 RARE_SHARE = 0.5
@@ -94,6 +96,42 @@ def _align(least: int):
     return run
 
 
+def run_ends(sizes: np.ndarray, blank: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
+    """End of the shortest run from each line that has ``least`` characters and a line that isn't blank; -1 where the document ends before.
+
+    ``ends`` holds the end of each line's document.
+    """
+    n = len(sizes)
+    total = np.cumsum(sizes)
+    last = np.searchsorted(total, total - sizes + least)
+    last = np.maximum(last, np.arange(n))
+    seen = np.minimum.accumulate(np.where(blank, n, np.arange(n))[::-1])[::-1]
+    last = np.maximum(last, seen)
+    return np.where(last < ends, last + 1, -1)
+
+
+def _line_keys(rows: DataFrame, least: int) -> DataFrame:
+    """``rows(place, lines, sizes, blank)`` -> ``(place, key, run)``: the distinct lines that aren't blank, and runs of ``least`` characters, of each row."""
+    def keys(batch: pa.RecordBatch) -> dict:
+        lists = batch["lines"]
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        line = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        sizes, blank = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("sizes", "blank"))
+        owner = np.repeat(np.arange(len(n)), n)
+        to = run_ends(sizes.astype(np.int64), blank, np.cumsum(n)[owner], least) if len(line) else np.zeros(0, np.int64)
+        start = np.flatnonzero(to >= 0)
+        whole, single = _ranges(line, start, to[start]), np.flatnonzero(~blank)
+        held = np.rec.fromarrays([np.r_[owner[single], owner[start]], np.r_[line[single], whole], np.arange(len(single) + len(start)) >= len(single)], names="o,k,r")
+        order = np.lexsort((held.r, held.k, held.o))
+        held = held[order]
+        new = np.ones(len(held), bool)
+        new[1:] = (held.o[1:] != held.o[:-1]) | (held.k[1:] != held.k[:-1]) | (held.r[1:] != held.r[:-1])
+        held = held[new]
+        return {"place": batch["place"].take(pa.array(held.o)), "key": held.k.view(np.int64), "run": held.r}
+
+    return map_batches(rows.select("place", "lines", "sizes", "blank"), keys, "place struct<doc_id:long,doc:long>, key long, run boolean")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows with ``doc``: a key of (doc_id, text); rows alike in both are one document."""
     return docs.withColumn("doc", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
@@ -107,12 +145,12 @@ def line_cuts(docs: DataFrame, rare_share: float = RARE_SHARE, block_chars: int
     rows = settled(_keyed(docs.where(F.col("text").isNotNull())).select(
         "doc", F.struct("doc_id", "doc").alias("place"), F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"),
         F.transform(lines, lambda x: F.length(x)).alias("sizes"),
-        F.array_distinct(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x))).alias("keys")).dropDuplicates(["doc"]))
-    keys = rows.select("place", F.explode("keys").alias("key"))
+        F.transform(lines, lambda x: F.trim(x) == "").alias("blank")).dropDuplicates(["doc"]))
+    keys = settled(_line_keys(rows, block_chars))
     # written before the join, which can then split a hot line over tasks
-    sources = settled(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("source"))
-                      .where((F.col("n") > 1) & (F.col("n") <= max(8, int(rare_share * n_docs)))).select("key", "source"))
-    pairs = (keys.join(sources, "key").where("place > source")
+    sources = settled(keys.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("source"))
+                      .where((F.col("n") > 1) & (F.col("n") <= max(8, int(rare_share * n_docs)))).select("key", "run", "source"))
+    pairs = (keys.join(sources, ["key", "run"]).where("place > source")
              .select(F.col("place.doc").alias("doc"), F.col("source.doc").alias("source")).distinct())
     later = pairs.join(rows.select("doc", "lines", "sizes"), "doc")
     both = later.join(rows.select(F.col("doc").alias("source"), F.col("lines").alias("source_lines")), "source")
@@ -128,7 +166,8 @@ def dedup_lines(docs: DataFrame, rare_share: float = RARE_SHARE, block_chars: in
     Earlier is the smaller (doc_id, hash of the text); null ids come first. Rows alike
     in id and text are one document and are cut alike. A line is rare if at most
     ``rare_share`` of the documents hold it (8 at least); blank lines are never looked
-    up but may lie within a block. A null text stays null, an empty one empty; a
+    up but may lie within a block. A run is the shortest from each line that has
+    ``block_chars`` characters, so each common block holds one that names a source. A null text stays null, an empty one empty; a
     document whose every line is deleted becomes empty. Columns beside ``text`` are
     passed on; an empty table gives an empty result.
     """
