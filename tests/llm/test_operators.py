@@ -365,6 +365,12 @@ def test_line_blocks_of_scattered_lines(spark):
         assert got[i] == ("\n".join(x for n, x in enumerate(lines) if n not in cut), len(cut))
 
 
+def test_line_block_of_most_documents(spark):
+    head = "\n".join(f"a header line of fifty characters that all share {k}" for k in range(2))
+    docs = spark.createDataFrame([(i, f"{head}\nown {i}") for i in range(20)], "doc_id long, text string")
+    assert {(r.doc_id, r.removed) for r in linediff.dedup_lines(docs).collect()} == {(i, 2 if i else 0) for i in range(20)}
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_copies", "passages", "packing"]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from twinline.llm.common import map_batches, parts, settled
 from twinline.llm.suffixes import _ranges
 
-#: A line is rare if at most this share of all documents (and 8 at least) hold it.
+#: A line is rare if at most this share of all documents hold it.
 RARE_SHARE = 0.5
 #: A common block is deleted if its lines have this many characters in total.
 BLOCK_CHARS = 80
@@ -149,7 +149,7 @@ def line_cuts(docs: DataFrame, rare_share: float = RARE_SHARE, block_chars: int
     keys = settled(_line_keys(rows, block_chars))
     # written before the join, which can then split a hot line over tasks
     sources = settled(keys.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("source"))
-                      .where((F.col("n") > 1) & (F.col("n") <= max(8, int(rare_share * n_docs)))).select("key", "run", "source"))
+                      .where((F.col("n") > 1) & (F.col("run") | (F.col("n") <= int(rare_share * n_docs)))).select("key", "run", "source"))
     pairs = (keys.join(sources, ["key", "run"]).where("place > source")
              .select(F.col("place.doc").alias("doc"), F.col("source.doc").alias("source")).distinct())
     later = pairs.join(rows.select("doc", "lines", "sizes"), "doc")
@@ -165,9 +165,10 @@ def dedup_lines(docs: DataFrame, rare_share: float = RARE_SHARE, block_chars: in
 
     Earlier is the smaller (doc_id, hash of the text); null ids come first. Rows alike
     in id and text are one document and are cut alike. A line is rare if at most
-    ``rare_share`` of the documents hold it (8 at least); blank lines are never looked
+    ``rare_share`` of the documents hold it; blank lines are never looked
     up but may lie within a block. A run is the shortest from each line that has
-    ``block_chars`` characters, so each common block holds one that names a source. A null text stays null, an empty one empty; a
+    ``block_chars`` characters, so each common block holds one, and it
+    names a source however many documents hold it. A null text stays null, an empty one empty; a
     document whose every line is deleted becomes empty. Columns beside ``text`` are
     passed on; an empty table gives an empty result.
     """
