@@ -76,6 +76,16 @@ def test_language_held_out(spark):
     assert {r.doc_id for r in langid.identify(docs).where("held_out").select("doc_id").collect()} == {i for i, _ in texts(MIDDLE) if zlib.crc32(str(i).encode()) % 4 == 2}
 
 
+def test_many_languages(spark):
+    """Every label is learned, beyond 64 too, and all share the budget of windows."""
+    made = [(i, f"lorem {i % 70} text", f"l{i % 70}") for i in range(1400)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    got = langid.labelled_windows(docs)
+    assert {k for k, _ in got} == {f"l{i}" for i in range(70)} and len(got) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, *_ in made)
+    few = langid.labelled_windows(docs, windows=140)
+    assert len(few) == 140 and len({k for k, _ in few}) == 70
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.quality(docs, labels)

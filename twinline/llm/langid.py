@@ -12,15 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinline.llm.common import as_bytes, id_crc
 
 #: Bytes in a window, widths of the filters, filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
-#: Most labelled windows of one language, and most languages, that the driver trains on.
-PER_LANG, LANGS = 1500, 64
+#: Most labelled windows of one language, and of all, that the driver trains on; every language has one at least.
+PER_LANG, WINDOWS = 1500, 64 * 1500
 
 
 @dataclass
@@ -109,27 +109,27 @@ def train(samples: list[tuple[str, bytes]], epochs: int = 6, seed: int = 7) -> B
     return net
 
 
-def labelled_windows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, bytes]]:
-    """At most ``per_lang`` labelled windows of each of the most frequent languages, chosen by hash.
+def labelled_windows(docs: DataFrame, per_lang: int = PER_LANG, windows: int = WINDOWS) -> list[tuple[str, bytes]]:
+    """At most ``per_lang`` labelled windows of each language, fewer where all share ``windows``, chosen by hash.
 
     Only rows that may be learned from; each gives the window at a hash-chosen place of its text.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (id_crc("doc_id") % 4 != 2))
-    counts = {r[0]: r[1] for r in (docs.where(F.col("lang").isNotNull() & (id_crc("doc_id") % 4 != 2)).groupBy("lang").count()
-                                   .orderBy(F.desc("count"), "lang").limit(LANGS).collect())}
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return []
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 1.5 * per_lang / n)).otherwise(share)
+    per_lang = max(1, min(per_lang, windows // len(counts)))
+    wanted = max(1.5 * per_lang, per_lang + 32.0)  # enough that no language is left without a window by chance
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, wanted / r["count"])) for r in counts], "lang string, share double")
     mixed = F.xxhash64("doc_id", F.lit("window"))
-    chosen = rows.where(F.pmod(mixed, F.lit(1_000_000)) < share * 1_000_000)
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(mixed, F.lit(1_000_000)) < F.col("share") * 1_000_000)
     start = F.pmod(F.shiftright(mixed, 20), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))) + 1
-    got = chosen.select("lang", F.expr("text").substr(start.cast("int"), F.lit(WINDOW)).alias("w"), mixed.alias("h")).limit(2 * per_lang * LANGS).collect()
+    some = chosen.select("lang", F.expr("text").substr(start.cast("int"), F.lit(WINDOW)).alias("w"), mixed.alias("h"))
+    # bounded for each language, so that none crowds out another
+    got = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "w"))).where(F.col("at") <= per_lang).drop("at").collect()
     out: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r.h, r.w)):
-        if len(out.setdefault(r.lang, [])) < per_lang:
-            out[r.lang].append(r.w.encode())
+        out.setdefault(r.lang, []).append(r.w.encode())
     return [(k, w) for k in sorted(out) for w in out[k]]
 
 
