@@ -1,12 +1,12 @@
-"""Repeated passages through a sparse suffix array.
+"""Repeated passages through hash-grouped suffixes at minimisers.
 
 Only suffixes that start at a minimiser are kept: in every run of ``SPAN`` word
 positions the one whose ``PREFIX``-word hash is smallest. Any two equal passages of
-``PREFIX + SPAN - 1`` words keep the same suffix. Suffixes are ordered by the hash of
-their prefix, so that equal prefixes are neighbours; neighbours from different
-documents are compared by the whole context in which they are the minimiser, and
-where contexts differ, the match is extended to the left and right by looking up each
-passage of the context that holds the suffix.
+``PREFIX + SPAN - 1`` words keep the same suffix. There is no ordered suffix array:
+suffixes are grouped by the hash of their prefix instead of sorted, members of a group
+from different documents are compared by the hash of the whole context in which they are
+the minimiser, and where contexts differ, each passage of the context is looked up by
+its hash in place of extending a match to the left and right.
 """
 
 from __future__ import annotations
