@@ -109,6 +109,17 @@ def test_tool_calls(spark):
     assert toolcalls.link_calls(calls.limit(0), results.limit(0), schemas.limit(0)).count() == 0
 
 
+def test_repeated_calls_and_results(spark):
+    calls = spark.createDataFrame([(1, "a", 1, "t", "{}", None), (1, "a", 2, "t", '{"x":1}', None), (1, "a", 2, "t", '{"x":1}', None)],
+                                  "conv_id long, call_id string, turn long, name string, arguments string, after string")
+    results = spark.createDataFrame([(1, "a", 3, "one"), (1, "a", 4, "two"), (1, "q", 5, "three"), (1, "q", 6, "four")], "conv_id long, call_id string, turn long, content string")
+    schemas = spark.createDataFrame([("t", False, [])], "name string, closed boolean, fields array<struct<name:string,type:string,required:boolean>>")
+    got = sorted((r.call_id, r.turn, r.status, r.repeats, r.json) for r in toolcalls.link_log(calls, results, schemas).collect())
+    assert got == [("a", 1, "linked", 1 + 2, '{"arguments":{},"id":"a","name":"t","result":"one"}'), ("a", 2, "repeated", 2, '{"arguments":{"x":1},"id":"a","name":"t","result":null}'),
+                   ("a", 4, "repeated", 1, '{"arguments":null,"id":"a","name":null,"result":"two"}'), ("q", 5, "orphan", 0, '{"arguments":null,"id":"q","name":null,"result":"three"}'),
+                   ("q", 6, "repeated", 1, '{"arguments":null,"id":"q","name":null,"result":"four"}')]
+
+
 def test_tool_call_chain(spark):
     calls = spark.range(300).select(F.lit(1).cast("long").alias("conv_id"), F.concat(F.lit("c"), "id").alias("call_id"), F.when(F.col("id") > 0, F.concat(F.lit("c"), F.col("id") - 1)).alias("after"))
     assert {r.call_id: r.depth for r in toolcalls.depths(calls).collect()} == {f"c{i}": i for i in range(300)}

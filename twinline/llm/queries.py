@@ -39,7 +39,7 @@ def op2_tool_calls(spark, sf_dir):
                                                       F.when(F.col("turn") >= 2, ident(F.col("turn") - 2)).alias("after"))
     results = turns.where("role = 'assistant'").select("conv_id", ident(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     schemas = spark.createDataFrame(TOOLS, "name string, closed boolean, fields array<struct<name:string,type:string,required:boolean>>")
-    return toolcalls.link_calls(calls, results, schemas)
+    return toolcalls.link_log(calls, results, schemas)
 
 
 OP2_SQL = """

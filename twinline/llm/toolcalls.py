@@ -68,6 +68,15 @@ def faults(arguments: Column, fields: Column, closed: Column) -> Column:
     return F.when(given.isNull(), F.array(F.lit("not an object"))).otherwise(F.array_sort(F.concat(missing, wrong, extra)))
 
 
+def _json() -> Column:
+    # keys in order, no white space; arguments that aren't JSON are kept as a text
+    text = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(F.col(c).cast("string"), F.lit("")).alias("v"))), r'^\{"v":([\s\S]*)\}$', 1)
+    null = F.lit("null")
+    value = lambda c: F.when(F.col(c).isNull(), null).otherwise(text(c))
+    return F.concat(F.lit('{"arguments":'), F.coalesce(canonical("arguments"), value("arguments")), F.lit(',"id":'), value("call_id"),
+                    F.lit(',"name":'), value("name"), F.lit(',"result":'), value("content"), F.lit("}"))
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row for each call, and for each result without one.
 
@@ -82,7 +91,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     ``unanswered``, ``early`` (the result's turn is before the call's), ``invalid`` (faults),
     ``unknown tool``, ``cycle`` (depth -1) or ``orphan`` (a result without a call; depth
     null). Null identifiers never match. Extra columns are ignored; empty tables give an
-    empty result.
+    empty result. ``link_log`` adds the other calls and results of an identifier.
     """
     calls = calls.select("conv_id", "call_id", "turn", "name", "arguments", "after")
     results = results.select("conv_id", "call_id", "turn", "content")
@@ -97,11 +106,28 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     rows = rows.withColumn("faults", F.when(is_call & F.col("is_tool"), faults(F.col("arguments"), F.col("fields"), F.col("closed"))))
     status = (F.when(~is_call, "orphan").when(F.col("is_tool").isNull(), "unknown tool").when(F.size("faults") > 0, "invalid").when(F.col("depth") < 0, "cycle")
               .when(F.col("result_n").isNull(), "unanswered").when(F.col("result_turn") < F.col("turn"), "early").otherwise("linked"))
-    # keys in order, no white space; arguments that aren't JSON are kept as a text
-    text = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(F.col(c).cast("string"), F.lit("")).alias("v"))), r'^\{"v":([\s\S]*)\}$', 1)
-    null = F.lit("null")
-    value = lambda c: F.when(F.col(c).isNull(), null).otherwise(text(c))
-    json = F.concat(F.lit('{"arguments":'), F.coalesce(canonical("arguments"), value("arguments")), F.lit(',"id":'), value("call_id"),
-                    F.lit(',"name":'), value("name"), F.lit(',"result":'), value("content"), F.lit("}"))
     return rows.select("conv_id", "call_id", "depth", F.coalesce("turn", "result_turn").alias("turn"), "name", status.alias("status"),
-                       F.array_join("faults", ",").alias("faults"), F.coalesce(F.col("n"), F.lit(0)).alias("repeats"), json.alias("json"))
+                       F.array_join("faults", ",").alias("faults"), F.coalesce(F.col("n"), F.lit(0)).alias("repeats"), _json().alias("json"))
+
+
+def _further(rows: DataFrame, *order: str) -> DataFrame:
+    """The distinct rows of each (conv_id, call_id) after the first by ``order``, and ``n``: how often each is there."""
+    each = settled(rows.groupBy(*_KEY, F.struct(*order).alias("r")).agg(F.count(F.lit(1)).alias("n")))
+    firsts = each.groupBy(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call")).agg(F.min("r").alias("first"))
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("call_id").eqNullSafe(F.col("_call"))
+    return each.join(firsts, same).where(~F.col("r").eqNullSafe(F.col("first"))).select(*_KEY, "r.*", "n")
+
+
+def link_log(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+    """The rows of ``link_calls``, and one for each further distinct call and result of an identifier.
+
+    These have status ``repeated`` (results of a null identifier: ``orphan``), no depth and
+    no faults; ``repeats`` tells how often the row is there. A call's has no result, and a
+    result's no name or arguments.
+    """
+    linked = link_calls(calls, results, schemas)
+    more = _further(calls.select(*_KEY, "turn", "name", "arguments", "after").where("conv_id IS NOT NULL AND call_id IS NOT NULL"), "turn", "name", "arguments", "after")
+    more = more.unionByName(_further(results.select(*_KEY, "turn", "content"), "turn", "content"), allowMissingColumns=True)
+    known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    return linked.unionByName(more.select("conv_id", "call_id", F.lit(None).cast("long").alias("depth"), "turn", "name", F.when(known, "repeated").otherwise("orphan").alias("status"),
+                                          F.lit(None).cast("string").alias("faults"), F.col("n").alias("repeats"), _json().alias("json")))
