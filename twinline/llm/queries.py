@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from twinline.llm import duckbpe, imatch, langid, linediff, multiindex, packing, quality, simhash, suffixes, toolcalls
+from twinline.llm import alignment, duckbpe, imatch, langid, linediff, mtree, multiindex, packing, quality, simhash, subvectors, suffixes, toolcalls
 from twinline.llm.common import table
 
 
@@ -97,6 +97,20 @@ def op10_line_alignment(spark, sf_dir):
     return docs.select("doc_id", "removed", lines.alias("kept_lines"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_subvectors(spark, sf_dir):
+    return subvectors.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark, sf_dir):
+    import public_tokenizers
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                                  public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_mtree(spark, sf_dir):
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def _sublexicons(name: str, digests: str) -> str:
     """The array of sublexicon hashes of a list of digests."""
     held = [f"array_to_string(list_filter({digests}, lambda d: substr(d, {at}, {digits}) < '{values:0{digits}x}'), ',')" for at, digits, values in imatch.SUBLEXICONS]
@@ -149,6 +163,30 @@ SELECT vec_id, coalesce(counts.n, 0) AS n_links, coalesce(m, vec_id) AS componen
 FROM embeddings LEFT JOIN counts ON a = vec_id LEFT JOIN lowest ON lowest.n = vec_id
 """
 
+_SOUND = "embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_ROUND = """nearest{i} AS MATERIALIZED (SELECT row, arg_min(c, list_dot_product(list_transform(list_zip(v, m), lambda z: (z[1] - z[2])::DOUBLE), list_transform(list_zip(v, m), lambda z: (z[1] - z[2])::DOUBLE)) * 16 + c) AS c
+  FROM kept, centroids{i} GROUP BY row),
+centroids{n} AS MATERIALIZED (SELECT o.c, coalesce(w.m, o.m) AS m FROM centroids{i} o LEFT JOIN (SELECT c, list(floor(s / n)::BIGINT ORDER BY i) AS m
+  FROM (SELECT c, i, sum(v[i])::DOUBLE AS s, count(*) AS n FROM nearest{i} JOIN kept USING (row), range(1, 65) r(i) GROUP BY c, i) GROUP BY c) w ON w.c = o.c)"""
+#: Doubles hold all sums of the given tables exactly, so the floor of a quotient is exact, too.
+OP11_SQL = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(64 * x)::BIGINT) AS v FROM embeddings WHERE {_SOUND} AND len(embedding) = 64),
+centroids0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v AS m FROM kept ORDER BY sha256('1:' || vec_id) LIMIT 16),
+{", ".join(_ROUND.format(i=i, n=i + 1) for i in range(3))},
+far AS MATERIALIZED (SELECT row, vec_id, c, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept, centroids3),
+last AS MATERIALIZED (SELECT row, vec_id, arg_min(c, d * 16 + c) AS c, min(d) AS d FROM far GROUP BY row, vec_id)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM last JOIN centroids3 USING (c)
+"""
+
+OP13_SQL = f"""
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(1024 * x)) AS e FROM embeddings WHERE {_SOUND}),
+pairs AS (SELECT q.row AS q, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.row <> c.row AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10
+"""
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_tool_calls, op3_imatch, op4_retrieval_packing, op5_suffix_repeats,
-                                      op6_quality, op7_byte_bpe, op8_multi_index, op9_simhash, op10_line_alignment)}
-ORACLES: dict[str, str] = {"op2_tool_calls": OP2_SQL, "op3_imatch": OP3_SQL, "op5_suffix_repeats": OP5_SQL, "op8_multi_index": OP8_SQL}
+                                      op6_quality, op7_byte_bpe, op8_multi_index, op9_simhash, op10_line_alignment, op11_subvectors, op12_token_alignment,
+                                      op13_mtree)}
+ORACLES: dict[str, str] = {"op2_tool_calls": OP2_SQL, "op3_imatch": OP3_SQL, "op5_suffix_repeats": OP5_SQL, "op8_multi_index": OP8_SQL,
+                           "op11_subvectors": OP11_SQL, "op13_mtree": OP13_SQL}
