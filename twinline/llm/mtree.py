@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from twinline.llm.common import settled
 from twinline.llm.subvectors import sound
 
-#: Pivots, vectors of a shard, entries of a page, and queries that a task takes through one shard at a time.
-PIVOTS, SHARD, PAGE, BLOCK = 64, 8192, 32, 2048
+#: Most pivots, vectors of a shard, entries of an inner page and of a leaf, and queries that a task takes through one shard at a time.
+PIVOTS, SHARD, PAGE, LEAF, BLOCK = 64, 8192, 32, 512, 2048
 #: Lengths that have pivots of their own, and copies of a shard's routing entry that queries are spread over.
 LENGTHS, SALT = 16, 16
 
@@ -61,7 +61,7 @@ def _groups(x: np.ndarray, size: int) -> list[np.ndarray]:
     return done
 
 
-def build(x: np.ndarray, size: int = PAGE) -> list[dict]:
+def build(x: np.ndarray, leaf_size: int = LEAF, size: int = PAGE) -> list[dict]:
     """Pages of the M-tree over the rows of ``x`` (integers), leaves first, the root last.
 
     A page: ``leaf``, its routing vector ``own``, entries' ``points``, squared ``norms`` of
@@ -73,7 +73,7 @@ def build(x: np.ndarray, size: int = PAGE) -> list[dict]:
     tops, leaf = (x * x).sum(1), True
     while True:
         first = len(pages)
-        for rows in _groups(points, size):
+        for rows in _groups(points, leaf_size if leaf else size):
             mine = points[rows]
             own = mine[_far(mine, mine.mean(0)).argmin()]
             gaps = _far(mine, own)
@@ -102,10 +102,14 @@ class Tree:
 
     def __init__(self, pages: list[dict]):
         self.pages, self.computed = pages, 0
+        # sums of products below 2^52 are exact in doubles, which multiply faster
+        self.small = max(p["top"] for p in pages[-1:]) < 1 << 52
+        self.fast = [p["points"].astype(np.float64) for p in pages] if self.small else []
 
     def search(self, q: np.ndarray, k: int, ids: list, least: int | None = None) -> list[tuple[int, int | None]]:
         """The ``k`` best (score, id) of at least ``least``, ties to the smaller id, null ids last; ``ids`` lists those of each row."""
-        norm, root = int(q @ q), self.pages[-1]
+        norm, root, quick = int(q @ q), self.pages[-1], q.astype(np.float64)
+        exact = self.small and norm < 1 << 52
         best: list[tuple] = []  # a heap of the best rows, the worst on top
         order = lambda s, i: (s, i is not None, -(i or 0))
         limit = -np.inf if least is None else least
@@ -119,9 +123,12 @@ class Tree:
             # entries by the stored distance to the page's routing vector, without computing anything of theirs
             may = np.minimum(bound(norm, None, np.abs(near - page["gaps"]), page["radii"], page["tops"]), product + np.sqrt(float(norm)) * (page["gaps"] + page["radii"]) + 1e-6 + 1e-9 * abs(product))
             some = np.flatnonzero(may >= limit)
-            scores = page["points"][some] @ q
+            points = self.fast[number] if exact else page["points"]
+            scores = (points if len(some) == len(points) else points[some]) @ (quick if exact else q)
             self.computed += len(some)
             if page["leaf"]:
+                if len(scores) > k:  # no row below the k-th score of this page alone is among the best
+                    limit = max(limit, np.partition(scores, len(scores) - k)[len(scores) - k])
                 for at in np.flatnonzero(scores >= limit).tolist():
                     score = int(scores[at])
                     for i in ids[page["child"][some[at]]]:
@@ -161,7 +168,7 @@ def _read_pages(table: pa.Table) -> tuple[Tree, list]:
     for r in sorted(table.to_pylist(), key=lambda r: r["page"]):
         page = {"leaf": r["leaf"], **{k: np.frombuffer(r[k], t) for k, t in _ARRAYS.items()}}
         points = page["points"].reshape(-1, r["dim"]) if r["dim"] else np.zeros((len(page["child"]) + 1, 0), np.int64)
-        page["own"], page["points"] = points[0], points[1:]
+        page["own"], page["points"], page["top"] = points[0], points[1:], int(page["tops"].max())
         pages.append(page)
         ids |= dict(zip(page["child"].tolist(), r["ids"]))
     return Tree(pages), ids
@@ -243,7 +250,8 @@ def build_index(vectors: DataFrame, keep: int, scale: int, pivots: int = PIVOTS,
               .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "vec_id"))), lambda s: s["vec_id"]).alias("ids")))
     single = settled(single.select("vec", "dim", F.monotonically_increasing_id().alias("rep"), "ids"))
     common = single.where("dim > 0").groupBy("dim").count().where(F.col("count") > shard).orderBy(F.desc("count"), "dim").limit(LENGTHS).collect()
-    chosen = {r.dim: single.where(F.col("dim") == r.dim).orderBy(F.xxhash64("vec"), "vec").select("vec").limit(pivots).collect() for r in common}
+    wanted = {r.dim: min(pivots, 4 * -(-r["count"] // shard)) for r in common}  # some four regions to a shard's rows
+    chosen = {dim: single.where(F.col("dim") == dim).orderBy(F.xxhash64("vec"), "vec").select("vec").limit(n).collect() for dim, n in wanted.items()}
     chosen = {dim: np.array([r.vec for r in part], np.float64) for dim, part in chosen.items()}
     celled = settled(single.mapInArrow(_cells(chosen), "vec array<long>, dim long, rep long, ids array<long>, one long, two long"))
 
@@ -265,7 +273,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
     ``vec_id``, null ids last. Vectors that are null or hold null or non-finite
     components take no part; vectors of different lengths don't meet; zero vectors take
     part. Repeated rows are candidates of each other, and queries as often as they occur.
-    Components whose products may leave a long raise an error. ``pivots`` vectors of each
+    Components whose products may leave a long raise an error. At most ``pivots`` vectors of each
     of the commonest lengths, chosen by hash, shape the shards, not the result. Extra
     columns are ignored; an empty table gives an empty result.
     """
