@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinline.operators import offsets, ordered, regions, series
+from twinline.operators import carry, offsets, ordered, regions, series
 
 
 def keyed(rng, n, top, keys=3, hot=0.6):
@@ -185,3 +186,101 @@ def test_merge_follows_the_group_head(spark):
         else:
             want.append((p, s, e, o, m))
     assert got == sorted(want)
+
+
+def merged(rows):
+    want = []
+    for p, s, e, o, m in rows:
+        if want and want[-1][0] == p and abs(o - want[-1][3]) < 1.0:
+            want[-1] = (p, want[-1][1], e, want[-1][3], want[-1][4] + m)
+        else:
+            want.append((p, s, e, o, m))
+    return sorted(want)
+
+
+@pytest.mark.parametrize("chunk,fan", [(7, 3), (1, 2), (2048, 1024)])
+def test_merge_of_long_islands(spark, chunk, fan):
+    """Small steps for hundreds of regions: chunks composed in several levels give the rows of one pass."""
+    rng = random.Random(chunk)
+    rows = []
+    for pair, steps in enumerate(([0.4], [-0.3, 0.3], [1.0, -1.0], [0.1, 0.2, -0.25], [1.9, -1.9, 0.05], [0.0, 0.5, -0.5, 1.0])):
+        at = 1000.0 * pair
+        for i in range(240):
+            rows.append((pair, i * 100.0, i * 100.0 + 100, at, i))
+            at += rng.choice(steps)
+    df = spark.createDataFrame(rows, "pair_id long, start_ms double, end_ms double, offset_ms double, match_count long").repartition(3)
+    assert sorted(tuple(r) for r in regions.merge_equal(df, 1.0, chunk, fan).collect()) == merged(rows)
+
+
+def test_composed_steps():
+    """A composed function equals its parts one after the other, at and around all breakpoints."""
+    rng = random.Random(3)
+    for _ in range(60):
+        at, series = rng.randrange(5) / 2, []
+        for _ in range(rng.randrange(2, 40)):
+            at += rng.choice([0.5, -0.5, 0.3, -0.4, 0.0, 1.5, -1.5, 0.1])
+            series.append(at)
+        series = np.array(series)
+        cut = rng.randrange(1, len(series))
+        parts = [regions.Steps.of(x, 1.0) for x in (series[:cut], series[cut:])]
+        whole = parts[0].then(parts[1])
+        for head in np.r_[series[0] + np.linspace(-2.5, 2.5, 101), parts[0].points, whole.points]:
+            want = head
+            for o in series:
+                if abs(o - want) >= 1.0:
+                    want = o
+            if abs(series[cut] - parts[0](head)) < 3 and abs(head - series[0]) < 3:
+                assert whole(head) == parts[1](parts[0](head)) == want
+
+
+@pytest.mark.parametrize("fan", [2, 5])
+def test_pick_carried_through_a_tree(spark, fan):
+    """One key of many chunks, with empty chunks between, in several levels."""
+    rng = random.Random(fan)
+    at, want, last, rows = 0, [], None, []
+    for _ in range(1500):
+        at += rng.choice([1, 3, 10, 22, 23, 24, 25]) if rng.random() < .99 else 400
+        rows.append((1, at))
+        if last is None or at - last >= 24:
+            want.append(at)
+            last = at
+    got = ordered.pick_spaced(spark.createDataFrame(rows, "k int, p long"), ["k"], "p", 24, 64, fan).collect()
+    assert sorted(r["p"] for r in got) == want
+
+
+def test_carry_of_a_million_chunks(spark):
+    """A key of 10^6 chunks: no task reads more than the fan, plus what its own groups hold."""
+    n = 1_000_000
+    tables = spark.range(n).selectExpr("1 as k", "id as at", "array(cast(pmod(id * 7, 3) as int), cast(pmod(id + 1, 3) as int), 1) as fn").withColumn("start", F.lit(carry.dump(0)))
+    got = carry.entry_states(tables, ["k"], "at", ordered.PAUSES, "int", int).toPandas().sort_values("at")["state"].to_numpy()
+    ids = np.arange(n)
+    table, state, want = np.stack([ids * 7 % 3, (ids + 1) % 3, np.ones(n, int)], 1).tolist(), 0, []
+    for row in table:
+        want.append(state)
+        state = row[state]
+    assert got.tolist() == want
+
+
+@pytest.mark.parametrize("n,span,weight", [(3000, 4000, 1), (3000, 9000, 10**9), (400, 10**7, 5)])
+def test_correlation(n, span, weight):
+    """Fourier and pair by pair give the same sums."""
+    rng = np.random.default_rng(n + span)
+    s, l = (np.sort(rng.choice(span, n, replace=False)) + base for base in (-50, 7777))
+    sn, ln = (rng.integers(1, weight + 1, n) for _ in range(2))
+    offset, total = offsets.correlate(s, sn, l, ln)
+    diff, count = np.subtract.outer(l, s).ravel(), np.multiply.outer(ln, sn).ravel()
+    want, where = np.unique(diff, return_inverse=True)
+    sums = np.zeros(len(want), np.int64)
+    np.add.at(sums, where, count)
+    order = np.argsort(offset)
+    assert (offset[order] == want).all() and (total[order] == sums).all()
+
+
+def test_crowded_timelines(spark):
+    """A key with many positions is cut into finer blocks and keeps its histogram."""
+    rng = np.random.default_rng(1)
+    s, l = (np.sort(rng.choice(60_000, 9_000, replace=False)) for _ in range(2))
+    a, b = (spark.createDataFrame([(1, int(t)) for t in x] + [(2, 5)], "k int, t long") for x in (s, l))
+    got = {(r["k"], r["offset"]): r["n"] for r in offsets.candidates(a, b, "k", "t", block=1 << 20, fine=1 << 13, crowded=1000).collect()}
+    diff, n = np.unique(np.subtract.outer(l, s).ravel(), return_counts=True)
+    assert got == {(2, 0): 1} | {(1, d): k for d, k in zip(diff.tolist(), n.tolist())}

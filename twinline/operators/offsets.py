@@ -9,45 +9,86 @@ from pyspark.sql import Window as W
 
 from twinline.operators import ordered
 from twinline.params import PiecewiseSettings
-from twinline.session import spread
+from twinline.session import settled, spread
 
-BLOCK = 2_000_000
+#: Pairs that are formed at a time, and the longest timeline that is transformed at once.
+BLOCK, LONGEST = 2_000_000, 1 << 23
+
+
+def correlate(sp: np.ndarray, sn: np.ndarray, lp: np.ndarray, ln: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Differences ``lp - sp`` that occur, and the sum of ``ln * sn`` over the pairs of each, exactly.
+
+    Few positions are paired one by one. Many become two timelines whose cross-correlation
+    is a product of Fourier transforms; the work then follows the length of the block, not
+    the number of pairs. Weights are cut into digits small enough that rounding the transform is exact.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(sp) or not len(lp):
+        return none, none
+    width = int(max(np.ptp(sp), np.ptp(lp))) + 1
+    size = 1 << (2 * width - 1).bit_length()
+    if len(sp) * len(lp) <= 4 * size * size.bit_length() or size > LONGEST:
+        total: pd.Series | None = None
+        step = max(1, BLOCK // len(lp))
+        for i in range(0, len(sp), step):
+            diff = np.subtract.outer(lp, sp[i:i + step]).ravel()
+            part = pd.Series(np.multiply.outer(ln, sn[i:i + step]).ravel()).groupby(diff).sum()
+            total = part if total is None else total.add(part, fill_value=0)
+        return total.index.to_numpy(np.int64), total.to_numpy().astype(np.int64)
+    # a coefficient's error is some 1e-15 of the product of both norms; it must stay well below a half
+    most = max(int(sn.max()), int(ln.max()))
+    bits = 1
+    while bits < most.bit_length() and float(1 << (2 * bits + 2)) * np.sqrt(float(len(sp)) * len(lp)) < 1e13:
+        bits += 1
+
+    def transforms(at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for digit in range(0, most.bit_length(), bits):
+            line = np.zeros(size)
+            np.add.at(line, at, ((n >> digit) & ((1 << bits) - 1)).astype(float))
+            out.append(np.fft.rfft(line))
+        return out
+
+    s, l = transforms(sp - sp.min(), sn), transforms(lp - lp.min(), ln)
+    total = np.zeros(size, np.int64)
+    for i, a in enumerate(s):
+        for j, b in enumerate(l):
+            total += np.rint(np.fft.irfft(a.conj() * b, size)).astype(np.int64) << (bits * (i + j))
+    at = np.flatnonzero(total)
+    return np.where(at < width, at, at - size) + (lp.min() - sp.min()), total[at]
 
 
 def candidates(src: DataFrame, lang: DataFrame, key: str, pos: str, inverse_ratio: Column | float = 1.0,
-               block: int = 1 << 25) -> DataFrame:
+               block: int = 1 << 25, fine: int = 1 << 20, crowded: int = 1 << 16) -> DataFrame:
     """How often each offset (lang - src, less the drift) occurs per pair.
 
     Both sides must already be cut to the search windows: a pair then has at
     most as many different positions as the windows have ticks, whatever its
     row count. The cross-correlation of the two sides is summed
-    into a histogram; the single differences are never rows. Blocks of ``block`` ticks of
-    either side meet in groups of their own, so a pair is spread over many tasks.
+    into a histogram (``correlate``); the single differences are never rows. Blocks of ``block`` ticks of
+    either side meet in groups of their own, so a pair is spread over many tasks; of keys
+    that have more than ``crowded`` positions in a block, blocks of ``fine`` ticks.
     ``inverse_ratio`` may be a column of ``src``.
     """
     if isinstance(inverse_ratio, Column) or inverse_ratio != 1.0:
         src = src.withColumn(pos, F.bround(F.col(pos) * inverse_ratio, 0).cast("long"))
-    def blocks(df, side, name):
-        return ordered.histogram(df, [key], pos).withColumn("side", F.lit(side)).withColumn(name, F.floor(F.col(pos) / block))
-    s, l = blocks(src, 0, "_s"), blocks(lang, 1, "_l")
+    hists = [settled(ordered.histogram(df, [key], pos)) for df in (src, lang)]
+    filled = hists[0].unionByName(hists[1]).groupBy(key, F.floor(F.col(pos) / block)).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded)
+    hot = filled.select(key, F.lit(fine).alias("_w")).distinct()
+
+    def blocks(hist, side, name):
+        return hist.join(hot, key, "left").withColumn("side", F.lit(side)).withColumn(name, F.floor(F.col(pos) / F.coalesce("_w", F.lit(block)))).drop("_w")
+
+    s, l = blocks(hists[0], 0, "_s"), blocks(hists[1], 1, "_l")
     both = s.join(l.select(key, "_l").distinct(), key).unionByName(l.join(s.select(key, "_s").distinct(), key))
 
-    def correlate(pdf: pd.DataFrame) -> pd.DataFrame:
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         s, l = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        sp, sn, lp, ln = (x.to_numpy(np.int64) for x in (s[pos], s["n"], l[pos], l["n"]))
-        total: pd.Series | None = None
-        step = max(1, BLOCK // max(1, len(lp)))
-        for i in range(0, len(sp) if len(lp) else 0, step):
-            diff = np.subtract.outer(lp, sp[i:i + step]).ravel()
-            count = np.multiply.outer(ln, sn[i:i + step]).ravel()
-            part = pd.Series(count).groupby(diff).sum()
-            total = part if total is None else total.add(part, fill_value=0)
-        if total is None:
-            return pd.DataFrame({key: [], "offset": [], "n": []}).astype("int64")
-        return pd.DataFrame({key: pdf[key].iloc[0], "offset": total.index.astype("int64"), "n": total.to_numpy().astype("int64")})
+        offset, n = correlate(*(x.to_numpy(np.int64) for x in (s[pos], s["n"], l[pos], l["n"])))
+        return pd.DataFrame({key: pdf[key].iloc[0], "offset": offset, "n": n})
 
     kind, group = src.schema[key].dataType.simpleString(), [key, "_s", "_l"]
-    parts = spread(both, group).groupBy(*group).applyInPandas(correlate, f"{key} {kind}, offset long, n long")
+    parts = spread(both, group).groupBy(*group).applyInPandas(sums, f"{key} {kind}, offset long, n long")
     return parts.groupBy(key, "offset").agg(F.sum("n").alias("n"))
 
 

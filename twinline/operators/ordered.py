@@ -7,9 +7,13 @@ that holds a third of all rows is spread over as many tasks as it has chunks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from twinline.operators import carry
+from twinline.session import settled
+
 HOT_ROWS = 2_000_000
 
 
@@ -200,16 +204,23 @@ def with_next(df: DataFrame, keys: list[str], pos: str, payload: list[str], span
     return out.filter(F.col("_home") == F.col("_chunk")).drop("_home", "_chunk")
 
 
-def pick_spaced(events: DataFrame, keys: list[str], pos: str, spacing: int, span: int = 16384) -> DataFrame:
+#: Pauses: an array "entry pause -> exit pause"; a missing chunk lasts longer than any pause.
+PAUSES = carry.Algebra(np.asarray, lambda f, g: g[f], lambda f, s: int(f[s]), np.zeros_like, lambda s: 0)
+
+
+def pick_spaced(events: DataFrame, keys: list[str], pos: str, spacing: int | str, span: int = 16384, fan: int = carry.FAN) -> DataFrame:
     """Greedy pick: take an event when it is at least ``spacing`` after the last taken one.
 
+    ``spacing`` is a number below ``span``, or the name of a key that holds such numbers.
+
     A chunk can be entered in only ``spacing`` ways (how long the pause from
     the chunk before still lasts), so each chunk of a long series is first
-    reduced to a table "entry pause -> exit pause". Following those tables
-    gives the true entry pause of every chunk, after which all chunks pick in
-    parallel. Series of one chunk skip that step.
+    reduced to a table "entry pause -> exit pause". Composing the tables in a tree
+    (``carry``) gives the true entry pause of every chunk, after which all chunks
+    pick in parallel. Series of one chunk skip that step.
     """
-    assert spacing < span
+    assert isinstance(spacing, str) or spacing < span
+    spacing = F.col(spacing).cast("int") if isinstance(spacing, str) else F.lit(spacing)
     chunks = (events.select(*keys, chunk_index(F.col(pos), span).alias("_chunk"), F.col(pos).alias("_p"))
               .groupBy(*keys, "_chunk")
               .agg(F.sort_array(F.collect_set((F.col("_p") - F.col("_chunk") * span).cast("int"))).alias("_rel")))
@@ -219,30 +230,18 @@ def pick_spaced(events: DataFrame, keys: list[str], pos: str, spacing: int, span
 
     def leave(arr, entry):
         return F.greatest(F.lit(0), F.aggregate(
-            arr, entry, lambda a, x: F.when(x >= a, x + F.lit(spacing)).otherwise(a)) - F.lit(span))
-
-    tables = (chunks.join(several, keys, "left_semi")
-              .select(*keys, "_chunk", F.transform(
-                  F.sequence(F.lit(0), F.lit(spacing - 1)), lambda e: leave(F.col("_rel"), e)).alias("_exits")))
-    schema = T.StructType([f for f in tables.schema.fields if f.name != "_exits"]
-                          + [T.StructField("_entry", T.IntegerType())])
-
-    def follow(pdf):
-        pdf = pdf.sort_values("_chunk")
-        entry, previous, entries = 0, None, []
-        for c, exits in zip(pdf["_chunk"], pdf["_exits"]):
-            if previous is not None and c != previous + 1:
-                entry = 0
-            entries.append(entry)
-            entry, previous = int(exits[entry]), c
-        return pdf.drop(columns=["_exits"]).assign(_entry=entries)
+            arr, entry, lambda a, x: F.when(x >= a, x + spacing).otherwise(a)) - F.lit(span))
 
+    tables = settled(chunks.join(several, keys, "left_semi")
+                     .select(*keys, "_chunk", F.transform(F.sequence(F.lit(0), spacing - 1), lambda e: leave(F.col("_rel"), e)).alias("fn"),
+                             F.lit(carry.dump(0)).alias("start")))
+    entries = carry.entry_states(tables, keys, "_chunk", PAUSES, "int", int, fan).withColumnRenamed("state", "_entry")
     entered = (chunks.join(single, keys, "left_semi").withColumn("_entry", F.lit(0))
-               .unionByName(chunks.join(tables.groupBy(*keys).applyInPandas(follow, schema), keys + ["_chunk"])))
+               .unionByName(chunks.join(entries, keys + ["_chunk"])))
     start = F.struct(F.col("_entry").alias("ok"), F.array().cast("array<int>").alias("got"))
     picked = F.aggregate(
         "_rel", start,
-        lambda a, x: F.when(x >= a["ok"], F.struct((x + F.lit(spacing)).alias("ok"),
+        lambda a, x: F.when(x >= a["ok"], F.struct((x + spacing).alias("ok"),
                                                     F.concat(a["got"], F.array(x)).alias("got"))).otherwise(a))
     return entered.select(*keys, "_chunk", F.explode(picked["got"]).alias("_x")).select(
         *keys, (F.col("_chunk") * span + F.col("_x")).alias(pos))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from twinline.operators import ordered
+from twinline.operators import carry, ordered
 from twinline.params import DEFAULTS, PiecewiseSettings
 from twinline.session import settled, spread
 
@@ -145,96 +145,134 @@ def _fits(times, lang, current, inverse, tol, change, compensated):
     return offsets, fits, next_odd
 
 
-STATE = ["current", "run", "candidate", "run_t", "region_t"]
+#: What decides how a chunk is scanned. Where its run and its region began are labels: a scan is entered with marks in their place.
+STATE = ["current", "run", "candidate"]
+IN_REGION, IN_RUN = -2.0, -3.0
 STATE_DDL = ", ".join(f"{s} double" for s in STATE)
-EXIT_DDL = ", ".join(f"exit_{s} double" for s in STATE)
+EXITS = [f"exit_{s}" for s in (*STATE, "run_t", "region_t")]
 OUT_DDL = "array<struct<kind: string, region_t: double, offset: double, n: long>>"
 
 
+def _label(label: float, run_t: float, region_t: float) -> float:
+    return run_t if label == IN_RUN else region_t if label == IN_REGION else label
+
+
+def _follow(f: dict, state: tuple | None) -> tuple | None:
+    """The state after a stretch; None where the stretch was not scanned from this state."""
+    exit_ = f.get(state[:3]) if state is not None else None
+    return exit_ if exit_ is None else (*exit_[:3], *[_label(x, *state[3:]) for x in exit_[3:]])
+
+
+def _chain(f: dict, g: dict) -> dict:
+    """Scans of a stretch and the one after it; only what both have been scanned from is known."""
+    return {key: end for key, state in f.items() if (end := _follow(g, state)) is not None}
+
+
+#: A chunk's scans: entry state -> exit state and labels.
+SCANS = carry.Algebra(lambda rows: {tuple(r[s] for s in STATE): tuple(r[e] for e in EXITS) for r in rows}, _chain, _follow,
+                      enter=lambda current: (float(current), 0.0, 0.0, 0.0, -1.0))
+
+
 def change_points(src: DataFrame, lang: DataFrame, initial: DataFrame, settings: PiecewiseSettings = DEFAULTS.piecewise,
                   inverse: float = 1.0, drift_compensated: bool = False, span: int = CHUNK_MS,
                   halo: int = HALO_MS) -> DataFrame:
-    """Hits and changes of every pair: rows (pair_id, kind, region_t, offset, n).
-
-    The scan depends on what it found before, so it cannot become a join. A
-    long pair is cut into chunks that are scanned in parallel under a guess
-    (the initial offset still holds). Guesses are then checked against what the
-    chunk before really ended with; only wrong ones run again, with the state
-    just found carried to all later chunks. Rounds needed: about one per offset
-    change, not one per chunk. A chunk that moves further than its halo of
-    language cuts runs again with a wider one, so results are exact.
+    """Hits and changes of every pair: rows (pair_id, kind, region_t, offset, n); see ``scan_rounds``."""
+    return scan_rounds(src, lang, initial, settings, inverse, drift_compensated, span, halo)[0]
+
+
+def scan_rounds(src: DataFrame, lang: DataFrame, initial: DataFrame, settings: PiecewiseSettings, inverse: float, drift_compensated: bool,
+                span: int, halo: int) -> tuple[DataFrame, int]:
+    """The rows of ``change_points``, and the rounds of scanning they took.
+
+    The scan depends on what it found before, so it cannot become a join. A long pair is
+    cut into chunks; a scan of a chunk is an entry of its transfer function, from the state
+    that enters to the one that leaves. The known entries are composed in a tree
+    (``carry``), which tells the true state of every chunk up to the first that was not
+    scanned from it. Rounds of scanning, each of all chunks in parallel:
+
+    1. every chunk from the pair's first offset;
+    2. every chunk from what the chunk before it left with: right behind a chunk with a change;
+    3. every chunk from what the last chunk with a change before it left with: right in the others.
+
+    These settle pairs whose changes are found alike from nearby states, however many there
+    are. What is still open goes on from its true state, carried to all later chunks.
+    Scans are kept; no round repeats or rewrites one. A scan that moves
+    further than its halo of language cuts runs again with a wider one, so results are exact.
     """
     points = settled(ordered.histogram(src, ["pair_id"], "t_ms").withColumn("chunk", ordered.chunk_index(F.col("t_ms"), span)))
     marks = settled(lang.select("pair_id", F.col("t_ms").cast("long").alias("t_ms")).distinct()
                     .withColumn("_lc", ordered.chunk_index(F.col("t_ms"), span)))
-    chunks = points.select("pair_id", "chunk").distinct()
-    start = initial.select("pair_id", F.col("offset_ms").cast("double").alias("current"),
-                           *[F.lit(v).cast("double").alias(s) for s, v in zip(STATE[1:], [0, 0, 0, -1])])
-    entries = settled(chunks.join(start, "pair_id").withColumn("halo", F.lit(float(halo))))
+    start = initial.select("pair_id", F.col("offset_ms").cast("double").alias("start"))
+    chunks = points.select("pair_id", "chunk").distinct().join(start, "pair_id")
+    chunks = settled(ordered.number_rows(chunks, ["pair_id"], ["chunk"], [ordered.chunk_index(F.col("chunk"), 4096)], "at"))
 
-    def run(todo: DataFrame) -> DataFrame:
+    def scans(wanted: DataFrame) -> DataFrame:
+        """``wanted(pair_id, at, STATE, halo)`` scanned."""
+        todo = settled(wanted.join(chunks.select("pair_id", "at", "chunk"), ["pair_id", "at"]))
         low = (F.col("chunk") * span - F.col("current") - F.col("halo")) * inverse
         high = ((F.col("chunk") + 1) * span - F.col("current") + F.col("halo")) * inverse
         reach = todo.withColumn("_lo", low).withColumn("_hi", high).withColumn(
             "_lc", F.explode(F.sequence(F.floor(F.col("_lo") / span), F.floor(F.col("_hi") / span))))
+        group = ["pair_id", "at", *STATE, "halo"]
         near = (marks.join(reach, ["pair_id", "_lc"]).filter((F.col("t_ms") >= F.col("_lo")) & (F.col("t_ms") <= F.col("_hi")))
-                .select("pair_id", "chunk", "t_ms", F.lit(0).cast("long").alias("n"), *STATE, "halo"))
-        own = points.join(todo, ["pair_id", "chunk"]).select("pair_id", "chunk", "t_ms", "n", *STATE, "halo")
+                .select(*group, "t_ms", F.lit(0).cast("long").alias("n")))
+        own = points.join(todo, ["pair_id", "chunk"]).select(*group, "t_ms", "n")
 
-        def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("t_ms")
             cuts, others = pdf[pdf["n"] > 0], pdf[pdf["n"] == 0]
-            first = pdf.iloc[0]
-            as_int = lambda v: int(v) if float(v).is_integer() else float(v)
-            state = Scan(*(as_int(first[s]) for s in STATE))
+            as_int = lambda v: int(v) if float(v).is_integer() else float(v)
+            state = Scan(*(as_int(v) for v in key[2:5]), run_t=IN_RUN, region_t=IN_REGION)
             hits, changes, far = scan_cuts(cuts["t_ms"].to_numpy(np.int64), cuts["n"].to_numpy(np.int64),
                                            others["t_ms"].to_numpy(np.int64), state, settings, inverse, drift_compensated)
             out = [{"kind": "hit", "region_t": float(r), "offset": float(o), "n": int(n)} for (r, o), n in hits.items()]
             out += [{"kind": "change", "region_t": float(r), "offset": float(o), "n": settings.min_consecutive} for r, o in changes]
-            short = far + settings.wide_probe_sec * 1000 + settings.match_tolerance_ms > first["halo"]
-            row = {"pair_id": first["pair_id"], "chunk": int(first["chunk"]), **{s: float(first[s]) for s in STATE},
-                   "halo": float(first["halo"]), **{f"exit_{s}": float(v) for s, v in zip(STATE, state.as_tuple())},
-                   "short": bool(short), "out": out}
-            return pd.DataFrame([row]).astype({"pair_id": "int64", "chunk": "int64"})
+            short = far + settings.wide_probe_sec * 1000 + settings.match_tolerance_ms > key[5]
+            current, run, candidate, run_t, region_t = state.as_tuple()
+            return pd.DataFrame([[*key, *map(float, (current, run, candidate, run_t, region_t)), bool(short), out]], columns=[*group, *EXITS, "short", "out"])
 
-        return spread(own.unionByName(near), ["pair_id", "chunk"]).groupBy("pair_id", "chunk").applyInPandas(
-            scan, f"pair_id long, chunk long, {STATE_DDL}, halo double, {EXIT_DDL}, short boolean, out {OUT_DDL}")
+        return spread(own.unionByName(near), group).groupBy(*group).applyInPandas(
+            scan, f"pair_id long, at long, {STATE_DDL}, halo double, {', '.join(f'{e} double' for e in EXITS)}, short boolean, out {OUT_DDL}")
 
-    done = settled(run(entries))
+    first = chunks.select("pair_id", "at", F.col("start").alias("current"), F.lit(0.0).alias("run"), F.lit(0.0).alias("candidate"), F.lit(float(halo)).alias("halo"))
+    entry, tables, rounds = ["pair_id", "at", *STATE], [], 0
+    wanted = first
     while True:
-        stale = settled(_stale(done, start))
-        if stale.isEmpty():
+        tables.append(settled(scans(wanted)))
+        rounds += 1
+        done = tables[0]
+        for t in tables[1:]:
+            done = done.unionByName(t)
+        known = done.filter("not short")
+        listed = known.groupBy("pair_id", "at").agg(F.collect_list(F.struct(*STATE, *EXITS)).alias("fn"))
+        listed = chunks.select("pair_id", "at", "start").join(listed, ["pair_id", "at"], "left").select("pair_id", "at", F.coalesce("fn", F.array().cast(listed.schema["fn"].dataType)).alias("fn"), "start")
+        path = carry.entry_states(settled(listed), ["pair_id"], "at", SCANS, "array<double>", lambda s: None if s is None else list(s))
+        path = settled(path.filter("state is not null").select("pair_id", "at", *[F.col("state")[i].alias(s) for i, s in enumerate(STATE)],
+                                                               F.col("state")[3].alias("run_t"), F.col("state")[4].alias("region_t")))
+        stuck = settled(path.join(known.select(*entry), entry, "left_anti").select(*entry))
+        if stuck.isEmpty():
             break
-        again = run(stale)
-        done = settled(done.join(stale.select("pair_id", "chunk"), ["pair_id", "chunk"], "left_anti").unionByName(again))
-    return done.select("pair_id", F.explode("out").alias("o")).select("pair_id", "o.*")
-
-
-def _stale(done: DataFrame, start: DataFrame) -> DataFrame:
-    """Chunks whose entry differs from the true exit before them, with their next entry.
-
-    Works on one short row per chunk.
-    """
-    first = start.select("pair_id", *[F.col(s).alias(f"start_{s}") for s in STATE])
-    rows = done.select("pair_id", "chunk", *STATE, "halo", *[f"exit_{s}" for s in STATE], "short").join(first, "pair_id")
-    # a pair of one chunk was entered with the true state; only its halo can be at fault
-    doubtful = rows.groupBy("pair_id").agg(F.count(F.lit(1)).alias("_c"), F.max("short").alias("_s")).filter("_c > 1 or _s").select("pair_id")
-    rows = rows.join(doubtful, "pair_id", "left_semi")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        expected = tuple(pdf.iloc[0][f"start_{s}"] for s in STATE)
-        trusted, out = True, []
-        for r in pdf.to_dict("records"):
-            entry = tuple(r[s] for s in STATE)
-            if entry != expected or r["short"]:
-                out.append((r["pair_id"], r["chunk"], *expected, r["halo"] * (4 if r["short"] else 1)))
-                trusted = False
-            elif trusted:
-                expected = tuple(r[f"exit_{s}"] for s in STATE)
-        return pd.DataFrame(out, columns=["pair_id", "chunk", *STATE, "halo"]).astype({"pair_id": "int64", "chunk": "int64"})
-
-    return spread(rows, ["pair_id"]).groupBy("pair_id").applyInPandas(walk, f"pair_id long, chunk long, {STATE_DDL}, halo double")
+        left = known.select("pair_id", "at", *STATE, *EXITS).join(stuck.select("pair_id").distinct(), "pair_id", "left_semi")
+        changed = F.lit(False)
+        for s in STATE:
+            changed = changed | (F.col(f"exit_{s}") != F.col(s))
+        ends = [F.col(f"exit_{s}").alias(s) for s in STATE]
+        if rounds == 1:
+            guess = left.select("pair_id", (F.col("at") + 1).alias("at"), *ends)
+        elif rounds == 2:  # chunks entered with what the chunk before left with: those that change it, and the last of them before each chunk
+            before = tables[0].filter("not short").select("pair_id", (F.col("at") + 1).alias("at"), *ends)
+            marks_ = left.join(before, entry, "left_semi").filter(changed).select("pair_id", (F.col("at") + 1).alias("at"), *ends)
+            marks_ = marks_.groupBy("pair_id", "at").agg(F.min(F.struct(*STATE)).alias("s")).select("pair_id", "at", "s.*")
+            guess = ordered.last_at_or_before(chunks.join(stuck.select("pair_id").distinct(), "pair_id", "left_semi"), marks_, ["pair_id"], "at", "at", STATE, 4096).filter("current is not null")
+        else:
+            guess = chunks.select("pair_id", F.col("at").alias("later")).join(stuck, "pair_id").filter("later > at").select("pair_id", F.col("later").alias("at"), *STATE)
+        guess = guess.join(chunks.select("pair_id", "at"), ["pair_id", "at"], "left_semi").select(*entry).unionByName(stuck).distinct()
+        tried = done.filter("short").groupBy(*entry).agg((F.max("halo") * 4).alias("wider"))
+        wanted = (guess.join(known.select(*entry), entry, "left_anti").join(tried, entry, "left")
+                  .select(*entry, F.coalesce("wider", F.lit(float(halo))).alias("halo")))
+    true = path.join(known.select(*entry, "out"), entry).select("pair_id", "run_t", F.col("region_t").alias("_region"), F.explode("out").alias("o"))
+    region = F.when(F.col("o.region_t") == IN_REGION, F.col("_region")).when(F.col("o.region_t") == IN_RUN, F.col("run_t")).otherwise(F.col("o.region_t"))
+    return true.select("pair_id", "o.kind", region.alias("region_t"), "o.offset", "o.n"), rounds
 
 
 def assemble(points: DataFrame, src: DataFrame, initial: DataFrame) -> DataFrame:
@@ -280,12 +318,84 @@ def split_at_dips(regions: DataFrame, dips: DataFrame, min_region_ms: int = 20_0
             .select("pair_id", "start_ms", "end_ms", "offset_ms", "match_count"))
 
 
-def merge_equal(regions: DataFrame, tolerance_ms: float = 1.0) -> DataFrame:
+class Steps:
+    """The head of a group after a stretch of regions, by the head before it: constant between breakpoints, or the head itself (NaN).
+
+    ``points`` are the breakpoints, ``on`` the values at them, ``off`` those between (one more).
+    """
+
+    def __init__(self, points: np.ndarray, on: np.ndarray, off: np.ndarray):
+        # a breakpoint that changes nothing goes
+        same = lambda x, y: (x == y) | (np.isnan(x) & np.isnan(y))
+        keep = ~(same(on, off[:-1]) & same(on, off[1:]))
+        self.points, self.on, self.off = points[keep], on[keep], off[np.r_[True, keep]]
+
+    def told(self, head: float) -> float:
+        at = int(np.searchsorted(self.points, head))
+        return float(self.on[at] if at < len(self.points) and self.points[at] == head else self.off[at])
+
+    def __call__(self, head: float) -> float:
+        value = self.told(head)
+        return head if np.isnan(value) else value
+
+    @staticmethod
+    def _sampled(points: np.ndarray, fn) -> Steps:
+        """The function ``fn`` (NaN for the head itself), which changes at ``points`` only."""
+        between = np.r_[points[0] - 1e6, (points[1:] + points[:-1]) / 2, points[-1] + 1e6] if len(points) else np.zeros(1)
+        return Steps(points, np.array([fn(x) for x in points], float), np.array([fn(x) for x in between], float))
+
+    @staticmethod
+    def of(offsets: np.ndarray, tolerance: float) -> Steps:
+        """The stretch of these regions: the first region that leaves the head's group opens the next, and so on."""
+        high, low = np.maximum.accumulate(offsets), np.minimum.accumulate(offsets)
+        rises, falls = np.flatnonzero(np.r_[True, high[1:] > high[:-1]]), np.flatnonzero(np.r_[True, low[1:] < low[:-1]])
+        last: dict[int, float] = {}
+
+        def leave(head: float) -> float:
+            at, path = first_beyond(offsets, 0, head, tolerance), []
+            while at < len(offsets) and at not in last:
+                path.append(at)
+                at = first_beyond(offsets, at + 1, offsets[at], tolerance)
+            end = last[at] if at in last else offsets[path[-1]] if path else np.nan
+            last.update(dict.fromkeys(path, end))
+            return end
+
+        edges = np.r_[high[rises] - tolerance, low[falls] + tolerance]
+        edges = edges[np.abs(edges - offsets[0]) <= 4 * tolerance]  # within an island no head is further from the next region
+        # rounding may move an edge by one step of a double
+        return Steps._sampled(np.unique(np.r_[edges, np.nextafter(edges, np.inf), np.nextafter(edges, -np.inf)]), leave)
+
+    def then(self, other: Steps) -> Steps:
+        def both(head: float) -> float:
+            mine = self.told(head)
+            return other.told(head) if np.isnan(mine) else other(mine)
+
+        return Steps._sampled(np.unique(np.r_[self.points, other.points]), both)
+
+
+def first_beyond(offsets: np.ndarray, start: int, head: float, tolerance: float) -> int:
+    """The first place from ``start`` on whose offset is ``tolerance`` or more from ``head``; the length if none is."""
+    size = 64
+    while start < len(offsets):
+        far = np.abs(offsets[start:start + size] - head) >= tolerance
+        if far.any():
+            return start + int(far.argmax())
+        start, size = start + size, size * 2
+    return len(offsets)
+
+
+HEADS = carry.Algebra(carry.load, Steps.then, lambda f, head: f(head))
+
+
+def merge_equal(regions: DataFrame, tolerance_ms: float = 1.0, chunk: int = 2048, fan: int = carry.FAN) -> DataFrame:
     """Merge neighbours whose offset is within tolerance of the *first* of their group.
 
     A jump of twice the tolerance always starts a group, whatever came before,
-    and exact repeats never do. Both cut the series without looking back, so
-    only the rare rest (small steps) is folded, island by island.
+    and exact repeats never do. Both cut the series without looking back. What is
+    left between two jumps, an island of small steps, is cut into chunks of
+    ``chunk`` runs. A chunk is a step function from the group's first offset that
+    enters it to the one that leaves it; these are composed in a tree (``carry``), and
+    then all chunks mark the first runs of their groups in parallel.
     """
     rows = regions.withColumn("_pos", F.col("start_ms").cast("long"))
     prev = ordered.with_neighbour(rows, ["pair_id"], "_pos", ["offset_ms"], CHUNK_MS, "prev_")
@@ -293,23 +403,42 @@ def merge_equal(regions: DataFrame, tolerance_ms: float = 1.0) -> DataFrame:
     flagged = (prev.withColumn("_new", F.when(F.col("prev_offset_ms").isNull() | (step > 0), 1).otherwise(0))
                .withColumn("_hard", F.when(F.col("prev_offset_ms").isNull() | (step >= 2 * tolerance_ms), 1).otherwise(0))
                .withColumn("_chunk", ordered.chunk_index(F.col("_pos"), CHUNK_MS)))
-    numbered = ordered.running_total(flagged, ["pair_id"], "_chunk", ["_pos"], F.col("_new"), "_run")
-    numbered = ordered.running_total(numbered, ["pair_id"], "_chunk", ["_pos"], F.col("_hard"), "_island")
-    runs = numbered.groupBy("pair_id", "_island", "_run").agg(
+    numbered = ordered.running_totals(flagged, ["pair_id"], "_chunk", ["_pos"], {"_run": F.col("_new"), "_island": F.col("_hard")})
+    runs = settled(numbered.groupBy("pair_id", "_island", "_run").agg(
         F.min("start_ms").alias("start_ms"), F.max_by("end_ms", "_pos").alias("end_ms"),
-        F.min_by("offset_ms", "_pos").alias("offset_ms"), F.sum("match_count").alias("match_count"))
-    items = F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "offset_ms", "match_count")))
-    zero = F.slice(F.col("_items"), 1, 0)
-    def join_last(acc, x):
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), last["offset_ms"].alias("offset_ms"),
-                         (last["match_count"] + x["match_count"]).alias("match_count"))
-        same = (F.size(acc) > 0) & (F.abs(x["offset_ms"] - last["offset_ms"]) < tolerance_ms)
-        return F.when(same, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
-    folded = runs.groupBy("pair_id", "_island").agg(items.alias("_items")).withColumn(
-        "_m", F.when(F.size("_items") == 1, F.col("_items")).otherwise(
-            F.aggregate("_items", zero, lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(join_last(acc, x)))))
-    return folded.select("pair_id", F.explode("_m").alias("r")).select("pair_id", "r.*")
+        F.min_by("offset_ms", "_pos").alias("offset_ms"), F.sum("match_count").alias("match_count")))
+    keys = ["pair_id", "_island"]
+    extent = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_runs"), F.min("_run").alias("_first"))
+    out = ["pair_id", "start_ms", "end_ms", "offset_ms", "match_count"]
+    single = runs.join(extent.filter("_runs = 1").select(*keys), keys, "left_semi").select(*out)
+    small = runs.join(extent.filter("_runs > 1"), keys).withColumn("_at", F.expr(f"(_run - _first) div {chunk}").cast("long"))
+    small = settled(small.select(*keys, "_at", *out[1:]))
+
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("start_ms")
+        head = pdf.iloc[0]
+        fn = Steps.of(pdf["offset_ms"].to_numpy(float), tolerance_ms)
+        return pd.DataFrame([[head["pair_id"], head["_island"], head["_at"], carry.dump(fn), carry.dump(float("inf"))]], columns=[*keys, "_at", "fn", "start"])
+
+    kinds = ", ".join(f"{k} {t}" for k, t in small.dtypes if k in (*keys, "_at"))
+    tables = settled(spread(small.select(*keys, "_at", "start_ms", "offset_ms"), [*keys, "_at"]).groupBy(*keys, "_at").applyInPandas(reduce, f"{kinds}, fn binary, start binary"))
+    entries = carry.entry_states(tables, keys, "_at", HEADS, "double", float, fan).withColumnRenamed("state", "_head")
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("start_ms").reset_index(drop=True)
+        offsets, opens = pdf["offset_ms"].to_numpy(float), np.zeros(len(pdf), np.int64)
+        at = first_beyond(offsets, 0, pdf["_head"].iloc[0], tolerance_ms)
+        while at < len(offsets):
+            opens[at] = 1
+            at = first_beyond(offsets, at + 1, offsets[at], tolerance_ms)
+        return pdf.drop(columns="_head").assign(_opens=opens)
+
+    marked = spread(small.join(entries, [*keys, "_at"]), [*keys, "_at"]).groupBy(*keys, "_at").applyInPandas(
+        mark, ", ".join(f"{k} {t}" for k, t in small.dtypes) + ", _opens long")
+    grouped = ordered.running_total(settled(marked), keys, "_at", ["start_ms"], F.col("_opens"), "_group")
+    merged = grouped.groupBy(*keys, "_group").agg(F.max_by("end_ms", "start_ms").alias("end_ms"), F.min_by("offset_ms", "start_ms").alias("offset_ms"),
+                                                  F.sum("match_count").alias("match_count"), F.min("start_ms").alias("start_ms"))
+    return single.unionByName(merged.select(*out))
 
 
 def transitions(regions: DataFrame) -> DataFrame:

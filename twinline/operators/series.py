@@ -9,9 +9,9 @@ from twinline.operators import ordered
 DAY_US, SECOND_US = 86_400_000_000, 1_000_000
 
 
-def low_runs(series: DataFrame, keys: list[str], pos: str, tie: str, score: str, threshold: float,
+def low_runs(series: DataFrame, keys: list[str], pos: str, tie: str, score: str, threshold: float | Column,
              span: int = DAY_US, fine: int = SECOND_US) -> DataFrame:
-    """All runs of consecutive samples below the threshold."""
+    """All runs of consecutive samples below the threshold, a number or a column that follows from the keys."""
     chunked = ordered.with_chunk(series, keys, pos, span, fine)
     return ordered.run_groups(chunked, keys, "chunk", [pos, tie], F.col(score) < threshold, pos)
 

@@ -1,18 +1,26 @@
-"""Structured Streaming forms: status roll-up, latest state, spaced pick, arrival matching.
+"""Structured Streaming forms: status roll-up, latest state, live records, spaced pick, arrival matching.
 
 Each function returns a streaming DataFrame; ``drain`` runs one through all
-available input into a folder and reads it back.
+available input into a folder and reads it back. The stateful ones take rows in the
+order of their event time (``in_order``), whatever order they arrive in.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from twinline.operators import catalog, ordered
+from twinline.operators import catalog
 from twinline.session import shared_folder
 
+#: The state store that timers and lists of state need.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def source(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 200) -> DataFrame:
     """A table, one file or a folder of part files, as a stream; the trigger size bounds what one micro-batch holds."""
@@ -29,14 +37,117 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _state_store(spark: SparkSession):
+    """The session's state store while a query starts; a query keeps what it started with."""
+    old = spark.conf.get(ROCKS[0], None)
+    spark.conf.set(*ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(ROCKS[0], old) if old else spark.conf.unset(ROCKS[0])
+
+
+def run_once(stream: DataFrame, folder: str):
+    """Take a stream through what is available now, from where the folder's checkpoint stands; the finished query."""
+    with _state_store(stream.sparkSession):
+        q = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state")
+             .trigger(availableNow=True).start(f"{folder}/out"))
+    q.awaitTermination()
+    return q
+
+
 def drain(stream: DataFrame) -> DataFrame:
     spark, folder = stream.sparkSession, work_folder(stream.sparkSession)
-    q = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state")
-         .trigger(availableNow=True).start(f"{folder}/out"))
-    q.awaitTermination()
+    run_once(stream, folder)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+class Clock:
+    """A second input of a stream, whose only row moves the watermark past all others once the input is known to have ended."""
+
+    def __init__(self, events: DataFrame, ts: str = "ts"):
+        self.spark, self.schema, self.ts = events.sparkSession, events.schema, ts
+        self.folder = f"{work_folder(self.spark)}/clock"
+        self.spark.createDataFrame([], self.schema).write.parquet(self.folder)
+        self.events = events.unionByName(self.spark.readStream.schema(self.schema).parquet(self.folder))
+
+    def end(self) -> None:
+        row = [F.lit("9999-01-01").cast("timestamp").alias(f.name) if f.name == self.ts else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]
+        self.spark.range(1).select(*row).write.mode("append").parquet(self.folder)
+
+
+def drain_to_the_end(events: DataFrame, build: Callable[[DataFrame], DataFrame], ts: str = "ts") -> DataFrame:
+    """``build`` over a stream that ends: after its available input, the clock releases what still waits for the watermark."""
+    clock, folder = Clock(events, ts), work_folder(events.sparkSession)
+    stream = build(clock.events)
+    run_once(stream, folder)
+    clock.end()
+    run_once(stream, folder)
+    return events.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+class InOrder(StatefulProcessor):
+    """Per key: rows wait in a list until the watermark has passed them, then a step takes them one by one in their order.
+
+    A timer stands at the first row that waits. The state of a key is what waits, so no
+    more than arrived within the allowed delay, and what the step keeps. A step is
+    ``(kept or None, row) -> (kept or None, rows out)`` over tuples; the first field of a row is its
+    time in microseconds. ``idle`` is ``(kept) -> (time, rows out)``: when a key without
+    further rows is given up, and what is told then.
+    """
+
+    def __init__(self, waiting: str, kept: str, out: list[str], step: Callable, idle: Callable | None = None):
+        self.ddl, self.out, self.step, self.idle = (waiting, kept), out, step, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting, self.kept = handle.getListState("waiting", self.ddl[0]), handle.getValueState("kept", self.ddl[1])
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-int(us) // 1000))
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in self.ddl[0].split(", ")]
+        fresh = [r for pdf in rows for r in pdf[names].dropna(subset=names[:1]).itertuples(index=False, name=None)]
+        if fresh:
+            fresh = [(int(r[0]), *r[1:]) for r in fresh]
+            self.waiting.appendList(fresh)
+            self._wake(min(r[0] for r in fresh))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        passed = timer_values.getCurrentWatermarkInMs() * 1000
+        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        kept, out = tuple(self.kept.get()) if self.kept.exists() else None, []
+        for r in due:
+            kept, told = self.step(kept, r)
+            out += told
+        if kept is not None and self.idle is not None:
+            end, told = self.idle(kept)
+            if end <= passed:
+                kept, out = None, out + told
+            else:
+                self._wake(end)
+        if due:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self._wake(rest[0][0])
+        self.kept.update(kept) if kept is not None else self.kept.clear()
+        if out:
+            yield pd.DataFrame([[*key, *o] for o in out], columns=self.out)
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(events: DataFrame, key: str, ts: str, late: str, processor: InOrder, out: T.StructType) -> DataFrame:
+    """``processor`` over each key of ``events``, whose rows may be ``late`` behind the newest; later ones are dropped."""
+    rows = events.withWatermark(ts, late).withColumn("us", F.unix_micros(ts))
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="EventTime")
+
+
 def _newest(state: DataFrame, keys: list[str]) -> DataFrame:
     """Run a stream of changing aggregates to the end of its input; the last row of every key.
 
@@ -76,14 +187,49 @@ def latest_states(updates: DataFrame) -> DataFrame:
     return rows.select("episode_id", F.col("s.record_id").alias("record_id"), F.col("s.status").alias("status"))
 
 
-def spaced_pick(events: DataFrame, key: str, pos: str, spacing: int) -> DataFrame:
-    """Greedy pick over all events that a stream has landed.
+def spaced_pick(events: DataFrame, key: str, pos: str, spacing: int, ts: str = "ts", late: str = "1 hour") -> DataFrame:
+    """Greedy pick of a stream: a position is taken when it is at least ``spacing`` after the last taken one of its key.
+
+    ``pos`` grows with ``ts``. A position is decided when the watermark has passed it, and
+    told at once; the state of a key is its last taken position and what arrived within ``late``.
+    """
+    def step(last, row):
+        p = int(row[1])
+        return (last, []) if last is not None and p - last[0] < spacing else ((p,), [(p,)])
+
+    out = T.StructType([events.schema[key], T.StructField(pos, T.LongType())])
+    return in_order(events.select(key, pos, ts), key, ts, late, InOrder(f"us long, {pos} long", f"{pos} long", [key, pos], step), out)
+
+
+def record_moves(updates: DataFrame, key: str = "episode_id", ts: str = "ts", late: str = "1 hour", expire: str = "5 days") -> DataFrame:
+    """Moves of records between statuses: ``(key, at, status, change)``, with -1 for the status left and +1 for the one entered.
 
-    The pick depends on the order of the positions, the stream brings them in any order;
-    so micro-batches only land their rows, and the pick runs over what has landed, chunk
-    by chunk and without a task for a whole key. The rows do not depend on the trigger.
+    A record is what has one ``key``; its updates count in the order of (``ts``, ``record_id``).
+    A record without an update for ``expire`` leaves its status and the state. The sum
+    of the changes up to any moment is the number of live records by status then.
     """
-    return ordered.pick_spaced(drain(events.select(key, pos)), [key], pos, spacing)
+    span = int(pd.Timedelta(expire).total_seconds() * 1_000_000)
+
+    def step(kept, row):
+        us, _, status = row
+        told, old = [], kept
+        if old is not None and us >= old[0] + span:  # it had been given up before this update
+            told, old = [(pd.Timestamp(old[0] + span, unit="us"), old[1], -1)], None
+        if old is None or old[1] != status:
+            told += [(pd.Timestamp(us, unit="us"), old[1], -1)] if old is not None else []
+            told.append((pd.Timestamp(us, unit="us"), status, 1))
+        return (us, status), told
+
+    out = T.StructType([updates.schema[key], T.StructField("at", T.TimestampType()), T.StructField("status", T.StringType()), T.StructField("change", T.LongType())])
+    processor = InOrder("us long, record_id long, status string", "us long, status string", [key, "at", "status", "change"], step,
+                        lambda kept: (kept[0] + span, [(pd.Timestamp(kept[0] + span, unit="us"), kept[1], -1)]))
+    return in_order(updates.select(key, ts, "record_id", "status"), key, ts, late, processor, out)
+
+
+def live_counts(moves: DataFrame) -> DataFrame:
+    """Live records by status from their moves, and how often a status was entered and left."""
+    entered = F.sum(F.when(F.col("change") > 0, F.col("change")).otherwise(0))
+    return moves.groupBy("status").agg(F.sum("change").alias("records"), entered.alias("entered"), (entered - F.sum("change")).alias("departed"))
 
 
 def arrivals(files: DataFrame, lang_index: DataFrame) -> DataFrame:

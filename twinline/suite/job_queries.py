@@ -7,7 +7,7 @@ from twinline.operators import catalog
 from twinline.operators import frames as fr
 from twinline.operators import ordered
 from twinline.params import DEFAULTS, VECTOR_FRAMES
-from twinline.plans import align, ladder
+from twinline.plans import align, ladder, sweep
 from twinline.session import settled
 from twinline.streaming import live
 from twinline.suite.region_queries import REGION_ARGS
@@ -132,19 +132,39 @@ def stream_latest(spark, d):
     return live.latest_states(updates(spark, d))
 
 
+#: The statuses of records as they were a day before the newest update: what is later still waits for the watermark.
+LIVE_SQL = """SELECT status, CAST(sum(change) AS BIGINT) AS records, CAST(sum(greatest(change, 0)) AS BIGINT) AS entered, CAST(sum(greatest(-change, 0)) AS BIGINT) AS departed FROM (
+  SELECT status, 1 AS change FROM moves WHERE enters UNION ALL SELECT old_status, -1 FROM moves WHERE enters AND old_status IS NOT NULL AND NOT gap
+  UNION ALL SELECT status, -1 FROM moves WHERE (next_us IS NULL AND us + 432000000000 <= passed) OR next_us >= us + 432000000000) GROUP BY status"""
+MOVES_SQL = """SELECT *, old_us IS NOT NULL AND us >= old_us + 432000000000 AS gap, old_us IS NULL OR status <> old_status OR us >= old_us + 432000000000 AS enters FROM (
+  SELECT *, lag(status) OVER w AS old_status, lag(us) OVER w AS old_us, lead(us) OVER w AS next_us FROM (
+   SELECT episode_id, record_id, status, epoch_us(ts) AS us, (SELECT (epoch_us(max(ts)) // 1000 - 86400000) * 1000 FROM fx7) AS passed FROM fx7) WHERE us <= passed
+  WINDOW w AS (PARTITION BY episode_id ORDER BY us, record_id))"""
+
+
+@query("stream_live", fx.sql_with(["fx7"], LIVE_SQL, [("moves", MOVES_SQL)]))
+def stream_live(spark, d):
+    return live.live_counts(live.drain(live.record_moves(updates(spark, d), late="1 day", expire="5 days")))
+
+
 SPACING_MIN = 360
+#: How late a row of the table may come; its files may be read in any order, so a whole month.
+ARRIVAL = "31 days"
 PICK_SQL = """/*RECURSIVE*/SELECT user_id, min(pos) AS pos FROM ev GROUP BY user_id
 UNION ALL SELECT p.user_id, min(e.pos) FROM pk p JOIN ev e ON e.user_id = p.user_id AND e.pos >= p.pos + 360 GROUP BY p.user_id, p.pos"""
 PICK_ARGS = [("ev", "SELECT user_id, epoch_us(ts) // 60000000 AS pos FROM events WHERE value > 50"), ("pk", PICK_SQL)]
 
 
 def loud_minutes(events):
-    return events.filter("value > 50").select("user_id", F.floor(fx.micros(F.col("ts")) / 60000000).alias("pos"))
+    """Minutes of loud events; as a stream they keep their time."""
+    ts = [F.col("ts").cast("timestamp").alias("ts")] if events.isStreaming else []
+    return events.filter("value > 50").select("user_id", F.floor(fx.micros(F.col("ts")) / 60000000).alias("pos"), *ts)
 
 
 @query("stream_cuts", fx.sql_with([], "SELECT user_id, pos FROM pk", PICK_ARGS))
 def stream_cuts(spark, d):
-    return live.spaced_pick(loud_minutes(live.source(spark, d, "events")), "user_id", "pos", SPACING_MIN)
+    events = loud_minutes(live.source(spark, d, "events"))
+    return live.drain_to_the_end(events, lambda e: live.spaced_pick(e, "user_id", "pos", SPACING_MIN, late=ARRIVAL))
 
 
 @query("batch_cuts", fx.sql_with([], "SELECT user_id, pos FROM pk", PICK_ARGS))
@@ -152,6 +172,33 @@ def batch_cuts(spark, d):
     return ordered.pick_spaced(loud_minutes(fx.table(spark, d, "events")), ["user_id"], "pos", SPACING_MIN)
 
 
+PICK_GRID = sweep.grid(floor=[20.0, 50.0, 150.0], spacing=[90, 360, 1440], limit=[1, 12])
+DIP_GRID = sweep.grid(threshold=[10.0, 20.0, 50.0, 80.0], min_dip=[1, 2, 3, 5])
+NUMBERED = "SELECT (row_number() OVER () - 1)::INTEGER AS setting, * FROM "
+
+
+@query("sweep_picks", fx.sql_with([], """SELECT setting, "floor", spacing, "limit", user_id, picks, first, last FROM st JOIN (
+  SELECT "floor", spacing, user_id, count(*) AS picks, min(pos) AS first, max(pos) AS last FROM pk GROUP BY ALL) USING ("floor", spacing) WHERE picks >= "limit\"""", [
+    ("st", NUMBERED + """(VALUES (20.0::DOUBLE, 90, 1), (20.0, 90, 12), (20.0, 360, 1), (20.0, 360, 12), (20.0, 1440, 1), (20.0, 1440, 12), (50.0, 90, 1), (50.0, 90, 12), (50.0, 360, 1), (50.0, 360, 12),
+      (50.0, 1440, 1), (50.0, 1440, 12), (150.0, 90, 1), (150.0, 90, 12), (150.0, 360, 1), (150.0, 360, 12), (150.0, 1440, 1), (150.0, 1440, 12)) v("floor", spacing, "limit")"""),
+    ("ev", """SELECT DISTINCT "floor", spacing, user_id, epoch_us(ts) // 60000000 AS pos FROM events JOIN (SELECT DISTINCT "floor", spacing FROM st) ON value > "floor\""""),
+    ("pk", """/*RECURSIVE*/SELECT "floor", spacing, user_id, min(pos) AS pos FROM ev GROUP BY ALL
+  UNION ALL SELECT "floor", spacing, p.user_id, min(e.pos) FROM pk p JOIN ev e USING ("floor", spacing, user_id) WHERE e.pos >= p.pos + spacing GROUP BY "floor", spacing, p.user_id, p.pos""")]))
+def sweep_picks(spark, d):
+    e = fx.table(spark, d, "events").select("user_id", "value", F.floor(fx.micros(F.col("ts")) / 60000000).alias("pos"))
+    return sweep.sweep_picks(e, ["user_id"], "pos", "value", PICK_GRID)
+
+
+@query("sweep_dips", fx.sql_with([], """SELECT setting, threshold, min_dip, user_id, count(*) AS dips, max(n) AS longest, min(start) AS first_dip FROM st JOIN (
+  SELECT threshold, user_id, g, count(*) AS n, min(us) AS start FROM (
+    SELECT threshold, user_id, us, low, sum(CASE WHEN low THEN 0 ELSE 1 END) OVER (PARTITION BY threshold, user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (
+      SELECT threshold, user_id, event_id, epoch_us(ts) AS us, value < threshold AS low FROM events, (SELECT DISTINCT threshold FROM st))) WHERE low GROUP BY ALL) USING (threshold)
+WHERE n >= min_dip GROUP BY ALL""", [("st", NUMBERED + "(SELECT unnest([10.0::DOUBLE, 20.0, 50.0, 80.0]) AS threshold), (SELECT unnest([1, 2, 3, 5]) AS min_dip) ORDER BY threshold, min_dip")]))
+def sweep_dips(spark, d):
+    e = fx.table(spark, d, "events").select("event_id", "user_id", "value", fx.micros(F.col("ts")).alias("us"))
+    return sweep.sweep_dips(e, ["user_id"], "us", "event_id", "value", DIP_GRID)
+
+
 @query("stream_match", fx.sql_with(["eps", "lang_idx"], """SELECT s.scan_pos AS src_file, s.episode_id, l.lang_file,
   CASE WHEN s.episode_id = '' THEN 'No episode ID' WHEN l.lang_file IS NULL THEN 'No match' ELSE '' END AS skip_reason,
   CASE WHEN s.episode_id = '' OR l.lang_file IS NULL THEN 'Skipped' ELSE 'Pending' END AS status
