@@ -94,7 +94,7 @@ def test_change_points(spark, span, inverse):
     src = spark.createDataFrame([(i, t) for i, (s, _, _) in pairs.items() for t in s], "pair_id long, t_ms long")
     lang = spark.createDataFrame([(i, t) for i, (_, l, _) in pairs.items() for t in l], "pair_id long, t_ms long")
     start = spark.createDataFrame([(i, o) for i, (_, _, o) in pairs.items()], "pair_id long, offset_ms long")
-    points = regions.change_points(src, lang, start, P, inverse, span=span, halo=30_000 if span < 10**6 else 10**6)
+    points = regions.change_points(src, lang, start, P, inverse, span=span, halo=30_000 if span < 10**6 else 10**6, crowd=1)
     got = {}
     for r in regions.assemble(points, src, start).orderBy("pair_id", "start_ms", "end_ms").collect():
         got.setdefault(r["pair_id"], []).append((r["start_ms"], r["end_ms"], r["offset_ms"], r["match_count"]))
@@ -102,6 +102,32 @@ def test_change_points(spark, span, inverse):
         assert got[i] == plain(s, l, o, inverse), i
 
 
+def drifting(rng, n, changes, gap=9000):
+    """A long pair whose offset changes ``changes`` times, within reach of the wide search each time."""
+    src, t = [], 0
+    for _ in range(n):
+        t += rng.randrange(500, gap)
+        src.append(t)
+    offs = [0]
+    for _ in range(changes):
+        offs.append(max(-40_000, min(40_000, offs[-1] + rng.choice([-1, 1]) * rng.randrange(2000, 9000))))
+    lang = [t - offs[min(len(offs) - 1, i * len(offs) // len(src))] + rng.randrange(-60, 60) for i, t in enumerate(src) if rng.random() > .1]
+    return src, [x for x in lang if x >= 0], 0
+
+
+@pytest.mark.parametrize("n,changes,gap,crowd", [(100_000, 500, 60_000, regions.CROWD), (1_500, 3, 20_000, 100), (3_000, 12, 20_000, 400)])
+def test_rounds_do_not_follow_the_changes(spark, n, changes, gap, crowd):
+    """One pair of many cuts: hundreds of changes take one round in one block; blocks take no more rounds than there are."""
+    rng = random.Random(n)
+    s, l, o = drifting(rng, n, changes, gap)
+    src, lang = (spark.createDataFrame([(1, t) for t in x], "pair_id long, t_ms long") for x in (s, l))
+    start = spark.createDataFrame([(1, o)], "pair_id long, offset_ms long")
+    points, rounds = regions.scan_rounds(src, lang, start, P, 1.0, False, 400_000 if crowd < 1000 else regions.CHUNK_MS, regions.HALO_MS, crowd)
+    got = [(r["start_ms"], r["end_ms"], r["offset_ms"], r["match_count"]) for r in regions.assemble(points, src, start).orderBy("start_ms", "end_ms").collect()]
+    assert got == plain(s, l, o) and len(got) > changes / 2
+    assert rounds == 1 if crowd >= n else rounds <= max(3, n // crowd)
+
+
 def test_retime_with_long_series(spark):
     rng = random.Random(3)
     ops, t = [], 0

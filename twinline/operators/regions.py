@@ -15,6 +15,8 @@ from twinline.session import settled, spread
 
 CHUNK_MS = 7_200_000
 HALO_MS = 300_000
+#: Cuts that one task scans in a row.
+CROWD = 100_000
 
 
 @dataclass
@@ -168,55 +170,59 @@ def _chain(f: dict, g: dict) -> dict:
     return {key: end for key, state in f.items() if (end := _follow(g, state)) is not None}
 
 
-#: A chunk's scans: entry state -> exit state and labels.
+#: A block's scans: entry state -> exit state and labels.
 SCANS = carry.Algebra(lambda rows: {tuple(r[s] for s in STATE): tuple(r[e] for e in EXITS) for r in rows}, _chain, _follow,
                       enter=lambda current: (float(current), 0.0, 0.0, 0.0, -1.0))
 
 
 def change_points(src: DataFrame, lang: DataFrame, initial: DataFrame, settings: PiecewiseSettings = DEFAULTS.piecewise,
                   inverse: float = 1.0, drift_compensated: bool = False, span: int = CHUNK_MS,
-                  halo: int = HALO_MS) -> DataFrame:
+                  halo: int = HALO_MS, crowd: int = CROWD) -> DataFrame:
     """Hits and changes of every pair: rows (pair_id, kind, region_t, offset, n); see ``scan_rounds``."""
-    return scan_rounds(src, lang, initial, settings, inverse, drift_compensated, span, halo)[0]
+    return scan_rounds(src, lang, initial, settings, inverse, drift_compensated, span, halo, crowd)[0]
 
 
 def scan_rounds(src: DataFrame, lang: DataFrame, initial: DataFrame, settings: PiecewiseSettings, inverse: float, drift_compensated: bool,
-                span: int, halo: int) -> tuple[DataFrame, int]:
+                span: int, halo: int, crowd: int) -> tuple[DataFrame, int]:
     """The rows of ``change_points``, and the rounds of scanning they took.
 
-    The scan depends on what it found before, so it cannot become a join. A long pair is
-    cut into chunks; a scan of a chunk is an entry of its transfer function, from the state
-    that enters to the one that leaves. The known entries are composed in a tree
-    (``carry``), which tells the true state of every chunk up to the first that was not
-    scanned from it. Rounds of scanning, each of all chunks in parallel:
+    The scan depends on what it found before, so it cannot become a join. A pair is cut
+    into blocks of some ``crowd`` cuts (a second of work), made of chunks of ``span`` ms, so most pairs are
+    one block and take one round, however many changes they have. For longer ones, a scan of a block is an
+    entry of its transfer function, from the state that enters to the one that leaves.
+    The known entries are composed in a tree (``carry``), which tells the true state of every
+    block up to the first that was not scanned from it. Rounds of scanning, each of all blocks in parallel:
 
-    1. every chunk from the pair's first offset;
-    2. every chunk from what the chunk before it left with: right behind a chunk with a change;
-    3. every chunk from what the last chunk with a change before it left with: right in the others.
+    1. every block from the pair's first offset;
+    2. every block from what the block before it left with: right behind a block with a change;
+    3. every block from what the last block with a change before it left with: right in the others.
 
-    These settle pairs whose changes are found alike from nearby states, however many there
-    are. What is still open goes on from its true state, carried to all later chunks.
-    Scans are kept; no round repeats or rewrites one. A scan that moves
+    What is still open goes on from its true state, carried to all later blocks, so rounds
+    never outnumber blocks. Scans are kept; no round repeats or rewrites one. A scan that moves
     further than its halo of language cuts runs again with a wider one, so results are exact.
     """
     points = settled(ordered.histogram(src, ["pair_id"], "t_ms").withColumn("chunk", ordered.chunk_index(F.col("t_ms"), span)))
     marks = settled(lang.select("pair_id", F.col("t_ms").cast("long").alias("t_ms")).distinct()
                     .withColumn("_lc", ordered.chunk_index(F.col("t_ms"), span)))
     start = initial.select("pair_id", F.col("offset_ms").cast("double").alias("start"))
-    chunks = points.select("pair_id", "chunk").distinct().join(start, "pair_id")
-    chunks = settled(ordered.number_rows(chunks, ["pair_id"], ["chunk"], [ordered.chunk_index(F.col("chunk"), 4096)], "at"))
+    cuts = points.groupBy("pair_id", "chunk").agg(F.count(F.lit(1)).alias("cuts")).withColumn("_far", ordered.chunk_index(F.col("chunk"), 4096))
+    cuts = ordered.running_total(cuts, ["pair_id"], "_far", ["chunk"], F.col("cuts"), "_before", exclusive=True).withColumn("block", F.expr(f"_before div {crowd}"))
+    blocks = cuts.groupBy("pair_id", "block").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
+    blocks = settled(ordered.number_rows(blocks, ["pair_id"], ["block"], [ordered.chunk_index(F.col("block"), 4096)], "at").join(start, "pair_id"))
+    points = settled(points.join(cuts.select("pair_id", "chunk", "block"), ["pair_id", "chunk"]).join(blocks.select("pair_id", "block", "at"), ["pair_id", "block"])
+                     .select("pair_id", "at", "t_ms", "n"))
 
     def scans(wanted: DataFrame) -> DataFrame:
         """``wanted(pair_id, at, STATE, halo)`` scanned."""
-        todo = settled(wanted.join(chunks.select("pair_id", "at", "chunk"), ["pair_id", "at"]))
-        low = (F.col("chunk") * span - F.col("current") - F.col("halo")) * inverse
-        high = ((F.col("chunk") + 1) * span - F.col("current") + F.col("halo")) * inverse
+        todo = settled(wanted.join(blocks.select("pair_id", "at", "lo", "hi"), ["pair_id", "at"]))
+        low = (F.col("lo") * span - F.col("current") - F.col("halo")) * inverse
+        high = ((F.col("hi") + 1) * span - F.col("current") + F.col("halo")) * inverse
         reach = todo.withColumn("_lo", low).withColumn("_hi", high).withColumn(
             "_lc", F.explode(F.sequence(F.floor(F.col("_lo") / span), F.floor(F.col("_hi") / span))))
         group = ["pair_id", "at", *STATE, "halo"]
         near = (marks.join(reach, ["pair_id", "_lc"]).filter((F.col("t_ms") >= F.col("_lo")) & (F.col("t_ms") <= F.col("_hi")))
                 .select(*group, "t_ms", F.lit(0).cast("long").alias("n")))
-        own = points.join(todo, ["pair_id", "chunk"]).select(*group, "t_ms", "n")
+        own = points.join(todo, ["pair_id", "at"]).select(*group, "t_ms", "n")
 
         def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("t_ms")
@@ -234,7 +240,7 @@ def scan_rounds(src: DataFrame, lang: DataFrame, initial: DataFrame, settings: P
         return spread(own.unionByName(near), group).groupBy(*group).applyInPandas(
             scan, f"pair_id long, at long, {STATE_DDL}, halo double, {', '.join(f'{e} double' for e in EXITS)}, short boolean, out {OUT_DDL}")
 
-    first = chunks.select("pair_id", "at", F.col("start").alias("current"), F.lit(0.0).alias("run"), F.lit(0.0).alias("candidate"), F.lit(float(halo)).alias("halo"))
+    first = blocks.select("pair_id", "at", F.col("start").alias("current"), F.lit(0.0).alias("run"), F.lit(0.0).alias("candidate"), F.lit(float(halo)).alias("halo"))
     entry, tables, rounds = ["pair_id", "at", *STATE], [], 0
     wanted = first
     while True:
@@ -245,7 +251,7 @@ def scan_rounds(src: DataFrame, lang: DataFrame, initial: DataFrame, settings: P
             done = done.unionByName(t)
         known = done.filter("not short")
         listed = known.groupBy("pair_id", "at").agg(F.collect_list(F.struct(*STATE, *EXITS)).alias("fn"))
-        listed = chunks.select("pair_id", "at", "start").join(listed, ["pair_id", "at"], "left").select("pair_id", "at", F.coalesce("fn", F.array().cast(listed.schema["fn"].dataType)).alias("fn"), "start")
+        listed = blocks.select("pair_id", "at", "start").join(listed, ["pair_id", "at"], "left").select("pair_id", "at", F.coalesce("fn", F.array().cast(listed.schema["fn"].dataType)).alias("fn"), "start")
         path = carry.entry_states(settled(listed), ["pair_id"], "at", SCANS, "array<double>", lambda s: None if s is None else list(s))
         path = settled(path.filter("state is not null").select("pair_id", "at", *[F.col("state")[i].alias(s) for i, s in enumerate(STATE)],
                                                                F.col("state")[3].alias("run_t"), F.col("state")[4].alias("region_t")))
@@ -263,10 +269,10 @@ def scan_rounds(src: DataFrame, lang: DataFrame, initial: DataFrame, settings: P
             before = tables[0].filter("not short").select("pair_id", (F.col("at") + 1).alias("at"), *ends)
             marks_ = left.join(before, entry, "left_semi").filter(changed).select("pair_id", (F.col("at") + 1).alias("at"), *ends)
             marks_ = marks_.groupBy("pair_id", "at").agg(F.min(F.struct(*STATE)).alias("s")).select("pair_id", "at", "s.*")
-            guess = ordered.last_at_or_before(chunks.join(stuck.select("pair_id").distinct(), "pair_id", "left_semi"), marks_, ["pair_id"], "at", "at", STATE, 4096).filter("current is not null")
+            guess = ordered.last_at_or_before(blocks.join(stuck.select("pair_id").distinct(), "pair_id", "left_semi"), marks_, ["pair_id"], "at", "at", STATE, 4096).filter("current is not null")
         else:
-            guess = chunks.select("pair_id", F.col("at").alias("later")).join(stuck, "pair_id").filter("later > at").select("pair_id", F.col("later").alias("at"), *STATE)
-        guess = guess.join(chunks.select("pair_id", "at"), ["pair_id", "at"], "left_semi").select(*entry).unionByName(stuck).distinct()
+            guess = blocks.select("pair_id", F.col("at").alias("later")).join(stuck, "pair_id").filter("later > at").select("pair_id", F.col("later").alias("at"), *STATE)
+        guess = guess.join(blocks.select("pair_id", "at"), ["pair_id", "at"], "left_semi").select(*entry).unionByName(stuck).distinct()
         tried = done.filter("short").groupBy(*entry).agg((F.max("halo") * 4).alias("wider"))
         wanted = (guess.join(known.select(*entry), entry, "left_anti").join(tried, entry, "left")
                   .select(*entry, F.coalesce("wider", F.lit(float(halo))).alias("halo")))

@@ -73,7 +73,7 @@ class Clock:
         self.events = events.unionByName(self.spark.readStream.schema(self.schema).parquet(self.folder))
 
     def end(self) -> None:
-        row = [F.lit("9999-01-01").cast("timestamp").alias(f.name) if f.name == self.ts else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]
+        row = [F.lit("2200-01-01").cast("timestamp").alias(f.name) if f.name == self.ts else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]
         self.spark.range(1).select(*row).write.mode("append").parquet(self.folder)
 
 
@@ -107,7 +107,7 @@ class InOrder(StatefulProcessor):
     def _wake(self, us: int) -> None:
         self.handle.registerTimer(-(-int(us) // 1000))
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in self.ddl[0].split(", ")]
         fresh = [r for pdf in rows for r in pdf[names].dropna(subset=names[:1]).itertuples(index=False, name=None)]
         if fresh:
@@ -116,8 +116,8 @@ class InOrder(StatefulProcessor):
             self._wake(min(r[0] for r in fresh))
         return iter([])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        passed = timer_values.getCurrentWatermarkInMs() * 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
         due, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
         kept, out = tuple(self.kept.get()) if self.kept.exists() else None, []
