@@ -193,7 +193,8 @@ def sweep_picks(spark, d):
   SELECT threshold, user_id, g, count(*) AS n, min(us) AS start FROM (
     SELECT threshold, user_id, us, low, sum(CASE WHEN low THEN 0 ELSE 1 END) OVER (PARTITION BY threshold, user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (
       SELECT threshold, user_id, event_id, epoch_us(ts) AS us, value < threshold AS low FROM events, (SELECT DISTINCT threshold FROM st))) WHERE low GROUP BY ALL) USING (threshold)
-WHERE n >= min_dip GROUP BY ALL""", [("st", NUMBERED + "(SELECT unnest([10.0::DOUBLE, 20.0, 50.0, 80.0]) AS threshold), (SELECT unnest([1, 2, 3, 5]) AS min_dip) ORDER BY threshold, min_dip")]))
+WHERE n >= min_dip GROUP BY ALL""", [
+    ("st", "SELECT (row_number() OVER (ORDER BY threshold, min_dip) - 1)::INTEGER AS setting, * FROM (SELECT unnest([10.0::DOUBLE, 20.0, 50.0, 80.0]) AS threshold), (SELECT unnest([1, 2, 3, 5]) AS min_dip)")]))
 def sweep_dips(spark, d):
     e = fx.table(spark, d, "events").select("event_id", "user_id", "value", fx.micros(F.col("ts")).alias("us"))
     return sweep.sweep_dips(e, ["user_id"], "us", "event_id", "value", DIP_GRID)
