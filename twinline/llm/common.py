@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,18 @@ def parts(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256):
+    """Arrow batches of few rows for what is planned inside: rows that carry whole texts then stay small on both sides of the pipe."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | dict], schema: str, rows: int = 1024) -> DataFrame:
     """Apply ``fn`` to slices of at most ``rows`` rows of each Arrow batch; ``fn`` may return a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinline.llm import simhash
-from twinline.llm.common import as_bytes, map_batches, parts, settled
+from twinline.llm.common import as_bytes, map_batches, parts, settled, small_batches
 from twinline.llm.components import components
 
 #: Words of a shingle, and the least similarity of near copies.
@@ -49,7 +49,7 @@ def jaccard(a: set, b: set) -> float:
 
 
 def sketches(docs: DataFrame, words: int = WORDS, seed: int = 42) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, node, bits, size, bands)``: text hash, fingerprint, number of shingles and band keys."""
+    """``docs(doc_id, text)`` -> ``(doc_id, node, text, bits, size, bands)``: text hash, fingerprint, number of shingles and band keys."""
     def rows(batch: pa.RecordBatch) -> dict:
         bits, sizes, bands = [], [], []
         for t in as_bytes(batch["text"]):
@@ -58,10 +58,10 @@ def sketches(docs: DataFrame, words: int = WORDS, seed: int = 42) -> DataFrame:
             h = np.unique(h)
             sizes.append(len(h))
             bands.append(band_keys(h).view(np.int64))
-        return {"doc_id": batch["doc_id"], "node": batch["node"], "bits": np.array(bits, np.uint64).view(np.int64), "size": np.array(sizes, np.int64),
+        return {"doc_id": batch["doc_id"], "node": batch["node"], "text": batch["text"], "bits": np.array(bits, np.uint64).view(np.int64), "size": np.array(sizes, np.int64),
                 "bands": pa.ListArray.from_arrays(np.arange(len(bands) + 1, dtype=np.int32) * BANDS, np.concatenate([np.zeros(0, np.int64), *bands]))}
 
-    return map_batches(docs.select("doc_id", simhash.text_hash().alias("node"), "text"), rows, "doc_id long, node long, bits long, size long, bands array<long>")
+    return map_batches(docs.select("doc_id", simhash.text_hash().alias("node"), "text"), rows, "doc_id long, node long, text string, bits long, size long, bands array<long>")
 
 
 def _verify(words: int, least: float):
@@ -79,14 +79,16 @@ def _verify(words: int, least: float):
     return run
 
 
-def copy_links(docs: DataFrame, sketch: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+def copy_links(sketch: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """Links ``(a, b)`` of text hashes that connect all texts with a candidate pair of similarity ``least`` or more.
 
+    ``sketch`` is a written table of ``sketches`` with a number ``row`` for each row. One row
+    stands for each text, chosen by number before any text moves; texts move only for candidates.
     In each bucket all texts are compared with one of them first; only buckets that this
     leaves in several components are compared pair by pair, across components.
     """
-    spark = docs.sparkSession
-    texts = settled(sketch.groupBy("node").agg(F.first("bits").alias("bits"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    spark = sketch.sparkSession
+    texts = settled(sketch.groupBy("node").agg(F.min("row").alias("row"), F.first("bits").alias("bits"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     rows = texts.select("node", "size", F.explode("bands").alias("bucket"))
     shared = settled(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("low")).where("n > 1").select("bucket", "low"))
     members = settled(rows.join(shared, "bucket"))
@@ -98,11 +100,13 @@ def copy_links(docs: DataFrame, sketch: DataFrame, words: int = WORDS, least: fl
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        held = settled(docs.select(simhash.text_hash().alias("node"), "text").join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+        chosen = texts.select("node", "row").join(ends, "node").select("row", F.col("node").alias("of"))
+        held = settled(sketch.select("row", "text").join(chosen, "row").select(F.col("of").alias("node"), "text"))
         both = (pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
                 .join(held.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right"))
         # spread anew: a text that many others are compared with would leave its pairs in one task
-        return settled(both.repartition(parts(spark)).mapInArrow(_verify(words, least), "a long, b long"))
+        with small_batches(spark):
+            return settled(both.repartition(parts(spark)).mapInArrow(_verify(words, least), "a long, b long"))
 
     first = settled(stars.where((F.col("node") != F.col("low.node")) & fits(F.col("size"), F.col("low.size")))
                     .select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct())
@@ -123,9 +127,9 @@ def near_copy_groups(docs: DataFrame, words: int = WORDS, least: float = LEAST)
     Words are lower-cased in A-Z and split at ASCII white space; a text of fewer than
     ``words`` words is one shingle. Null, empty and blank texts are copies of each other.
     """
-    docs = docs.select("doc_id", "text")
-    sketch = settled(sketches(docs, words))
-    linked = components(copy_links(docs, sketch, words, least))
+    with small_batches(docs.sparkSession):
+        sketch = settled(sketches(docs.select("doc_id", "text"), words).withColumn("row", F.monotonically_increasing_id()))
+    linked = components(copy_links(sketch, words, least))
     return sketch.select("doc_id", "node").join(linked, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
 
 
