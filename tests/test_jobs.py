@@ -67,6 +67,17 @@ def test_report_sink(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "r/table=result")).count() == 3
 
 
+def test_report_runs_stay_apart(spark, tmp_path):
+    """A run written again replaces its own partitions only, also with fewer tables."""
+    out, df = str(tmp_path / "r"), spark.range(3)
+    files.write_report({"source": df, "result": df.withColumn("x", F.lit(1))}, out, "a")
+    files.write_report({"source": df.limit(1)}, out, "b")
+    for _ in range(2):
+        files.write_report({"source": df.limit(2)}, out, "a")
+    assert {(r["run"], r["table"]): r["count"] for r in spark.read.parquet(out).groupBy("run", "table").count().collect()} == {("a", "source"): 2, ("a", "result"): 3, ("b", "source"): 1}
+    assert files.read_report(spark, out, "a", "result").count() == 3
+
+
 def test_track_text_goes_by_position(spark):
     """Two tracks with far ids share a row; a long list is cut by position, in order."""
     from twinline.operators import tracks as tr

@@ -1,5 +1,7 @@
 """Documented examples of ids, names, lookups and suggestions."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from twinline.params import DEFAULTS, FrameSettings, PiecewiseSettings
     ("Show.2024.01.15.mkv", r"(\d{4})\.(\d{2})\.(\d{2})", "2024_01_15"),
     ("Show.mkv", r"S(\d+)E(\d+)", ""),
     ("Show.S2.mkv", r"S\d", "S2"),
+    ("Serie.S01E05.mkv", r"S(?<s>\d+)E(?<e>\d+)", "01_05"),
+    ("Serie.S01E05.mkv", r"(?:S|s)(\d+)|x", "01"),
 ])
 def test_episode_ids(spark, name, pattern, want):
     assert spark.range(1).select(text.episode_id(F.lit(name), pattern)).first()[0] == want
@@ -95,3 +99,10 @@ def test_binary_and_array_frames_agree(spark):
     row = df.select(pixels.sums(F.col("a"), F.col("b")).alias("s"), pixels.binary_sums(pixels.to_binary(F.col("a")), pixels.to_binary(F.col("b"))).alias("t"),
                     pixels.squared_error(F.col("a"), F.col("b")).alias("e")).first()
     assert row["s"] == row["t"] and row["e"] == 1 + 25 + 0 + 81
+
+
+@pytest.mark.parametrize("pattern", ["S(", r"S(?P<s>\d+)", "[a-", "*"])
+def test_bad_id_pattern(spark, pattern):
+    """A pattern that the engine cannot run is refused before any job, named groups of another dialect too."""
+    with pytest.raises(re.error, match="bad id pattern"):
+        text.episode_id(F.col("x"), pattern)

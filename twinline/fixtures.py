@@ -84,7 +84,10 @@ def sql_with(views: list[str], body: str, extra: list[tuple[str, str]] = ()) ->
 
     for v in views:
         add(v)
-    parts = [f"{n} AS ({VIEWS[n][1]}\n)" for n in ordered_names] + [f"{n} AS (\n{q}\n)" for n, q in extra]
+    def part(name, q):  # computed once, however often the query is wrapped or a view is named
+        return f"{name} AS {'' if 'RECURSIVE' in q else 'MATERIALIZED '}(\n{q}\n)"
+
+    parts = [part(n, VIEWS[n][1]) for n in ordered_names] + [part(n, q) for n, q in extra]
     recursive = "RECURSIVE " if any("RECURSIVE" in q for _, q in extra) else ""
     text = ",\n".join(parts).replace("/*RECURSIVE*/", "")
     return f"WITH {recursive}{text}\n{body}" if parts else body

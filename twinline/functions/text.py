@@ -3,20 +3,46 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
-from pyspark.sql import Column, functions as F
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession, functions as F
 
 from twinline.functions import codecs
 
 DEFAULT_ID_PATTERN = r"S(\d+)E(\d+)"
 
 
+@cache
+def group_count(pattern: str) -> int:
+    """Capture groups of a pattern, named ones too, as the engine that will run it counts them; a bad pattern raises ``re.error``.
+
+    Each question is a query over a literal that the planner folds, so nothing runs on executors.
+    """
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+    def asked(group: int) -> bool:
+        try:
+            spark.range(1).select(F.regexp_extract(F.lit(""), f"(?:{pattern})|", group)).first()
+            return True
+        except PySparkException as e:
+            if "REGEX_GROUP_INDEX" in str(e):
+                return False
+            raise re.error(f"bad id pattern: {str(e).splitlines()[0]}", pattern) from None
+
+    asked(0)
+    groups = 0
+    while asked(groups + 1):
+        groups += 1
+    return groups
+
+
 def episode_id(name: Column, pattern: str = DEFAULT_ID_PATTERN) -> Column:
     """Capture groups joined by ``_``; whole match without groups; '' without a match.
 
-    The pattern is user input and is compiled here once to reject a bad one early.
+    The pattern is user input; a bad one is rejected here, by the engine that runs it.
     """
-    groups = re.compile(pattern).groups
+    groups = group_count(pattern)
     ci = f"(?i){pattern}"
     if groups == 0:
         return F.regexp_extract(name, ci, 0)

@@ -149,3 +149,19 @@ def plan(kept_audio: DataFrame, kept_subs: DataFrame, imports: DataFrame, conver
         F.when(audio & (to_convert | can_splice), tag).otherwise(F.col("language")).alias("language"),
         track_name)
     return src.unionByName(lang)
+
+
+def with_unselected(plan_rows: DataFrame, pairs: DataFrame, tracks: DataFrame) -> DataFrame:
+    """``plan`` and a row for every other track of its pairs' files: source video is kept as it is, all else is dropped.
+
+    The language file brings no video. One pass over the tracks finds both sides, and one anti
+    join takes out what the plan has already.
+    """
+    files = F.explode(F.array(F.struct(F.lit("source").alias("side"), F.col("src_file").alias("file_id")),
+                              F.struct(F.lit("language").alias("side"), F.col("lang_file").alias("file_id")))).alias("f")
+    rows = pairs.select("src_file", files).select("src_file", "f.*").join(tracks, "file_id")
+    rest = rows.join(plan_rows.select("src_file", "side", "track_id").distinct(), ["src_file", "side", "track_id"], "left_anti")
+    action = F.when((F.col("side") == "source") & (F.lower("type") == "video"), "keep").otherwise("drop")
+    return plan_rows.unionByName(rest.select(
+        "src_file", "file_id", "track_id", "type", F.lit(0).alias("target_pos"), "side", action.alias("action"), F.lit(0).cast("bigint").alias("delay_ms"),
+        F.lit("").alias("stretch"), "language", F.lit("").alias("track_name")))

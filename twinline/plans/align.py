@@ -56,6 +56,13 @@ def _point_results(delays: DataFrame, corrected: Column, points: DataFrame) -> D
             .select(*[c for c in points.columns if c != "seg"], F.col("seg").alias("point"), F.bround(F.col("_med") / US, 0).cast("long").alias("offset"), "score", "method"))
 
 
+def duration_gate(pairs: DataFrame, search: ConstantOffsetSettings = DEFAULTS.constant) -> DataFrame:
+    """Pairs with the reason that keeps them from an offset search, empty for those that are long enough and have a rate."""
+    reason = (F.when(F.col("duration_ms").isNull() | (F.col("duration_ms") < search.min_duration_ms), "too short")
+              .when(F.col("fps").isNull() | (F.col("fps") <= 0), "no rate").otherwise(""))
+    return pairs.withColumn("gate", reason)
+
+
 def constant_offset(src: DataFrame, lang: DataFrame, pairs: DataFrame, settings: FrameSettings = DEFAULTS.frames,
                     search: ConstantOffsetSettings = DEFAULTS.constant, cluster_frames: int = 1) -> DataFrame:
     """Offset of every file pair from scene cuts, verified at checkpoints.
@@ -68,7 +75,7 @@ def constant_offset(src: DataFrame, lang: DataFrame, pairs: DataFrame, settings:
     """
     need = settings.min_scene_cuts
     rates = ["frame_ms", "frame_us", "inverse_ratio"]
-    usable = settled(pairs.filter((F.col("duration_ms") >= search.min_duration_ms) & (F.col("fps") > 0)).select(
+    usable = settled(duration_gate(pairs, search).filter("gate = ''").select(
         "file_id", "duration_ms", (1000.0 / F.col("fps")).alias("frame_ms"), F.bround(F.lit(1e6) / F.col("fps"), 0).cast("long").alias("frame_us"), "inverse_ratio"))
     rate = usable.select("file_id", *rates)
     drift = F.col("inverse_ratio") - 1.0

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from twinline.functions import codecs, text
 from twinline.operators import report, tracks as tr
 from twinline.params import DEFAULTS, SpeedSettings
+from twinline.session import settled
 
 
 def pair_durations(pairs: DataFrame, durations: DataFrame) -> DataFrame:
@@ -74,13 +75,17 @@ def result_tracks(pairs: DataFrame, kept: DataFrame, imports: DataFrame, convert
 
 
 def plan_job(pairs: DataFrame, tracks: DataFrame, kept_audio: DataFrame, kept_subs: DataFrame, imports: DataFrame,
-             convert: str, audio_delay: Column, sub_delay: Column, has_edits: Column, rename_all: bool = True) -> DataFrame:
-    """Selection, conversion and splicing of all pairs as one plan table; pairs with nothing to import have no plan."""
+             convert: str, audio_delay: Column, sub_delay: Column, has_edits: Column, rename_all: bool = True, whole: bool = False) -> DataFrame:
+    """Selection, conversion and splicing of all pairs as one plan table; pairs with nothing to import have no plan.
+
+    ``whole`` adds the tracks that are not selected: source video kept, all others dropped.
+    """
     stretch = with_stretch(pair_durations(pairs.select("src_file", "lang_file"), tr.video_duration(tracks)))
     imp = _imports_of(pairs, imports).join(stretch.select("src_file", "stretch"), "src_file")
     working = with_imports(pairs, imports)
-    return tr.plan(_kept_of(working, kept_audio), _kept_of(working, kept_subs), imp, convert, audio_delay, sub_delay,
+    rows = tr.plan(_kept_of(working, kept_audio), _kept_of(working, kept_subs), imp, convert, audio_delay, sub_delay,
                    F.col("stretch"), has_edits, rename_all)
+    return tr.with_unselected(settled(rows), working.select("src_file", "lang_file"), tracks) if whole else rows
 
 
 def with_imports(pairs: DataFrame, imports: DataFrame) -> DataFrame:

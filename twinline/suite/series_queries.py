@@ -190,6 +190,15 @@ def checkpoints(spark, d):
         "pair_id", F.lit("even").alias("kind"), "point", F.bround("point_ms", 6).alias("point_ms")))
 
 
+@query("duration_gate", fx.sql_with(["cuts"], f"""SELECT pair_id, duration_ms, CASE WHEN duration_ms < 10000 THEN 'too short' WHEN fps <= 0 THEN 'no rate' ELSE '' END AS gate FROM (
+  SELECT pair_id, dur % 20001 AS duration_ms, CASE WHEN pair_id % 5 = 0 THEN 0 ELSE 25 END AS fps FROM ({DUR_SQL}))"""))
+def duration_gate(spark, d):
+    """Durations of the cut timelines, folded to both sides of the ten seconds that a search needs."""
+    from twinline.plans import align
+    pairs = durations(spark, d).select("pair_id", (F.col("dur") % 20001).alias("duration_ms"), F.when(F.col("pair_id") % 5 == 0, 0.0).otherwise(25.0).alias("fps"))
+    return align.duration_gate(pairs).select("pair_id", "duration_ms", "gate")
+
+
 @query("drift_offset", fx.sql_with(["fx7"], """SELECT record_id, sync_ms + CAST(round_even(record_id * (41708000 / 40000000.0::DOUBLE - 1.0), 0) AS BIGINT) AS expected_ms,
   CAST(round_even(-sync_ms * (40000000.0::DOUBLE / 41708000), 0) AS BIGINT) AS speed_delay_ms FROM fx7"""))
 def drift_offset(spark, d):

@@ -1,12 +1,15 @@
 """Track selection, codec and language lookups, texts, plans and reports."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from twinline import fixtures as fx
 from twinline.functions import codecs, languages, text
 from twinline.operators import catalog, regions, report, tracks as tr
 from twinline.plans import jobs
-from twinline.session import settled
+from twinline.session import settled, shared_folder
+from twinline.sources import files
 from twinline.suite.registry import query
 
 AUDIO_PATTERNS = ["AC-3", "DTS"]
@@ -347,10 +350,10 @@ PLAN_ARGS = [("vd", VIDEO_SQL), ("pd", PAIR_DUR_SQL), ("st", f"SELECT src_file,
 
 
 @query("remux_plan", fx.sql_with(["pairs", "fx4"], PLAN_SQL, PLAN_ARGS))
-def remux_plan(spark, d, rename_all=True):
+def remux_plan(spark, d, rename_all=True, whole=False):
     pairs, t = inputs(spark, d)
     return jobs.plan_job(pairs, t, keep_audio(t), tr.kept(t, "subtitles", [], None), tr.imported(t, TARGETS, None), "flac",
-                         F.lit(120) + F.col("src_file") % 100, F.col("src_file") % 100 - 80, F.col("src_file") % 2 == 0, rename_all)
+                         F.lit(120) + F.col("src_file") % 100, F.col("src_file") % 100 - 80, F.col("src_file") % 2 == 0, rename_all, whole)
 
 
 @query("remux_plan_names_kept", fx.sql_with(["pairs", "fx4"], f"""SELECT p.* REPLACE (CASE WHEN t.type = 'audio' AND t.flac THEN track_name ELSE '' END AS track_name)
@@ -359,6 +362,15 @@ def remux_plan_names_kept(spark, d):
     return remux_plan(spark, d, rename_all=False)
 
 
+@query("remux_plan_whole", fx.sql_with(["pairs", "fx4"], """SELECT * FROM pl UNION ALL
+SELECT src_file, t.file_id, t.track_id, type, 0, side, CASE WHEN side = 'source' AND type = 'video' THEN 'keep' ELSE 'drop' END, 0, '', language, '' FROM (
+  SELECT src_file, 'source' AS side, src_file AS file_id FROM pairs UNION ALL SELECT src_file, 'language', lang_file FROM pairs) f JOIN fx4 t ON t.file_id = f.file_id
+WHERE src_file IN (SELECT src_file FROM imp) AND NOT EXISTS (SELECT 1 FROM pl WHERE pl.src_file = f.src_file AND pl.side = f.side AND pl.track_id = t.track_id)""",
+                                       [*PLAN_ARGS, ("pl", PLAN_SQL)]))
+def remux_plan_whole(spark, d):
+    return remux_plan(spark, d, whole=True)
+
+
 @query("plan_skips", fx.sql_with(["pairs", "fx4"], """SELECT src_file, lang_file, 'No matching tracks' AS skip_reason FROM pairs
 WHERE NOT EXISTS (SELECT 1 FROM imp WHERE imp.src_file = pairs.src_file)""", [("imp", LANG_IMPORT_SQL)]))
 def plan_skips(spark, d):
@@ -464,3 +476,16 @@ def job_report(spark, d):
 @query("job_report_run", fx.sql_with(["pairs", "fx4", "fx7"], REPORT_SQL.format(where="src_file % 3 = 0"), REPORT_ARGS))
 def job_report_run(spark, d):
     return jobs.report_summary(record_frame(spark, d), fx.records(spark, d), False)
+
+
+@query("report_sink", fx.sql_with(["pairs", "fx4"], f"""SELECT 'source' AS table_name, src_file, episode_id, audio, subtitles, size, CAST(NULL AS VARCHAR) AS delay FROM (SELECT src_file, episode_id, coalesce(audio, '-') AS audio, coalesce(subtitles, '-') AS subtitles,
+    {SIZE_SQL.format(b='size_bytes')} AS size FROM pairs LEFT JOIN lg ON file_id = src_file WHERE src_file % 3 = 0)
+UNION ALL SELECT 'language', src_file, episode_id, coalesce(audio, '-'), coalesce(subtitles, '-'), {SIZE_SQL.format(b='lang_size')}, NULL FROM pairs LEFT JOIN lg ON file_id = lang_file WHERE src_file % 3 = 0
+UNION ALL SELECT 'result', src_file, episode_id, audio, subtitles, size, delay FROM ({RESULT_SQL.format(size=SIZE_SQL.format(b="(size_bytes + lang_size)"), merge="-", where="src_file % 3 = 0")})""", [*RESULT_ARGS, ("lg", LANGS_SQL)]))
+def report_sink(spark, d):
+    """The report of a run written twice beside that of a dry run, and read back."""
+    frame, out = settled(record_frame(spark, d)), f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    files.write_report(report.report_tables(frame, True), out, "dry")
+    for _ in range(2):
+        files.write_report(report.report_tables(frame, False), out, "real")
+    return files.read_report(spark, out, "real").select(F.col("table").alias("table_name"), "src_file", "episode_id", "audio", "subtitles", "size", "delay")
