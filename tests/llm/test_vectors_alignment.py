@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from twinline.llm import alignment, mtree, subvectors
+from twinline.llm import alignment, mtree, multiindex, subvectors
 
 P = pytest.importorskip("public_tokenizers")
 SMALL = "/root/testdata/sf0.001"
@@ -203,3 +203,22 @@ def test_dictionaries():
     part = subvectors.Segment(subvectors.encode(list(range(500)), x, 2), 0, 2)
     assert (np.concatenate([t[c] for t, c in zip(part.tables, part.codes)], 1) == x).all()
     assert all(len(np.unique(t, axis=0)) == len(t) for t in part.tables)
+
+
+def test_near_vectors_of_several_lengths(spark):
+    """Vectors of every length link with those of their own, against brute force; one length is commonest, three are rare, one has 18 neighbours in number."""
+    rng = np.random.default_rng(11)
+    made = []
+    for dim, n in [(4, 60), (3, 12), (1, 3), (9, 40), *[(20 + k, 3) for k in range(18)]]:
+        base = rng.normal(size=(n, dim))
+        made += [*base.tolist(), *(base[: n // 3] + rng.normal(size=(n // 3, dim)) * 0.03).tolist(), *(base[:1] * 2).tolist()]
+    made += [[1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [2.0, 4.0, 6.0], [0.0, 0.0, 0.0], None]
+    order = rng.permutation(len(made))
+    rows = [(int(i), made[i]) for i in order]
+    unit = [None if v is None or not any(v) else np.array(v) / np.linalg.norm(v) for v in made]
+    hit = np.array([[a is not None and b is not None and i != j and len(a) == len(b) and float(a @ b) >= 0.9 for j, b in enumerate(unit)] for i, a in enumerate(unit)])
+    label = np.arange(len(made))
+    for _ in range(len(made)):
+        label = np.array([min([label[i], *label[hit[i]]]) for i in range(len(made))])
+    got = {r.vec_id: r for r in multiindex.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), codewords=4, recall=1.0, block=16).collect()}
+    assert [got[i].n_links for i in range(len(made))] == hit.sum(1).tolist() and [got[i].component_id for i in range(len(made))] == label.tolist()

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from twinline.llm.common import parts, settled
 from twinline.llm.components import components
 
-#: Most vectors that the codebooks and the number of visits are fitted on.
-SAMPLE = 4096
+#: Most vectors of a length that the codebooks and the number of visits are fitted on, and lengths that have codebooks of their own.
+SAMPLE, LENGTHS = 4096, 16
 #: Residents, and visitors, of a cell that one task compares at a time.
 BLOCK = 1024
 
@@ -104,25 +104,33 @@ def unit(vectors: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-_VISIT = "cell long, own long, resident boolean, rep long, many long, vec array<double>, visits array<long>"
+_VISIT = "dim long, cell long, own long, resident boolean, rep long, many long, vec array<double>, visits array<long>"
 
 
-def _visit_rows(grid: Grid, dim: int):
-    """(rep, many, vec) -> a resident's row in its own cell, with the cells it visits, and a visitor's row in each of these."""
+def one_cell(dim: int) -> Grid:
+    """A grid that finds everything: vectors of a rare length are compared with all of theirs, in blocks."""
+    return Grid(np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2)))
+
+
+def _visit_rows(grids: dict[int, Grid]):
+    """(rep, many, dim, vec) -> a resident's row in its own cell, with the cells it visits, and a visitor's row in each of these."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                x = unit(batch["vec"], dim)
-                own, found = grid.cell(x), grid.traverse(x, grid.visits)
-                cells = [np.union1d(f, [o]) for f, o in zip(found, own)]
-                size = np.array([len(c) for c in cells])
-                row = np.r_[np.arange(len(own)), np.repeat(np.arange(len(own)), size)]
-                take, flat = pa.array(row), np.concatenate([np.zeros(0, np.int64), *cells])
-                ends = np.r_[0, np.cumsum(size), np.full(len(row) - len(own), size.sum())]
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[own, flat]), pa.array(own[row]), pa.array(np.arange(len(row)) < len(own)), batch["rep"].take(take),
-                                                  batch["many"].take(take), batch["vec"].take(take), lists], names=["cell", "own", "resident", "rep", "many", "vec", "visits"])
+                part = whole.slice(at, 1024)
+                dims = part["dim"].to_numpy()
+                for dim in np.unique(dims).tolist():
+                    batch = part.take(pa.array(np.flatnonzero(dims == dim)))
+                    x, grid = unit(batch["vec"], dim), grids.get(dim) or one_cell(dim)
+                    own, found = grid.cell(x), grid.traverse(x, grid.visits)
+                    cells = [np.union1d(f, [o]) for f, o in zip(found, own)]
+                    size = np.array([len(c) for c in cells])
+                    row = np.r_[np.arange(len(own)), np.repeat(np.arange(len(own)), size)]
+                    take, flat = pa.array(row), np.concatenate([np.zeros(0, np.int64), *cells])
+                    ends = np.r_[0, np.cumsum(size), np.full(len(row) - len(own), size.sum())]
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([batch["dim"].take(take), pa.array(np.r_[own, flat]), pa.array(own[row]), pa.array(np.arange(len(row)) < len(own)), batch["rep"].take(take),
+                                                      batch["many"].take(take), batch["vec"].take(take), lists], names=["dim", "cell", "own", "resident", "rep", "many", "vec", "visits"])
 
     return run
 
@@ -138,13 +146,13 @@ def _labels(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.nda
         rows, cols = low, side
 
 
-def _compare(dim: int, least: float):
+def _compare(least: float):
     """One block of a cell -> (rep, links, other): links counted for visitors and residents, and spanning links of both."""
     def run(table: pa.Table) -> pa.Table:
         resident = table["resident"].to_numpy()
         rep, many, own = (table[c].to_numpy() for c in ("rep", "many", "own"))
         r, v = np.flatnonzero(resident), np.flatnonzero(~resident)
-        x = unit(table["vec"].combine_chunks(), dim)
+        x = unit(table["vec"].combine_chunks(), table["dim"][0].as_py())
         hit = (x[v] @ x[r].T >= least) & (rep[v][:, None] != rep[r][None])
         if not hit.any():
             return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
@@ -162,41 +170,38 @@ def _compare(dim: int, least: float):
 def near_vectors(vectors: DataFrame, least: float = 0.9, codewords: int = 16, recall: float = 0.97, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """``vectors(vec_id, embedding, ...)`` -> ``(vec_id, n_links, component_id, kept)``, one row per row.
 
-    Null and zero vectors, those with null or non-finite components and those of
-    another length than the most frequent one link with nothing. Equal vectors are
-    compared once and counted as often as they occur, repeated rows too. Codebooks are
-    fitted on at most ``sample`` distinct vectors, chosen by hash; every row is indexed.
+    Null and zero vectors and those with null or non-finite components link with
+    nothing; vectors of different lengths don't meet. Equal vectors are
+    compared once and counted as often as they occur, repeated rows too. The ``LENGTHS``
+    commonest lengths have codebooks, fitted on at most ``sample`` distinct vectors chosen by hash; every
+    row is indexed. Vectors of any other length, or of one with fewer than 16 vectors for each
+    codeword, share one cell, in which all are compared.
     A cell of many vectors is compared in blocks, and links are counted, never listed.
     ``component_id`` is the smallest id of a component. Extra columns are ignored; an
     empty table gives an empty result.
     """
     spark = vectors.sparkSession
     vec = F.col("embedding").cast("array<double>")
-    size = vectors.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = size.n if size else 0
-    sound = (F.size("embedding") == dim) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
+    sound = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
     rows = settled(vectors.select("vec_id", F.when(sound, F.transform(vec, lambda x: x + F.lit(0.0))).alias("vec")).withColumn("rep", F.when(F.col("vec").isNotNull(), F.xxhash64("vec"))))
-    single = settled(rows.where(F.col("rep").isNotNull()).groupBy("rep").agg(F.count(F.lit(1)).alias("many"), F.min("vec_id").alias("low"), F.first("vec").alias("vec")))
-    n = single.count()
-    if dim > 1 and n > 1:
-        part = single.where(F.pmod(F.xxhash64("rep", F.lit("sample")), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.2 * sample / n) * (1 << 30)))).select("rep", "vec").limit(sample).collect()
-        x = np.array([r.vec for r in sorted(part, key=lambda r: r.rep)]) if part else np.array([single.first().vec])
+    single = settled(rows.where(F.col("rep").isNotNull()).groupBy("rep").agg(F.count(F.lit(1)).alias("many"), F.min("vec_id").alias("low"), F.first("vec").alias("vec"))
+                     .withColumn("dim", F.size("vec").cast("long")))
+    common = single.where("dim > 1").groupBy("dim").count().where(F.col("count") >= 16 * codewords).orderBy(F.desc("count"), "dim").limit(LENGTHS).collect()
+    grids = {}
+    for dim, n in common:
+        share = int(min(1.0, 1.2 * sample / n) * (1 << 30))
+        part = single.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("rep", F.lit("sample")), F.lit(1 << 30)) < F.lit(share))).select("rep", "vec").limit(sample).collect()
+        x = np.array([r.vec for r in sorted(part, key=lambda r: r.rep)] or [single.where(F.col("dim") == dim).first().vec])
         x = x / np.abs(x).max(1, keepdims=True)
-        grid = fit(x / np.linalg.norm(x, axis=1, keepdims=True), codewords, least, recall)
-    else:  # one component or one vector: everything in one cell, compared in blocks
-        grid = Grid(np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2)))
-    if dim:
-        visits = settled(single.select("rep", "many", "vec").repartition(parts(spark), "rep").mapInArrow(_visit_rows(grid, dim), _VISIT))
-        sizes = {(r.cell, r.resident): r["count"] for r in visits.groupBy("cell", "resident").count().collect()}  # at most two numbers for each cell
-        blocks = spark.createDataFrame([(c, -(-sizes.get((c, True), 0) // block), -(-k // block)) for (c, res), k in sizes.items() if not res], "cell long, nr int, nv int")
-        dealt = visits.join(F.broadcast(blocks), "cell").withColumn("mine", F.pmod(F.xxhash64("rep"), F.when(F.col("resident"), F.col("nr")).otherwise(F.col("nv"))).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.when(F.col("resident"), F.col("nv")).otherwise(F.col("nr")), F.lit(1)) - 1)))
-        rb, vb = (F.when(F.col("resident") == res, F.col("mine")).otherwise(F.col("other")) for res in (True, False))
-        dealt = dealt.where("nr > 0").select("cell", rb.alias("rb"), vb.alias("vb"), "own", "resident", "rep", "many", "vec",
-                                             F.when(F.col("resident"), F.col("visits")).alias("visits"))
-        found = settled(dealt.groupBy("cell", "rb", "vb").applyInArrow(_compare(dim, least), "rep long, links long, other long"))
-    else:
-        found = spark.createDataFrame([], "rep long, links long, other long")
+        grids[dim] = fit(x / np.linalg.norm(x, axis=1, keepdims=True), codewords, least, recall)
+    visits = settled(single.select("rep", "many", "dim", "vec").repartition(parts(spark), "rep").mapInArrow(_visit_rows(grids), _VISIT))
+    held = lambda res: F.ceil(F.count_if(F.col("resident") == res) / block)
+    blocks = settled(visits.groupBy("dim", "cell").agg(held(True).alias("nr"), held(False).alias("nv")).where("nr > 0"))
+    dealt = visits.join(blocks, ["dim", "cell"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.when(F.col("resident"), F.col("nr")).otherwise(F.col("nv"))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.when(F.col("resident"), F.col("nv")).otherwise(F.col("nr")), F.lit(1)) - 1)))
+    rb, vb = (F.when(F.col("resident") == res, F.col("mine")).otherwise(F.col("other")) for res in (True, False))
+    dealt = dealt.select("dim", "cell", rb.alias("rb"), vb.alias("vb"), "own", "resident", "rep", "many", "vec", F.when(F.col("resident"), F.col("visits")).alias("visits"))
+    found = settled(dealt.groupBy("dim", "cell", "rb", "vb").applyInArrow(_compare(least), "rep long, links long, other long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = settled(components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))).withColumnRenamed("node", "rep")
     named = single.select("rep", "many", "low").join(links, "rep", "left").join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
