@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinline.llm.common import settled
+
 #: Share of all documents that hold a term: at least and at most, for terms of the band.
 LEAST_SHARE, MOST_SHARE = 0.01, 0.2
 #: Sublexicons as (first hex digit of the term's digest, digits used, values kept): 1/2, 1/4, 1/8, 1/16 and 1/64.
@@ -75,35 +77,40 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(used) == 0, F.lit(1.0)).otherwise(F.aggregate(used, F.lit(0), lambda s, v: s + v) / F.size(used))
 
 
-def with_next(docs: DataFrame, dress=lambda rows: rows, per_bucket: int = 2000) -> DataFrame:
+def with_next(docs: DataFrame, dress=lambda rows: rows, per_bucket: int = 2000, most_buckets: int = 1 << 16) -> DataFrame:
     """The rows ``dress(docs(doc_id, text))`` with ``next``: a struct of the next row's columns.
 
-    Rows are ordered by (doc_id, text); after the last comes the first. Ids are cut
-    into ranges of about ``per_bucket`` rows at quantiles; the window runs inside a
-    range, and each range's last row takes the first row of the next range. ``dress``
+    Rows are ordered by (doc_id, text); after the last comes the first. Ids are cut into
+    ranges of about ``per_bucket`` rows at quantiles, at most ``most_buckets`` of them; the window runs inside a
+    range, and each range's last row takes the first row of the next range. The cuts are one literal array that
+    each row bisects, so the plan is as large for any number of ranges. ``dress``
     adds columns to rows; it is applied to all rows and to the first rows of the ranges.
     """
     n = docs.count()
-    count = max(1, -(-n // per_bucket))
+    count = min(max(1, -(-n // per_bucket)), most_buckets)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 10 * count).alias("c")).first().c if count > 1 else None
-    bucket = F.expr(_search(sorted(set(cuts or [])))).cast("long").alias("_bucket")
-    heads = docs.groupBy(bucket).agg(F.min(F.struct("doc_id", "text")).alias("h")).select("_bucket", "h.*")
-    order = [r[0] for r in docs.select(bucket).distinct().orderBy("_bucket").collect()]  # one number for each range
+    bucket = _range_of(sorted(set(cuts or []))).alias("_bucket")
+    heads = settled(docs.groupBy(bucket).agg(F.min(F.struct("doc_id", "text")).alias("h")).select("_bucket", "h.*"))
     rows = dress(docs)
     columns = rows.columns
     inside = rows.select("*", bucket).withColumn("_next", F.lead(F.struct(*columns)).over(Window.partitionBy("_bucket").orderBy("doc_id", "text")))
-    pairs = docs.sparkSession.createDataFrame(list(zip(order, order[-1:] + order[:-1])), "_bucket long, _ends long")
-    heads = dress(heads.join(pairs, "_bucket")).select(F.col("_ends").alias("_bucket"), F.struct(*columns).alias("_head"))
+    # one number for each range: the range before it, and before the first the last
+    order = Window.orderBy("_bucket")
+    ends = heads.select("_bucket", F.lag("_bucket").over(order).alias("_ends"), F.max("_bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"))
+    heads = heads.join(ends, "_bucket").withColumn("_ends", F.coalesce("_ends", "_last")).drop("_last")
+    heads = dress(heads.select("doc_id", "text", "_ends")).select(F.col("_ends").alias("_bucket"), F.struct(*columns).alias("_head"))
     return inside.join(heads, "_bucket", "left").withColumn("next", F.coalesce("_next", "_head")).drop("_bucket", "_next", "_head")
 
 
-def _search(cuts: list, lo: int = 0, hi: int | None = None) -> str:
-    """Nested CASE of logarithmic depth that finds an id's range."""
-    hi = len(cuts) if hi is None else hi
-    if lo == hi:
-        return str(lo)
-    mid = (lo + hi) // 2
-    return f"CASE WHEN doc_id IS NULL THEN -1 WHEN doc_id <= {cuts[mid]} THEN {_search(cuts, lo, mid)} ELSE {_search(cuts, mid + 1, hi)} END"
+def _range_of(cuts: list[int]) -> Column:
+    """The number of cuts below ``doc_id``, by bisection; -1 for a null id."""
+    if not cuts:
+        return F.when(F.col("doc_id").isNull(), -1).otherwise(0).cast("long")
+    held = F.from_json(F.lit(str(cuts)), "array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    below = lambda at, step: (at + step <= len(cuts)) & (F.get(held, at + step - 1) < F.col("doc_id"))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(at, step), at + step).otherwise(at))
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(found).cast("long")
 
 
 def imatch(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE, per_bucket: int = 2000) -> DataFrame:

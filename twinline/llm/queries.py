@@ -144,7 +144,15 @@ WITH docs AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+')
   regexp_matches(text, '^[\x20\x09-\x0D]') AS led FROM documents),
 places AS (SELECT doc_id, i, sum(strlen(w[i + 1]) + strlen(coalesce(g[i + 1], ''))) OVER (PARTITION BY doc_id ORDER BY i)
    - CASE WHEN led THEN 0 ELSE strlen(coalesce(g[i + 1], '')) END AS end_byte, strlen(w[i + 1]) AS size FROM (SELECT *, unnest(range(len(w))) AS i FROM docs)),
-passages AS (SELECT doc_id, x.p AS p, x.h AS h FROM (SELECT doc_id, unnest(list_transform(range(len(w) - 49), lambda p: {'p': p, 'h': hash(w[p + 1 : p + 50])})) AS x FROM docs WHERE len(w) >= 50)),
+-- the hash of 50 words from those of 32, 16 and 2, each made of two of half its length
+h1 AS (SELECT doc_id, n, i, hash(w[i + 1]) AS a FROM (SELECT doc_id, w, len(w) AS n, unnest(range(len(w))) AS i FROM docs WHERE len(w) >= 50)),
+h2 AS (SELECT *, hash(a, lead(a) OVER (PARTITION BY doc_id ORDER BY i)) AS b FROM h1),
+h4 AS (SELECT *, hash(b, lead(b, 2) OVER (PARTITION BY doc_id ORDER BY i)) AS c FROM h2),
+h8 AS (SELECT *, hash(c, lead(c, 4) OVER (PARTITION BY doc_id ORDER BY i)) AS d FROM h4),
+h16 AS (SELECT *, hash(d, lead(d, 8) OVER (PARTITION BY doc_id ORDER BY i)) AS e FROM h8),
+h32 AS (SELECT *, hash(e, lead(e, 16) OVER (PARTITION BY doc_id ORDER BY i)) AS f FROM h16),
+h50 AS (SELECT doc_id, n, i, hash(f, lead(e, 32) OVER (PARTITION BY doc_id ORDER BY i), lead(b, 48) OVER (PARTITION BY doc_id ORDER BY i)) AS h FROM h32),
+passages AS MATERIALIZED (SELECT doc_id, i AS p, h FROM h50 WHERE i + 50 <= n),
 firsts AS (SELECT h, min(doc_id) AS first FROM passages GROUP BY h),
 later AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM passages JOIN firsts USING (h) WHERE first < doc_id),
 spans AS (SELECT doc_id, min(p) AS first_word, max(p) + 50 - min(p) AS n_words FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM later) GROUP BY doc_id, island)
