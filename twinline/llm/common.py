@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -38,6 +39,14 @@ def small_batches(spark: SparkSession, rows: int = 256):
         spark.conf.set(name, old)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: Python workers are kept for later stages, and so would be the most that one took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | dict], schema: str, rows: int = 1024) -> DataFrame:
     """Apply ``fn`` to slices of at most ``rows`` rows of each Arrow batch; ``fn`` may return a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -53,6 +62,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
                     out = pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type)
                                                       for f in types], names=types.names)
                 yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinline.llm.common import as_bytes, id_crc
+from twinline.llm.common import as_bytes, give_back, id_crc
 
 #: Bytes in a window, widths of the filters, filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
@@ -175,7 +175,12 @@ def told(net: ByteNet | None):
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def udf(text: pa.Array) -> pa.Array:
-        langs, scores = tell([t or b"" for t in as_bytes(text)], net)
+        langs, scores = [], []
+        for at in range(0, len(text), 1024):
+            some = tell([t or b"" for t in as_bytes(text.slice(at, 1024))], net)
+            langs += some[0]
+            scores += some[1].tolist()
+        give_back()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return udf(F.when(F.col("text").rlike(r"\p{L}"), F.col("text")))

@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinline.llm import simhash
-from twinline.llm.common import as_bytes, map_batches, parts, settled, small_batches
+from twinline.llm.common import as_bytes, give_back, map_batches, parts, settled, small_batches
 from twinline.llm.components import components
 
 #: Words of a shingle, and the least similarity of near copies.
 WORDS, LEAST = 5, 0.8
-#: Bands of min-hashes, and min-hashes of a band.
-BANDS, ROWS = 30, 5
+#: Bands of min-hashes, min-hashes of a band, and bands whose buckets are linked before the others.
+BANDS, ROWS, EARLY = 30, 5, 4
 
 _RNG = np.random.default_rng(11)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,6 +75,7 @@ def _verify(words: int, least: float):
                     held = (a, set(simhash.shingles(x, words)))
                 hit.append(jaccard(held[1], set(simhash.shingles(y, words))) >= least)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+        give_back()
 
     return run
 
@@ -84,18 +85,19 @@ def copy_links(sketch: DataFrame, words: int = WORDS, least: float = LEAST) -> D
 
     ``sketch`` is a written table of ``sketches`` with a number ``row`` for each row. One row
     stands for each text, chosen by number before any text moves; texts move only for candidates.
-    In each bucket all texts are compared with one of them first; only buckets that this
-    leaves in several components are compared pair by pair, across components.
+    First, in the buckets of the Gray index and of ``EARLY`` bands, all texts are compared with
+    one of their bucket. Then, in the buckets of all bands, one text of each component so far is.
+    Only buckets that still hold several components are compared pair by pair, across
+    components. So a large group of copies gives each text a few pairs, not one for every band.
     """
     spark = sketch.sparkSession
     texts = settled(sketch.groupBy("node").agg(F.min("row").alias("row"), F.first("bits").alias("bits"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    rows = texts.select("node", "size", F.explode("bands").alias("bucket"))
+    rows = texts.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
     shared = settled(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("low")).where("n > 1").select("bucket", "low"))
     members = settled(rows.join(shared, "bucket"))
     near = components(simhash.fingerprint_links(texts.select("bits").distinct())).withColumnRenamed("node", "bits")
     groups = texts.select("node", "size", "bits").join(near, "bits", "left").select("node", "size", F.coalesce("component", "bits").alias("bucket"))
     lows = settled(groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("low")).where("n > 1").select("bucket", "low"))
-    stars = members.select("node", "size", "low").unionByName(groups.join(lows, "bucket").select("node", "size", "low"))
     fits = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y)  # noqa: E731  (a necessary condition)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -108,17 +110,27 @@ def copy_links(sketch: DataFrame, words: int = WORDS, least: float = LEAST) -> D
         with small_batches(spark):
             return settled(both.repartition(parts(spark)).mapInArrow(_verify(words, least), "a long, b long"))
 
-    first = settled(stars.where((F.col("node") != F.col("low.node")) & fits(F.col("size"), F.col("low.size")))
-                    .select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = verified(first)
-    linked = settled(components(links))
-    now = members.join(linked, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
+    def starred(stars: DataFrame) -> DataFrame:
+        return (stars.where((F.col("node") != F.col("low.node")) & fits(F.col("size"), F.col("low.size")))
+                .select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct())
+
+    def labelled(links: DataFrame) -> DataFrame:
+        linked = settled(components(links))
+        return members.join(linked, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
+
+    tried = settled(starred(members.where(F.col("band") < EARLY).select("node", "size", "low").unionByName(groups.join(lows, "bucket").select("node", "size", "low"))))
+    links = verified(tried)
+    ones = settled(labelled(links).groupBy("bucket", "component").agg(F.min(F.struct("node", "size")).alias("one")))
+    heads = ones.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("one").alias("low")).where("n > 1").select("bucket", "low")
+    more = settled(starred(ones.join(heads, "bucket").select("one.node", "one.size", "low")).join(tried, ["a", "b"], "left_anti"))
+    tried, links = tried.unionByName(more), settled(links.unionByName(verified(more)))
+    now = labelled(links)
     split = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     now = settled(now.join(split, "bucket"))
     other = now.select("bucket", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("component").alias("b_component"))
     cross = (now.withColumnRenamed("node", "a").join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("b_component")) & fits(F.col("size"), F.col("b_size")))
              .select("a", "b").distinct())
-    return links.unionByName(verified(settled(cross.join(first, ["a", "b"], "left_anti"))))
+    return links.unionByName(verified(settled(cross.join(tried, ["a", "b"], "left_anti"))))
 
 
 def near_copy_groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
