@@ -142,10 +142,10 @@ SELECT doc_id, n_chars, edited_sha256, array_to_string(f, '-') AS fingerprint, a
 OP5_SQL = r"""
 WITH docs AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(text, '[\x20\x09-\x0D]+') AS g,
   regexp_matches(text, '^[\x20\x09-\x0D]') AS led FROM documents),
-places AS (SELECT doc_id, i, sum(strlen(w[i + 1]) + strlen(coalesce(g[i + 1], ''))) OVER (PARTITION BY doc_id ORDER BY i)
-   - CASE WHEN led THEN 0 ELSE strlen(coalesce(g[i + 1], '')) END AS end_byte, strlen(w[i + 1]) AS size FROM (SELECT *, unnest(range(len(w))) AS i FROM docs)),
+words AS MATERIALIZED (SELECT doc_id, led, len(w) AS n, unnest(w) AS word, unnest(list_resize(g, len(w), '')) AS gap, unnest(range(len(w))) AS i FROM docs WHERE len(w) > 0),
+places AS MATERIALIZED (SELECT doc_id, i, sum(strlen(word) + strlen(coalesce(gap, ''))) OVER (PARTITION BY doc_id ORDER BY i) - CASE WHEN led THEN 0 ELSE strlen(coalesce(gap, '')) END AS end_byte, strlen(word) AS size FROM words),
 -- the hash of 50 words from those of 32, 16 and 2, each made of two of half its length
-h1 AS (SELECT doc_id, n, i, hash(w[i + 1]) AS a FROM (SELECT doc_id, w, len(w) AS n, unnest(range(len(w))) AS i FROM docs WHERE len(w) >= 50)),
+h1 AS (SELECT doc_id, n, i, hash(word) AS a FROM words WHERE n >= 50),
 h2 AS (SELECT *, hash(a, lead(a) OVER (PARTITION BY doc_id ORDER BY i)) AS b FROM h1),
 h4 AS (SELECT *, hash(b, lead(b, 2) OVER (PARTITION BY doc_id ORDER BY i)) AS c FROM h2),
 h8 AS (SELECT *, hash(c, lead(c, 4) OVER (PARTITION BY doc_id ORDER BY i)) AS d FROM h4),
