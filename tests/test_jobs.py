@@ -78,6 +78,35 @@ def test_report_runs_stay_apart(spark, tmp_path):
     assert files.read_report(spark, out, "a", "result").count() == 3
 
 
+def test_stored_frames_do_not_move(spark):
+    """A slice of stored frames has the rows of a plain slice, and only the table of segments is exchanged."""
+    from twinline import fixtures as fx
+    from twinline.operators import frames as fr
+    plain = fx.frames(spark, D)
+    stored = fr.store_frames(plain)
+    seg = spark.createDataFrame([(f, s, n) for f in range(4) for s, n in ((0, 3000), (9500, 1500), (11000, 9000))], "file_id int, start int, dur int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = fr.slice_segments(stored, seg, "start", "dur")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert fr.slice_segments(plain, seg, "start", "dur")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") > 1
+        cols = ["file_id", "frame_idx", "start"]
+        assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, fr.slice_segments(plain, seg, "start", "dur").select(cols).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_speed_of_one_rate(spark):
+    """Every file has the same two rates: 37 source frames of 40 ms, found at the language's own speed."""
+    rows = entry.queries()["job_speed"](spark, D).collect()
+    assert len(rows) == 10
+    for r in rows:
+        assert r["stretch"] == "40000000/41708000" and r["verified"] and r["valid_points"] == 9
+        assert abs(r["sync_ms"] - 1480) <= 1 and abs(r["initial_delay_ms"] + 37 * 41.708) <= 1
+
+
 def test_track_text_goes_by_position(spark):
     """Two tracks with far ids share a row; a long list is cut by position, in order."""
     from twinline.operators import tracks as tr

@@ -6,13 +6,15 @@ times; pixels are joined last and only for the frames that are compared.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from twinline.functions import pixels
 from twinline.operators import ordered
 from twinline.params import FrameSettings
-from twinline.session import settled
+from twinline.session import settled, shared_folder
 
 FRAME_CHUNK = 4096
 BUCKET_MS = 10_000
@@ -86,6 +88,29 @@ def in_band(settings: FrameSettings) -> Column:
     return F.col("ssim").between(settings.ssim_threshold, settings.ssim_max_threshold)
 
 
+def store_frames(frames: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Frames written once as a table bucketed and sorted by file and time bucket.
+
+    Slices and windows of the stored table join small tables of wanted buckets to it: only
+    those move, the frames are read where they lie. ``buckets`` should be the number of
+    shuffle partitions of the jobs that read it (the default), or a multiple.
+    """
+    spark = frames.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"frames_{uuid.uuid4().hex}"
+    placed = frames.withColumn("time_bucket", F.floor(F.col("ts_ms") / BUCKET_MS)).repartition(n, "file_id", "time_bucket")  # one file for each bucket
+    (placed.write.format("parquet").bucketBy(n, "file_id", "time_bucket").sortBy("file_id", "time_bucket", "ts_ms")
+     .option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name))
+    return spark.table(name)
+
+
+def _in_buckets(rows: DataFrame, ts: str = "ts_ms") -> DataFrame:
+    """Rows with their time bucket, the stored one where there is one."""
+    if "time_bucket" in rows.columns:
+        return rows.withColumnRenamed("time_bucket", "_bucket")
+    return rows.withColumn("_bucket", F.floor(F.col(ts) / BUCKET_MS))
+
+
 def slice_segments(rows: DataFrame, segments: DataFrame, start: str, duration: str, ts: str = "ts_ms") -> DataFrame:
     """Rows of a series inside each segment ``[start, start + duration)`` of the same file.
 
@@ -95,7 +120,7 @@ def slice_segments(rows: DataFrame, segments: DataFrame, start: str, duration: s
     first = F.floor(F.col(start) / BUCKET_MS)
     last = F.floor((F.col(start) + F.col(duration)) / BUCKET_MS)
     touched = segments.withColumn("_bucket", F.explode(F.sequence(first, last)))
-    return (rows.withColumn("_bucket", F.floor(F.col(ts) / BUCKET_MS)).join(touched, ["file_id", "_bucket"])
+    return (_in_buckets(rows, ts).join(touched, ["file_id", "_bucket"])
             .filter((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(start) + F.col(duration))).drop("_bucket"))
 
 
@@ -107,7 +132,7 @@ def in_windows(frames: DataFrame, segments: DataFrame, start: str, duration: str
     """
     touched = F.explode(F.sequence(F.floor(F.col(start) / BUCKET_MS), F.floor((F.col(start) + F.col(duration)) / BUCKET_MS)))
     wanted = settled(segments.select("file_id", touched.alias("_bucket")).distinct())
-    return settled(frames.withColumn("_bucket", F.floor(F.col("ts_ms") / BUCKET_MS)).join(wanted, ["file_id", "_bucket"], "left_semi").drop("_bucket"))
+    return settled(_in_buckets(frames).join(wanted, ["file_id", "_bucket"], "left_semi").drop("_bucket"))
 
 
 def resample(rows: DataFrame, keys: list[str], ts_ms: Column, fps: float, payload: list[str], order: Column) -> DataFrame:

@@ -82,6 +82,19 @@ def segment_slice(spark, d):
     return fr.slice_segments(f, seg, "start", "dur").select("file_id", "frame_idx", "ts_ms")
 
 
+@query("stored_slice", fx.sql_with(["fx1"], """SELECT file_id, w AS window_no, count(*) AS frames, CAST(sum(list_sum(px)) AS BIGINT) AS px_sum FROM fx1, range(3) r(w)
+WHERE ts_ms >= w * 9000 + 500 AND ts_ms < w * 9000 + 500 + 4000 + w * 1000 GROUP BY ALL"""))
+def stored_slice(spark, d):
+    """Windows of frames that were written bucketed by file and time: their pixels don't move."""
+    stored = fr.store_frames(fx.frames(spark, d))
+    no = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    seg = stored.select("file_id").distinct().select("file_id", no.alias("window_no")).select(
+        "file_id", F.col("window_no").cast("long").alias("window_no"), (F.col("window_no") * 9000 + 500).alias("start"), (F.col("window_no") * 1000 + 4000).alias("dur"))
+    sliced = fr.slice_segments(stored, seg, "start", "dur")
+    each = F.aggregate("px", F.lit(0).cast("long"), lambda a, x: a + x)
+    return sliced.groupBy("file_id", "window_no").agg(F.count(F.lit(1)).alias("frames"), F.sum(each).alias("px_sum"))
+
+
 @query("crop_43", fx.sql_with(["fx1"], """SELECT file_id, frame_idx, array_to_string(list_concat(list_concat(px[6:10], px[22:26]), list_concat(px[38:42], px[54:58])), ',') AS cropped FROM fx1"""))
 def crop_43(spark, d):
     return fx.frames(spark, d).select("file_id", "frame_idx", F.array_join(pixels.crop_43(F.col("px"), 16, 4).cast("array<string>"), ",").alias("cropped"))
