@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinline.llm.common import map_batches, parts, settled
+from twinline.llm.common import give_back, map_batches, parts, settled, small_batches
 from twinline.llm.suffixes import _ranges
 
 #: A line is rare if at most this share of all documents hold it.
@@ -92,6 +92,7 @@ def _align(least: int):
         for batch in batches:
             cut = [common_blocks(a, b, s, least) for a, b, s in zip(batch["source_lines"].to_pylist(), batch["lines"].to_pylist(), batch["sizes"].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(cut, pa.list_(pa.int32()))], names=["doc", "cut"])
+        give_back()
 
     return run
 
@@ -146,7 +147,8 @@ def line_cuts(docs: DataFrame, rare_share: float = RARE_SHARE, block_chars: int
         "doc", F.struct("doc_id", "doc").alias("place"), F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"),
         F.transform(lines, lambda x: F.length(x)).alias("sizes"),
         F.transform(lines, lambda x: F.trim(x) == "").alias("blank")).dropDuplicates(["doc"]))
-    keys = settled(_line_keys(rows, block_chars))
+    with small_batches(docs.sparkSession):
+        keys = settled(_line_keys(rows, block_chars))
     # written before the join, which can then split a hot line over tasks
     sources = settled(keys.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("source"))
                       .where((F.col("n") > 1) & (F.col("run") | (F.col("n") <= int(rare_share * n_docs)))).select("key", "run", "source"))
@@ -154,9 +156,10 @@ def line_cuts(docs: DataFrame, rare_share: float = RARE_SHARE, block_chars: int
              .select(F.col("place.doc").alias("doc"), F.col("source.doc").alias("source")).distinct())
     later = pairs.join(rows.select("doc", "lines", "sizes"), "doc")
     both = later.join(rows.select(F.col("doc").alias("source"), F.col("lines").alias("source_lines")), "source")
-    # spread anew: a source that many documents share would leave its pairs in one task
-    found = (both.select("doc", "lines", "sizes", "source_lines").repartition(parts(docs.sparkSession))
-             .mapInArrow(_align(block_chars), "doc long, cut array<int>"))
+    # spread anew: a source that many documents share would leave its pairs in one task; a row holds the lines of two documents
+    both = both.select("doc", "lines", "sizes", "source_lines").repartition(parts(docs.sparkSession))
+    with small_batches(docs.sparkSession, 64):
+        found = settled(both.mapInArrow(_align(block_chars), "doc long, cut array<int>"))
     return found.where(F.size("cut") > 0).groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"))
 
 
