@@ -395,7 +395,7 @@ def test_line_block_of_most_documents(spark):
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_copies", "passages", "packing"]
-    assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{n}" for n in range(1, 14))
     docs, columns = spark.read.parquet(f"{SMALL}/documents.parquet"), None
     columns, count = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
