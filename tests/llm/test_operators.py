@@ -58,6 +58,20 @@ def test_empty_table(odd, name):
     assert RUNS[name](odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("number", range(4))
+def test_stages_on_odd_rows(spark, odd, number):
+    """A stage of the pipeline keeps rows and columns of odd tables, and takes an empty one."""
+    import corpus_pipeline
+    name, stage = corpus_pipeline.STAGES[number]
+    got = stage(spark, odd, SMALL)
+    assert got.columns == odd.columns
+    ids = [str(r.doc_id) for r in got.select("doc_id").collect()]
+    assert set(ids) <= {str(r.doc_id) for r in odd.select("doc_id").collect()} and len(ids) <= odd.count()
+    if name == "near_copies":
+        assert ids.count("7") == 2 and ids.count("4") == 0  # both texts of one id stay; empty texts are copies of the null text of no id
+    assert stage(spark, odd.limit(0), SMALL).count() == 0
+
+
 def test_odd_values(odd):
     by = {(r.doc_id, r.lang_pred) for r in langid.identify(odd).collect() if r.doc_id in (3, 4, 5, 8)}
     assert by == {(3, "und"), (4, "und"), (5, "und"), (8, "und")}
