@@ -30,14 +30,22 @@ class ByteNet:
     out: np.ndarray
     bias: np.ndarray
 
-    def maxima(self, stream: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """``stream``: bytes of whole windows plus max(WIDTHS) - 1 bytes; the maxima of each window and where they are."""
+    def maxima(self, stream: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """``stream``: bytes of whole windows plus max(WIDTHS) - 1 bytes; the maxima of each window and where they are.
+
+        ``ends`` tells where texts end: a filter sees zeros behind the end, not the next text.
+        """
         n = len(stream) - max(WIDTHS) + 1
+        ahead = [stream[:n]]
+        for j in range(1, max(WIDTHS)):
+            bytes_ = stream[j : j + n].copy()
+            bytes_[(ends[:, None] - np.arange(1, j + 1)).ravel()] = 0
+            ahead.append(bytes_)
         tops, where = [], []
         for t in self.tables:
-            act = t[0][stream[:n]]
+            act = t[0][ahead[0]]
             for j in range(1, len(t)):
-                act += t[j][stream[j : j + n]]
+                act += t[j][ahead[j]]
             act = act.reshape(n // WINDOW, WINDOW, -1)
             at = act.argmax(1) if self.trains else None
             tops.append(act.max(1) if at is None else np.take_along_axis(act, at[:, None], 1)[:, 0])
@@ -46,8 +54,8 @@ class ByteNet:
 
     trains = False
 
-    def log_probs(self, stream: np.ndarray) -> np.ndarray:
-        z = self.maxima(stream)[0] @ self.out + self.bias
+    def log_probs(self, stream: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        z = self.maxima(stream, ends)[0] @ self.out + self.bias
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
@@ -84,7 +92,7 @@ def train(samples: list[tuple[str, bytes]], epochs: int = 6, seed: int = 7) -> B
             if epoch % 2:
                 texts = [t[: int(rng.integers(8, WINDOW + 1))] for t in texts]
             stream = _stream([t or b" " for t in texts])
-            h, where = net.maxima(stream)
+            h, where = net.maxima(stream, np.arange(1, len(pick) + 1) * WINDOW)
             z = h @ net.out + net.bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -97,7 +105,8 @@ def train(samples: list[tuple[str, bytes]], epochs: int = 6, seed: int = 7) -> B
                 g = np.zeros_like(net.tables[k])
                 part = back[:, k * FILTERS : (k + 1) * FILTERS]
                 for j in range(w):
-                    np.add.at(g[j], (stream[base + where[k] + j], np.arange(FILTERS)[None]), part)
+                    seen = np.where(where[k] + j < WINDOW, stream[base + where[k] + j], 0)
+                    np.add.at(g[j], (seen, np.arange(FILTERS)[None]), part)
                 grads.append(g)
             grads += [h.T @ p, p.sum(0)]
             step += 1
@@ -139,12 +148,14 @@ def tell(texts: list[bytes], net: ByteNet) -> tuple[list[str], np.ndarray]:
     held: list[int] = []
 
     def close():
-        owner = np.repeat(np.arange(len(held)), [-(-len(texts[i]) // WINDOW) for i in held])
+        windows = [-(-len(texts[i]) // WINDOW) for i in held]
+        owner, last = np.repeat(np.arange(len(held)), windows), np.cumsum(windows)
         total = np.zeros((len(held), len(net.langs)))
         stream = _stream([texts[i] for i in held])
         for at in range(0, len(owner), 512):
             to = min(len(owner), at + 512)
-            np.add.at(total, owner[at:to], net.log_probs(stream[at * WINDOW : to * WINDOW + max(WIDTHS) - 1]))
+            ends = last[(last > at) & (last <= to)] - at
+            np.add.at(total, owner[at:to], net.log_probs(stream[at * WINDOW : to * WINDOW + max(WIDTHS) - 1], ends * WINDOW))
         p = np.exp(total - total.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         for k, i in enumerate(held):
